@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import os
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from pathlib import Path
@@ -19,9 +20,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Distinct chunks that a worker remembers; when there are more it starts anew.
-CACHE_CHUNKS = 500_000
+CACHE_CHUNKS = 700_000
 #: Bytes of text that are split at a time.
-SLICE_BYTES = 6_000_000
+SLICE_BYTES = 10_000_000
 
 _W = r"[\t\n\v\f\r \x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 #: Three blanks in a row, two at the end, or the character that marks a text's first chunk here.
@@ -54,6 +55,12 @@ class Encoder:
         if self.chunked:
             newline = self.tokenizer.encode("\n", add_special_tokens=False).ids
             self.chunked, self.newline = len(newline) == 1, newline[0]
+            self.marks = {x: ids.tobytes() for x, ids in zip(".,", self.whole(list(".,")), strict=True)}
+            # Each byte has a printable character: its own, or one of those from 256 on, in order.
+            own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+            others = [b for b in range(256) if b not in own]
+            self.alphabet = {b: chr(256 + i) for i, b in enumerate(others)}
+            self.blank = self.alphabet[32]
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         """By the library alone."""
@@ -99,7 +106,7 @@ class Encoder:
         marked = pc.binary_join_element_wise(pa.scalar("\x00", pa.large_string()), pc.replace_substring(texts, "\n", " \n"), pa.scalar("", pa.large_string()))
         lists = pc.split_pattern(marked, " ")
         coded = lists.flatten().dictionary_encode()
-        chunks = coded.dictionary.to_pylist()
+        chunks = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.cache) > CACHE_CHUNKS:
             self.cache.clear()
         found = list(map(self.cache.get, chunks))
@@ -118,41 +125,36 @@ class Encoder:
         return ids, np.diff(at)
 
     def _learn(self, chunks: list[str]) -> None:
-        """Encodes chunks, many in one call: a newline between two is always a token of its own. A mark
-        behind a chunk of letters is a piece of its own."""
-        led, bare, single, marks, tails = set(), set(), [], set(), []
+        """Encodes chunks. One that is letters behind its blank, or without one, is a piece that the tokenizer
+        doesn't split, so its model alone takes it, in the byte alphabet. A mark behind letters is a piece of
+        its own. All others go through the whole tokenizer."""
+        cache, model, alphabet = self.cache, self.tokenizer.model, self.alphabet
+        rest, tails = [], []
         for c in chunks:
-            own = c[:1] in "\n\x00" and c != ""
-            body = c[1:] if own else c
-            if body and body[-1] in ".," and body[:-1].isalpha():
-                tails.append((c, c[:-1], body[-1]))
-                marks.add(body[-1])
-                body = body[:-1]
-                if c[:-1] in self.cache:
-                    continue
-            if not body or body.split() != [body]:
-                single.append(c)
-            else:
-                (bare if own else led).add(c[0] + body if own else body)
-        for c, ids in zip(single, self.whole([self._text(c) for c in single]) if single else (), strict=True):
-            self.cache[c] = ids.tobytes()
-        mark = np.asarray([self.newline], dtype="<u4").tobytes()
-        for group, text in ((sorted(led), lambda c: " " + c), (sorted(bare), lambda c: c[1:])):
-            for k in range(0, len(group), 20_000):
-                part = group[k : k + 20_000]
-                lines = [part[j : j + 64] for j in range(0, len(part), 64)]
-                found = self.tokenizer.encode_batch_fast(["\n".join(map(text, x)) for x in lines], add_special_tokens=False)
-                for names, got in zip(lines, found, strict=True):
-                    ids = np.asarray(got.ids, dtype="<u4")
-                    ends = [*np.flatnonzero(ids == self.newline).tolist(), len(ids)]
-                    raw, start = ids.tobytes(), 0
-                    for c, end in zip(names, ends, strict=True):
-                        own = raw[4 * start : 4 * end]
-                        self.cache[c] = mark + own if c[0] == "\n" else own
-                        start = end + 1
-        ends = dict(zip(marks, (x.tobytes() for x in self.whole(list(marks))), strict=True)) if marks else {}
+            body = c[1:] if c[:1] in "\n\x00" and c else c
+            tail = ""
+            if body and body[-1] in ".,":
+                body, tail = body[:-1], body[-1]
+            if not body.isalpha():
+                rest.append(c)
+                continue
+            head = c[:-1] if tail else c
+            if head not in cache:
+                word = body if len(body) < len(head) else " " + body
+                if not body.isascii():
+                    word = word.encode().decode("latin-1").translate(alphabet)
+                elif word[0] == " ":
+                    word = self.blank + body
+                ids = [x.id for x in model.tokenize(word)]
+                if head[0] == "\n":
+                    ids.insert(0, self.newline)
+                cache[head] = array("I", ids).tobytes()
+            if tail:
+                tails.append((c, head, tail))
         for c, head, tail in tails:
-            self.cache[c] = self.cache[head] + ends[tail]
+            cache[c] = cache[head] + self.marks[tail]
+        for c, ids in zip(rest, self.whole([self._text(c) for c in rest]) if rest else (), strict=True):
+            cache[c] = ids.tobytes()
 
     @staticmethod
     def _text(chunk: str) -> str:
