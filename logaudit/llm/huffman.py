@@ -70,7 +70,7 @@ class Book:
         spans = (1 << (self.bits - self.lengths)).astype(np.int64)
         codes = (np.cumsum(spans) - spans) >> (self.bits - self.lengths)
         size = int(ids.max()) + 1 if len(ids) else 1
-        self.code, self.length = np.zeros(size, dtype=np.uint64), np.zeros(size, dtype=np.int64)
+        self.code, self.length = np.zeros(size, dtype=np.uint64), np.zeros(size, dtype=np.uint8)
         self.code[self.ids], self.length[self.ids] = codes, self.lengths
 
     def table(self) -> tuple[np.ndarray, np.ndarray]:
@@ -83,7 +83,7 @@ class Book:
     def encode(self, ids: np.ndarray, counts: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
         """Documents end to end to bytes: the bytes, where each document starts in them, and the bits that
         each segment has."""
-        n = self.length[ids]
+        n = self.length[ids].astype(np.int64)
         firsts = np.cumsum(counts) - counts
         run = np.concatenate(([0], np.cumsum(n)))
         bits = run[firsts + counts] - run[firsts]
@@ -142,43 +142,52 @@ def decode(table: tuple[np.ndarray, np.ndarray], bits: int, payload: bytes, coun
 # The jobs
 
 
-def _tokenised(path: str, end: int, schema: T.StructType):
+def _tokenised(path: str, end: int, names: list[str]):
+    """Texts to rows of many documents: their ids, how many tokens each has, and all of these as planes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path)
         for batch in batches:
             at = 0
             for ids, counts in coder.encode(batch.column(1)):
-                ends = np.cumsum(counts)
-                planes = []
-                for a, b in zip((ends - counts).tolist(), ends.tolist(), strict=True):
-                    own = np.append(ids[a:b], np.uint32(end)).astype("<u4")
-                    planes.append(_planes(own))
-                names = batch.column(0).slice(at, len(counts))
+                ended = np.insert(ids, np.cumsum(counts), np.uint32(end)).astype("<u4")
+                docs = batch.column(0).slice(at, len(counts))
                 at += len(counts)
-                yield pa.RecordBatch.from_arrays([names, pa.array(counts + 1, pa.int64()), pa.array(planes, pa.binary())], names=schema.names)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.ListArray.from_arrays(pa.array([0, len(counts)], pa.int32()), docs),
+                        pa.array([(counts + 1).astype("<u4").tobytes()], pa.binary()),
+                        pa.array([_planes(ended)], pa.binary()),
+                    ],
+                    names=names,
+                )
 
     return run
 
 
 def _planes(ids: np.ndarray) -> bytes:
-    """Low, middle and high bytes apart: what a general compressor does best with."""
-    return ids.view(np.uint8).reshape(-1, 4)[:, :3].T.tobytes()
+    """Low and high bytes apart, and the ones above if there are any: what a general compressor does best with."""
+    bytes_ = ids.view(np.uint8).reshape(-1, 4)
+    return bytes_[:, : 2 if not len(ids) or ids.max() < 1 << 16 else 3].T.tobytes()
 
 
-def _from_planes(planes: list[bytes]) -> np.ndarray:
-    out = []
-    for x in planes:
-        low, mid, high = np.frombuffer(x, dtype=np.uint8).reshape(3, -1).astype(np.uint32)
-        out.append(low | (mid << 8) | (high << 16))
-    return np.concatenate([*out, np.empty(0, np.uint32)])
+def _from_planes(planes: bytes, n: int) -> np.ndarray:
+    if not n:
+        return np.empty(0, np.uint32)
+    out = np.zeros((n, 4), dtype=np.uint8)
+    for i, plane in enumerate(np.frombuffer(planes, dtype=np.uint8).reshape(-1, n)):
+        out[:, i] = plane
+    return out.view("<u4").reshape(-1)
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(1, dtype=np.int64)
     for batch in batches:
-        now = np.bincount(_from_planes(batch.column(0).to_pylist()))
-        size = max(len(now), len(total))
-        total = np.pad(total, (0, size - len(total))) + np.pad(now, (0, size - len(now)))
+        for counts, planes in zip(batch.column(0), batch.column(1), strict=True):
+            n = int(np.frombuffer(counts.as_py(), dtype="<u4").sum(dtype=np.int64))
+            now = np.bincount(_from_planes(planes.as_py(), n))
+            size = max(len(now), len(total))
+            total = np.pad(total, (0, size - len(total))) + np.pad(now, (0, size - len(now)))
     ids = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total[ids], pa.int64())], names=["id", "n"])
 
@@ -186,7 +195,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def code_book(tokenised: DataFrame) -> DataFrame:
     """``id, length`` for each id that occurs. Each task counts what it reads; counts of an id are summed; the
     sums, at most ``MAX_SYMBOLS``, come to the driver."""
-    counts = tokenised.select("planes").mapInArrow(_counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counts = tokenised.select("counts", "planes").mapInArrow(_counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     rows = counts.limit(MAX_SYMBOLS + 1).toPandas().sort_values("id")
     if len(rows) > MAX_SYMBOLS:
         raise ValueError(f"more than {MAX_SYMBOLS} distinct ids")
@@ -199,26 +208,28 @@ def _encoded(book, bounds: list[int]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = batch.column(0)
-            for k in range(0, len(batch), 512):
-                planes = batch.column(2).slice(k, 512).to_pylist()
-                counts = batch.column(1).slice(k, 512).to_numpy(zero_copy_only=False)
-                payload, base, marks = book.value.encode(_from_planes(planes), counts)
-                ends = [*base[1:].tolist(), None]
-                cut = np.cumsum(-(-counts // SEGMENT))[:-1]
-                own = names.slice(k, 512)
-                key = own.cast(pa.int64()).fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
-                last = -(-int(marks[int(cut[-1]) if len(cut) else 0 :].sum()) // 8) + int(base[-1])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.searchsorted(bounds, key, side="left"), pa.int32()),
-                        own,
-                        pa.array(counts, pa.int64()),
-                        pa.array([payload[a : last if b is None else b] for a, b in zip(base.tolist(), ends, strict=True)], pa.binary()),
-                        pa.array([x.astype("<u2").tobytes() for x in np.split(marks, cut)], pa.binary()),
-                    ],
-                    names=["part", "doc_id", "n", "bits", "marks"],
-                )
+            for docs, counts, planes in zip(*batch.columns, strict=True):
+                all_counts = np.frombuffer(counts.as_py(), dtype="<u4").astype(np.int64)
+                ends = np.concatenate(([0], np.cumsum(all_counts)))
+                ids = _from_planes(planes.as_py(), int(ends[-1]))
+                for k in range(0, len(all_counts), 256):
+                    counts = all_counts[k : k + 256]
+                    payload, base, marks = book.value.encode(ids[ends[k] : ends[k + len(counts)]], counts)
+                    parts = -(-counts // SEGMENT)
+                    cut = np.cumsum(parts)[:-1]
+                    own = docs.values.slice(k, len(counts))
+                    key = own.cast(pa.int64()).fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
+                    sizes = (np.add.reduceat(marks, np.cumsum(parts) - parts) + 7) // 8
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(np.searchsorted(bounds, key, side="left"), pa.int32()),
+                            own,
+                            pa.array(counts, pa.int64()),
+                            pa.array([payload[a : a + n] for a, n in zip(base.tolist(), sizes.tolist(), strict=True)], pa.binary()),
+                            pa.array([x.astype("<u2").tobytes() for x in np.split(marks, cut)], pa.binary()),
+                        ],
+                        names=["part", "doc_id", "n", "bits", "marks"],
+                    )
 
     return run
 
@@ -261,16 +272,17 @@ def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
     no blocks; further columns are ignored.
     """
     key = docs.schema[id_col].dataType
-    schema = T.StructType([T.StructField("doc_id", key), T.StructField("n", T.LongType()), T.StructField("planes", T.BinaryType())])
+    schema = T.StructType([T.StructField("docs", T.ArrayType(key)), T.StructField("counts", T.BinaryType()), T.StructField("planes", T.BinaryType())])
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    tokenised = written(rows.mapInArrow(_tokenised(tokenizer or default_path(), end, schema), schema), "tokenised")
+    tokenised = written(rows.mapInArrow(_tokenised(tokenizer or default_path(), end, schema.names), schema), "tokenised")
     book = code_book(tokenised)
     book.coalesce(1).write.parquet(f"{path}/book")
     spark = docs.sparkSession
     codes = spark.sparkContext.broadcast(_read_book(spark, path))  # bounded: at most MAX_SYMBOLS codes
     width = shuffle_width(spark)
     fractions = [i / width for i in range(1, width)]
-    bounds = tokenised.agg(F.percentile_approx(F.col("doc_id").cast("long"), fractions, 100 * width).alias("b")).first().b if fractions else []
+    each = tokenised.select(F.explode(F.col("docs").cast("array<long>")).alias("doc_id"))
+    bounds = each.agg(F.percentile_approx("doc_id", fractions, 100 * width).alias("b")).first().b if fractions else []
     coded = T.StructType(
         [T.StructField("part", T.IntegerType()), T.StructField("doc_id", key), T.StructField("n", T.LongType())]
         + [T.StructField(c, T.BinaryType()) for c in ("bits", "marks")]
@@ -296,7 +308,7 @@ def _read_book(spark: SparkSession, path: str) -> Book:
     return Book(rows["id"].to_numpy(), rows["length"].to_numpy())
 
 
-def _decoded(book, schema: T.StructType):
+def _decoded(book, schema: T.StructType, digests: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = book.value.table()
         for batch in batches:
@@ -307,18 +319,21 @@ def _decoded(book, schema: T.StructType):
                 raw = decode(table, book.value.bits, payload.as_py(), counts, marks).astype("<u4").tobytes()
                 ends = np.cumsum(counts)
                 firsts = ends - counts
-                ids = [raw[4 * a : 4 * b] for a, b in zip(firsts.tolist(), ends.tolist(), strict=True)]
+                view = memoryview(raw)
+                ids = [view[4 * a : 4 * b] for a, b in zip(firsts.tolist(), ends.tolist(), strict=True)]
+                last = pa.array(map(zlib.crc32, ids), pa.int64()) if digests else pa.array(map(bytes, ids), pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [docs.values, pa.array(start.as_py() + firsts, pa.int64()), pa.array(counts, pa.int64()), pa.array(ids, pa.binary())],
+                    [docs.values, pa.array(start.as_py() + firsts, pa.int64()), pa.array(counts, pa.int64()), last],
                     names=schema.names,
                 )
 
     return run
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
+def read(spark: SparkSession, path: str, digests: bool = False) -> DataFrame:
     """``doc_id, start, n_tokens, ids`` of each document: the ids before it in the whole, and its own as
-    little-endian unsigned 32-bit integers. Each block is decoded by itself."""
+    little-endian unsigned 32-bit integers. Each block is decoded by itself. With ``digests`` the CRC-32 of
+    those bytes, ``ids_crc32``, takes their place."""
     blocks = spark.read.parquet(f"{path}/blocks")
     key = blocks.schema["docs"].dataType.elementType
     codes = spark.sparkContext.broadcast(_read_book(spark, path))
@@ -326,14 +341,14 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     firsts = sums.select("part", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("first"))
     schema = T.StructType(
-        [T.StructField("doc_id", key), T.StructField("start", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())]
+        [T.StructField("doc_id", key), T.StructField("start", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_crc32", T.LongType()) if digests else T.StructField("ids", T.BinaryType())]
     )
     placed = blocks.join(F.broadcast(firsts), "part").select((F.col("first") + F.col("start")).alias("start"), "docs", "counts", "bits", "marks")
-    return placed.mapInArrow(_decoded(codes, schema), schema)
+    return placed.mapInArrow(_decoded(codes, schema, digests), schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     """All documents, written and read back."""
     path = f"{shared_dir(spark)}/token-files/{uuid.uuid4().hex}"
     write(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), path)
-    return read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return read(spark, path, digests=True)
