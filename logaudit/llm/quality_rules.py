@@ -23,9 +23,10 @@ RULES: list[tuple[str, str]] = [
     ("long_words", "word_chars > 14 * n_words"),
     ("shouting", "5 * n_upper > 2 * word_chars"),
     ("exclaiming", "5 * n_exclaim > n_words"),
-    ("duplicate_lines", "10 * n_dup_lines > 3 * n_lines"),
+    ("duplicate_lines", "2 * n_dup_lines > n_lines"),
     ("ellipsis_lines", "10 * n_ellipsis_lines > 3 * n_lines"),
     ("bullet_lines", "10 * n_bullet_lines > 9 * n_lines"),
+    ("stuttering", "10 * n_stutter > 3 * n_words"),
 ]
 BITS = {name: 1 << i for i, (name, _) in enumerate(RULES)}
 
@@ -105,6 +106,7 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         left("A-Z").alias("n_upper"),
         left("!").alias("n_exclaim"),
         lines(r"(\.\.\.|…)[\x20\x09-\x0D]*\z").alias("n_ellipsis_lines"),
+        F.size(F.filter(F.zip_with("_w", F.slice("_w", 2, F.size("_w") + 1), lambda a, b: a == b), lambda same: same)).cast("long").alias("n_stutter"),
         lines(r"\A[\x20\x09-\x0D]*[-*•][\x20\x09-\x0D]").alias("n_bullet_lines"),
     )
 
@@ -121,7 +123,10 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     for name, condition in RULES:
         bit = F.when(F.expr(condition), F.lit(BITS[name])).otherwise(F.lit(0)).cast("long")
         failed = bit if failed is None else failed.bitwiseOR(bit)
-    return measured.withColumn("failed", failed)
+    entries = measured.withColumn("failed", failed)
+    # A filter on the entries must read the bits, not work the rules out again for each of its terms: it isn't
+    # moved below the generator of its own columns.
+    return entries.select(F.explode(F.array(F.struct("*"))).alias("e")).select("e.*")
 
 
 def apply_policy(entries: DataFrame, policy: str = CURRENT) -> DataFrame:
@@ -198,6 +203,7 @@ WITH d AS (
          len(l) AS n_lines, length(regexp_replace(t, '[^A-Z]+', '', 'g')) AS n_upper,
          length(regexp_replace(t, '[^!]+', '', 'g')) AS n_exclaim,
          len(list_filter(l, lambda x: regexp_matches(x, '(\.\.\.|…)[\x20\x09-\x0D]*$'))) AS n_ellipsis_lines,
+         len(list_filter(range(1, len(w)), lambda i: w[i] = w[i + 1])) AS n_stutter,
          len(list_filter(l, lambda x: regexp_matches(x, '^[\x20\x09-\x0D]*[-*•][\x20\x09-\x0D]'))) AS n_bullet_lines
   FROM p LEFT JOIN cov ON cov.doc_id = p.doc_id
 ), f AS (
