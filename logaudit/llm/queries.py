@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from logaudit.llm import decontamination, huffman, packing, quality_rules, sharding, simhash
+from logaudit.llm import decontamination, huffman, line_dedup, packing, quality_rules, sharding, simhash
 
 QUERIES = {
     "op3_hash_tree_sharding": sharding.query,
     "op4_simhash_pivots": simhash.query,
+    "op5_deletion_neighbourhood_lines": line_dedup.query,
     "op6_huffman_token_files": huffman.query,
     "op8_tier_packing": packing.query,
     "op9_benchmark_decontamination": decontamination.query,
