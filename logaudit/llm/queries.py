@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from logaudit.llm import decontamination, huffman, line_dedup, packing, quality_rules, sharding, simhash
+from logaudit.llm import decontamination, huffman, line_dedup, packing, quality_rules, secret_scan, sharding, simhash
 
 QUERIES = {
+    "op1_secret_forest": secret_scan.query,
     "op3_hash_tree_sharding": sharding.query,
     "op4_simhash_pivots": simhash.query,
     "op5_deletion_neighbourhood_lines": line_dedup.query,
