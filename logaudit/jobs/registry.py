@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from logaudit.jobs import log_queries, signal_queries
+
+QUERIES: dict = log_queries.Q | signal_queries.Q
+ORACLE_SQL: dict = log_queries.S | signal_queries.S
