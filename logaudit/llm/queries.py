@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from logaudit.llm import decontamination, huffman, line_dedup, packing, quality_rules, secret_scan, sharding, simhash
+from logaudit.llm import decontamination, huffman, line_dedup, packing, passage_dedup, quality_rules, secret_scan, sharding, simhash
 
 QUERIES = {
     "op1_secret_forest": secret_scan.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_simhash_pivots": simhash.query,
     "op5_deletion_neighbourhood_lines": line_dedup.query,
     "op6_huffman_token_files": huffman.query,
+    "op7_paragraph_minhash": passage_dedup.query,
     "op8_tier_packing": packing.query,
     "op9_benchmark_decontamination": decontamination.query,
     "op10_quality_ledger": quality_rules.query,
