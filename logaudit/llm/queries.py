@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from logaudit.llm import decontamination, huffman, line_dedup, packing, passage_dedup, quality_rules, secret_scan, sharding, simhash
+from logaudit.llm import decontamination, huffman, line_dedup, ngram_trie, packing, passage_dedup, quality_rules, secret_scan, sharding, simhash
 
 QUERIES = {
     "op1_secret_forest": secret_scan.query,
+    "op2_elias_fano_bigrams": ngram_trie.query,
     "op3_hash_tree_sharding": sharding.query,
     "op4_simhash_pivots": simhash.query,
     "op5_deletion_neighbourhood_lines": line_dedup.query,
