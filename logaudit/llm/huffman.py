@@ -161,6 +161,7 @@ def _tokenised(path: str, end: int, names: list[str]):
                     ],
                     names=names,
                 )
+        coder.trim()
 
     return run
 

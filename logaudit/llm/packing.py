@@ -155,6 +155,7 @@ def _pieces(path: str, end: int, schema: T.StructType, tiers: tuple[int, ...]):
                 if len(packer.pool) >= POOL:
                     packer.pack(POOL // 4)
                 yield rows()
+        coder.trim()
         packer.finish()
         if kind is not None:
             yield rows()

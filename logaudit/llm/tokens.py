@@ -13,14 +13,16 @@ import os
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Distinct chunks that a worker remembers; when there are more it starts anew.
-CACHE_CHUNKS = 700_000
+#: Distinct chunks that a worker remembers, and how many it keeps when there are more or a task ends: those that
+#: came first, which are the frequent ones.
+CACHE_CHUNKS, KEPT_CHUNKS = 600_000, 100_000
 #: Bytes of text that are split at a time.
 SLICE_BYTES = 10_000_000
 
@@ -62,6 +64,10 @@ class Encoder:
             self.alphabet = {b: chr(256 + i) for i, b in enumerate(others)}
             self.blank = self.alphabet[32]
 
+    def trim(self) -> None:
+        """Forgets rare chunks: an idle worker holds little."""
+        self.cache = dict(islice(self.cache.items(), KEPT_CHUNKS))
+
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         """By the library alone."""
         return [np.asarray(x.ids, dtype="<u4") for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -108,7 +114,7 @@ class Encoder:
         coded = lists.flatten().dictionary_encode()
         chunks = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.cache) > CACHE_CHUNKS:
-            self.cache.clear()
+            self.trim()
         found = list(map(self.cache.get, chunks))
         if None in found:
             self._learn([c for c, x in zip(chunks, found, strict=True) if x is None])
