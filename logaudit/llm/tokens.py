@@ -27,6 +27,7 @@ CACHE_CHUNKS, KEPT_CHUNKS = 600_000, 100_000
 SLICE_BYTES = 10_000_000
 
 _W = r"[\t\n\v\f\r \x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Three blanks in a row, two at the end, or the character that marks a text's first chunk here.
 _UNSAFE = rf"{_W}{{2}}(?:{_W}|\z)|\x00"
 
@@ -57,7 +58,7 @@ class Encoder:
         if self.chunked:
             newline = self.tokenizer.encode("\n", add_special_tokens=False).ids
             self.chunked, self.newline = len(newline) == 1, newline[0]
-            self.marks = {x: ids.tobytes() for x, ids in zip(".,", self.whole(list(".,")), strict=True)}
+            self.marks: dict[str, bytes] = {}
             # Each byte has a printable character: its own, or one of those from 256 on, in order.
             own = [*range(33, 127), *range(161, 173), *range(174, 256)]
             others = [b for b in range(256) if b not in own]
@@ -132,19 +133,18 @@ class Encoder:
 
     def _learn(self, chunks: list[str]) -> None:
         """Encodes chunks. One that is letters behind its blank, or without one, is a piece that the tokenizer
-        doesn't split, so its model alone takes it, in the byte alphabet. A mark behind letters is a piece of
-        its own. All others go through the whole tokenizer."""
+        doesn't split, so its model alone takes it, in the byte alphabet. The marks behind letters are a piece
+        of their own. All others go through the whole tokenizer."""
         cache, model, alphabet = self.cache, self.tokenizer.model, self.alphabet
         rest, tails = [], []
         for c in chunks:
             body = c[1:] if c[:1] in "\n\x00" and c else c
-            tail = ""
-            if body and body[-1] in ".,":
-                body, tail = body[:-1], body[-1]
+            letters = body.rstrip(_MARKS)
+            tail, body = body[len(letters) :], letters
             if not body.isalpha():
                 rest.append(c)
                 continue
-            head = c[:-1] if tail else c
+            head = c[: len(c) - len(tail)]
             if head not in cache:
                 word = body if len(body) < len(head) else " " + body
                 if not body.isascii():
@@ -157,8 +157,12 @@ class Encoder:
                 cache[head] = array("I", ids).tobytes()
             if tail:
                 tails.append((c, head, tail))
+        new = sorted({tail for _, _, tail in tails}.difference(self.marks))
+        self.marks.update(zip(new, (x.tobytes() for x in self.whole(new)) if new else (), strict=True))
         for c, head, tail in tails:
             cache[c] = cache[head] + self.marks[tail]
+        if len(self.marks) > KEPT_CHUNKS:
+            self.marks.clear()
         for c, ids in zip(rest, self.whole([self._text(c) for c in rest]) if rest else (), strict=True):
             cache[c] = ids.tobytes()
 
