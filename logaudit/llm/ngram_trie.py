@@ -27,8 +27,8 @@ from logaudit.llm.common import written
 FOLDS, HELD = 5, 1
 END = np.uint64(1)
 #: Tokens of a batch, which one task holds, and of a shard's share.
-BATCH_TOKENS = 3_000_000
-SHARD_TOKENS = 6_000_000
+BATCH_TOKENS = 2_000_000
+SHARD_TOKENS = 1_500_000
 #: A context with this share of a batch is hot there; at most twice as many can reach half of it in all.
 HOT = 1000
 _SLICE_BYTES = 8_000_000
@@ -204,6 +204,11 @@ class _Batch:
         return ((_mixed(c) + np.where(spread, _mixed(w ^ np.uint64(0x5555)), np.uint64(0))) % np.uint64(n)).astype(np.int64)
 
 
+def _parted(shard: np.ndarray, n: int) -> list[np.ndarray]:
+    """The places of each shard's members, in order."""
+    return np.split(np.argsort(shard, kind="stable"), np.cumsum(np.bincount(shard, minlength=n))[:-1])
+
+
 def _opened(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.Array, _Batch]]:
     for k in range(len(batch)):
         row = {name: batch.column(name)[k] for name in ("batch", "ids", "tokens", "counts", "held", "uniq", "planes")}
@@ -228,8 +233,7 @@ def _asking(hot: np.ndarray, shards: int):
                 contexts, words, _, counts = b.pairs()
                 shard, own = b.shards(contexts, words, hot, shards), (_mixed(b.words) % np.uint64(shards)).astype(np.int64)
                 wn = b.word_counts()
-                for s in range(shards):
-                    p, w = np.flatnonzero(shard == s), np.flatnonzero(own == s)
+                for s, (p, w) in enumerate(zip(_parted(shard, shards), _parted(own, shards), strict=True)):
                     first = np.flatnonzero(np.diff(contexts[p], prepend=-1))
                     runs = np.diff(np.append(first, len(p)))
                     values = [
@@ -305,9 +309,10 @@ def _scoring(hot: np.ndarray, few_hot: np.ndarray, shards: int, d: tuple, total:
                 contexts, words, which, _ = b.pairs()
                 shard, own = b.shards(contexts, words, hot, shards), (_mixed(b.words) % np.uint64(shards)).astype(np.int64)
                 code, c, few = np.zeros(len(contexts), "<u2"), np.zeros(len(b.words), np.int64), np.zeros((len(b.words), 3), np.int64)
+                of_pairs, of_words = _parted(shard, shards), _parted(own, shards)
                 for x in answers[k].as_py():
-                    code[shard == x["shard"]] = np.frombuffer(x["a"], dtype="<u2")
-                    w = own == x["shard"]
+                    code[of_pairs[x["shard"]]] = np.frombuffer(x["a"], dtype="<u2")
+                    w = of_words[x["shard"]]
                     c[w] = np.frombuffer(x["b"], dtype="<u8").astype(np.int64)
                     few[w] = np.frombuffer(x["c"], dtype="<u4").reshape(3, -1).T
                 at = np.minimum(np.searchsorted(hot, b.words), max(0, len(hot) - 1))
