@@ -207,13 +207,16 @@ def links(fps: DataFrame, distance: int = DISTANCE, bound: int = GROUP) -> DataF
 
 
 def classes(prints: DataFrame, id_col: str = "doc_id", distance: int = DISTANCE, bound: int = GROUP) -> DataFrame:
-    """``fp, component_id``: for each fingerprint of ``prints`` the least id that can be reached from it."""
+    """``fp, first, component, component_id``: for each fingerprint of ``prints`` its own least id, the least
+    fingerprint of its component, which no other component has, and the least id that can be reached from it."""
     firsts = written(prints.groupBy("fp").agg(F.min(id_col).alias("first")), "firsts")
     joined = components(links(firsts.select("fp"), distance, bound)).withColumnRenamed("node", "fp")
     linked = written(joined.join(firsts, "fp"), "linked")
     least = linked.groupBy("component").agg(F.min("first").alias("component_id"))
-    of_linked = linked.join(least, "component").select("fp", "component_id")
-    return firsts.join(of_linked, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
+    of_linked = linked.join(least, "component").select("fp", "component", "component_id")
+    return firsts.join(of_linked, "fp", "left").select(
+        "fp", "first", F.coalesce("component", "fp").alias("component"), F.coalesce("component_id", "first").alias("component_id")
+    )
 
 
 def near_duplicates(
@@ -233,19 +236,17 @@ def near_duplicates(
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
-    """The rows that stay when one of each component does: the one of least id, and of several rows of that
-    id the one of least fingerprint. The columns are those of ``docs``."""
+    """The rows that stay when one of each component does: the one of least id, nulls last, and of several rows
+    of that id the one of least fingerprint. Components are told apart by their fingerprints, so rows without
+    an id, or with an id that other texts have too, stay unless their own component has another. The columns
+    are those of ``docs``."""
     own = docs.columns
     kept = [F.col(f"`{c}`") for c in own]
     rows = docs.select(F.struct(*kept).alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     rows = written(fingerprints(rows).drop("text"), "with_prints")
-    found = written(rows.select("doc_id", "fp").join(classes(rows.select("doc_id", "fp")), "fp"), "classes")
-    winners = (
-        found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-        .groupBy("doc_id")
-        .agg(F.min("fp").alias("fp"))
-    )
-    same = winners.withColumnsRenamed({"doc_id": "w_id", "fp": "w_fp"})
+    least = F.min(F.struct(F.col("first").isNull().alias("without"), "first", "fp")).alias("least")
+    winners = classes(rows.select("doc_id", "fp"), "doc_id", distance).groupBy("component").agg(least)
+    same = winners.select(F.col("least.first").alias("w_id"), F.col("least.fp").alias("w_fp"))
     staying = rows.join(same, (F.col("fp") == F.col("w_fp")) & F.col("doc_id").eqNullSafe(F.col("w_id")), "left_semi")
     return staying.dropDuplicates(["doc_id", "fp"]).select("row.*")
 

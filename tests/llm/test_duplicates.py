@@ -70,6 +70,14 @@ def test_simhash_rows(spark):
     assert simhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_simhash_keeps_one_row_of_each_component(spark):
+    rnd = random.Random(8)
+    a, b, c, d, e = (" ".join("".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(40)) for _ in range(5))
+    rows = [(None, a), (None, a), (None, b), (None, c), (5, d), (5, e), (7, e.upper()), (None, e), (8, c.title())]
+    kept = simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.text.lower()) for r in kept) == sorted([(0, a), (0, b), (8, c), (5, d), (5, e)])
+
+
 def distance(a, b):
     d = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
