@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from logaudit.llm.common import components, written
 
-#: Lines of fewer words are left alone: one edit would make up most of them.
+#: Lines of fewer words have no variants, since one edit would make up most of them: they match if all words do.
 MIN_WORDS = 5
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -47,7 +47,7 @@ def half_keys(words: list[bytes]) -> list[int]:
 _LINES = "rid long, line int, h long, keys array<long>"
 
 
-def _lines(min_words: int):
+def _lines(min_words: int, short: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, len(batch), 500):
@@ -55,11 +55,11 @@ def _lines(min_words: int):
                 for r, text in zip(batch.column(0).slice(k, 500).to_pylist(), batch.column(1).slice(k, 500).to_pylist(), strict=True):
                     for i, line in enumerate((text or "").split("\n")):
                         words = words_of(line)
-                        if len(words) >= min_words:
+                        if words and (short or len(words) >= min_words):
                             rid.append(r)
                             at.append(i)
                             h.append(_hash(words))
-                            keys.append(half_keys(words))
+                            keys.append(half_keys(words) if len(words) >= min_words else [])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(rid, pa.int64()), pa.array(at, pa.int32()), pa.array(h, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
                     names=["rid", "line", "h", "keys"],
@@ -159,16 +159,17 @@ def with_rid(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(F.col(id_col), text).alias("rid"))
 
 
-def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, short: bool = False) -> DataFrame:
     """``rid, doc_id, lines, class_sizes``: the numbers of the lines (from 0, by newlines) that aren't the
     earliest of their class, and how many occurrences each one's class has.
 
-    A class is what links of one edit connect; the earliest is the first by doc_id (nulls first), then by
+    A class is what links of one edit connect. Lines of fewer than ``min_words`` words are left alone or, if
+    ``short`` is set, are in a class of equal words; lines without words are in none. The earliest is the first by doc_id (nulls first), then by
     text hash, then by line. Null and empty texts have no lines to compare; rows equal in id and text share
     an entry; an empty table gives no rows; other columns are ignored. Texts without such lines are absent.
     """
     rows = with_rid(docs, id_col, text_col)
-    lines = written(rows.select("rid", "text").mapInArrow(_lines(min_words), _LINES), "lines")
+    lines = written(rows.select("rid", "text").mapInArrow(_lines(min_words, short), _LINES), "lines")
     ids = written(rows.select("rid", "doc_id").distinct(), "ids")
     distinct = written(
         lines.groupBy("h").agg(F.min_by(F.struct("rid", "line", "keys"), F.struct("rid", "line")).alias("x"), F.count("*").alias("n")).select("h", "n", "x.*"),
@@ -189,9 +190,9 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """The rows of ``docs`` without the duplicate lines in their texts. Every row stays, if only with an empty
+    """The rows of ``docs`` without the duplicate lines in their texts, short ones too. Every row stays, if only with an empty
     text; null texts stay null; an ``n_chars`` column follows the new text."""
-    gone = duplicate_lines(docs, id_col, text_col, min_words).select(F.col("rid").alias("_rid"), F.col("lines").alias("_gone"))
+    gone = duplicate_lines(docs, id_col, text_col, min_words, short=True).select(F.col("rid").alias("_rid"), F.col("lines").alias("_gone"))
     text = F.col(text_col).cast("string")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     rows = docs.select(row.alias("row"), F.xxhash64(F.col(id_col), text).alias("_rid"), text.alias("_text")).join(gone, "_rid", "left")
@@ -211,7 +212,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def query(spark, sf_dir: str) -> DataFrame:
     """Duplicate lines of all documents: one row for each document, with none or more line numbers."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    gone = duplicate_lines(docs).select("rid", "lines", "class_sizes")
+    gone = duplicate_lines(docs, short=True).select("rid", "lines", "class_sizes")
     rows = with_rid(docs, "doc_id", "text").select("doc_id", "rid").join(gone, "rid", "left")
     return rows.select(
         "doc_id",

@@ -119,6 +119,12 @@ def test_line_dedup_rewrites_texts(spark):
     assert line_dedup.deduplicated(df.limit(0)).count() == 0
 
 
+def test_line_dedup_takes_equal_short_lines(spark):
+    df = spark.createDataFrame([(1, "Home\n\nAll rights reserved.\na b c d"), (2, "all  rights RESERVED.\n\nhome\na b c x"), (3, " \nHome page")], "doc_id long, text string")
+    rows = {r.doc_id: r.text for r in line_dedup.deduplicated(df).collect()}
+    assert rows == {1: "Home\n\nAll rights reserved.\na b c d", 2: "\na b c x", 3: " \nHome page"}
+
+
 def test_bands_reach_the_recall():
     for s, r in ((0.8, 0.99), (0.8, 0.9), (0.5, 0.95)):
         b, n = passage_dedup.bands(s, r)
