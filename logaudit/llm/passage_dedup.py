@@ -25,16 +25,21 @@ SHINGLE = 5
 SIMILARITY = 0.8
 RECALL = 0.99
 MIN_LINE = 10
+#: Rows of a band, and of the bands in which the lines of groups over the bound are dealt anew.
+ROWS, MORE_ROWS = 3, (6, 10)
+#: Lines of a group that are all compared with each other at once.
+GROUP = 32
 #: Words on either side among which a paragraph's first word has the least hash.
 REACH = 6
 #: Runs of fewer repeated words are no passage.
 MIN_RUN = 18
 
 
-def bands(similarity: float = SIMILARITY, recall: float = RECALL, most: int = 64) -> tuple[int, int]:
-    """Bands and rows: of the pairs whose recall at the similarity is met, the one of fewest hashes."""
+def bands(similarity: float = SIMILARITY, recall: float = RECALL, most: int = 64, least: int = 1) -> tuple[int, int]:
+    """Bands and rows: of the pairs whose recall at the similarity is met, the one of fewest hashes that has
+    ``least`` rows in a band or more."""
     fits = [
-        (b * r, -r, b, r) for b in range(1, most + 1) for r in range(1, most // b + 1) if 1 - (1 - similarity**r) ** b >= recall
+        (b * r, -r, b, r) for b in range(1, most + 1) for r in range(least, most // b + 1) if 1 - (1 - similarity**r) ** b >= recall
     ]
     return min(fits)[2:]
 
@@ -73,10 +78,16 @@ def starts(words: np.ndarray, reach: int = REACH) -> np.ndarray:
     return np.flatnonzero((words < left) & (words <= right))
 
 
-def _units(n_bands: int, rows: int, reach: int):
-    seeds = _mixed(np.arange(1, n_bands * rows + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-
+def _band_keys(own: np.ndarray, cuts: np.ndarray, n_bands: int, rows: int) -> np.ndarray:
+    """A key for each line and band, of lines whose shingles start at the cuts."""
+    seeds = _mixed(np.arange(1, n_bands * rows + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(rows << 32))
+    # Rows aren't interchangeable within a band: each is mixed with its seed before they are added up.
+    least = np.stack([_mixed(np.minimum.reduceat(_mixed(own ^ s), cuts) + s) for s in seeds], axis=1)
     bases = _mixed(np.arange(n_bands, dtype=np.uint64) + np.uint64(99))
+    return _mixed(least.reshape(len(cuts), n_bands, rows).sum(axis=2, dtype=np.uint64) + bases)
+
+
+def _units(n_bands: int, rows: int, reach: int):
 
     def contents(words: np.ndarray, first: np.ndarray, n: np.ndarray, salt: int) -> np.ndarray:
         """A hash of each of some runs of words, by their order within the run."""
@@ -101,8 +112,7 @@ def _units(n_bands: int, rows: int, reach: int):
             within = np.arange(int(per.sum())) - np.repeat(np.cumsum(per) - per, per)
             own = found[np.repeat(first, per) + within]
             cuts = np.cumsum(per) - per
-            least = np.stack([np.minimum.reduceat(_mixed(own ^ s), cuts) for s in seeds], axis=1)
-            keys = _mixed(least.reshape(len(first), n_bands, rows).sum(axis=2, dtype=np.uint64) + bases)
+            keys = _band_keys(own, cuts, n_bands, rows)
         return (
             np.concatenate((at[:-1], first)), np.concatenate((size, n)),
             np.concatenate((contents(words, at[:-1], size, 0), contents(words, first, n, 1))), len(size), keys,
@@ -139,24 +149,81 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([w["h"] for w in wanted], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["h", "set"])
 
 
-def line_links(rows: DataFrame, units: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``a, b``: lines that collide in a band and are similar enough. In each band a line meets the two lines
-    of least and of greatest hash, so that a frequent line doesn't meet all others."""
+def _dealt(n_bands: int, rows: int):
+    """Lines in further bands, from their shingle sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, len(batch), 200):
+                sets = batch.column(1).slice(k, 200)
+                own = sets.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+                n = np.array([len(x) for x in sets], dtype=np.int64)
+                keys = _band_keys(own, np.cumsum(n) - n, n_bands, rows).view(np.int64)
+                h = batch.column(0).slice(k, 200).to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(h, n_bands)), pa.array(keys.reshape(-1))], names=["h", "key"])
+
+    return run
+
+
+def _of_groups(keyed: DataFrame, bound: int) -> tuple[DataFrame, DataFrame]:
+    """``a, b``: all pairs of groups within the bound; and of larger groups each line with the least and the
+    greatest. Then the lines of the larger groups."""
+    ends = keyed.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high"), F.count("*").alias("n")).where("n > 1")
+    met = written(keyed.join(ends, "key"), "met")
+    few, many = met.where(F.col("n") <= bound).select("key", "h"), met.where(F.col("n") > bound)
+    pairs = few.withColumnRenamed("h", "a").join(few.withColumnRenamed("h", "b"), "key").where("a < b").select("a", "b")
+    star = many.select(F.explode(F.array(F.struct(F.col("low").alias("a"), F.col("h").alias("b")), F.struct(F.col("h").alias("a"), F.col("high").alias("b")))).alias("p")).select("p.*")
+    return pairs.union(star.where("a <> b")).distinct(), many.select("key", "h")
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose sets are similar enough."""
+    of = lambda c: sets.select(F.col("h").alias(c), F.col("set").alias(f"s{c}"), F.size("set").alias(f"n{c}"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b").where(F.least("na", "nb") >= F.lit(similarity) * F.greatest("na", "nb"))
+    common = F.size(F.array_intersect("sa", "sb"))
+    return both.where(common >= F.lit(similarity) * (F.col("na") + F.col("nb") - common)).select("a", "b")
+
+
+def _apart(many: DataFrame, links: DataFrame) -> DataFrame:
+    """``key, h, class``: lines of the groups that the links so far leave in more than one piece."""
+    joined = components(links).withColumnRenamed("node", "h")
+    now = written(many.join(joined, "h", "left").select("key", "h", F.coalesce("component", "h").alias("class")), "groups")
+    open_ = now.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("key")
+    return written(now.join(open_, "key"), "open_groups")
+
+
+def line_links(rows: DataFrame, units: DataFrame, similarity: float = SIMILARITY, bound: int = GROUP) -> DataFrame:
+    """``a, b``: links that connect the lines which collide in a band and are similar enough.
+
+    In a group of up to ``bound`` lines all pairs are verified. In a larger one each line meets the least and
+    the greatest first; if that leaves the group in pieces, all its lines are dealt anew in bands of more rows
+    and other seeds. What the last bands leave in pieces is compared in full, each line with those of other
+    pieces.
+    """
     lines = units.where("size(keys) > 0").groupBy("h").agg(F.min_by(F.struct("rid", "start", "n", "keys"), F.struct("rid", "start")).alias("x")).select("h", "x.*")
     lines = written(lines, "distinct_lines")
-    keyed = lines.select("h", F.explode("keys").alias("key"))
-    ends = keyed.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low <> high")
-    met = keyed.join(ends, "key").select(F.explode(F.array(F.struct(F.col("low").alias("a"), F.col("h").alias("b")), F.struct(F.col("h").alias("a"), F.col("high").alias("b")))).alias("p")).select("p.*")
-    pairs = written(met.where("a <> b").distinct(), "pairs")
+    found, many = _of_groups(lines.select("h", F.explode("keys").alias("key")), bound)
+    pairs = written(found, "pairs")
     needed = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct().join(lines, "h")
     wanted = needed.groupBy("rid").agg(F.collect_list(F.struct("h", "start", "n")).alias("wanted"))
     texts = rows.select("rid", "text").join(wanted, "rid").dropDuplicates(["rid"])
     sets = written(texts.select("text", "wanted").mapInArrow(_sets, "h long, set array<long>"), "sets")
-    of = lambda c: sets.select(F.col("h").alias(c), F.col("set").alias(f"s{c}"))
-    both = pairs.join(of("a"), "a").join(of("b"), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    union = F.size("sa") + F.size("sb") - common
-    return both.where(common >= F.lit(similarity) * union).select("a", "b")
+    links = written(_similar(pairs, sets, similarity), "links")
+    for least in MORE_ROWS:
+        if many.isEmpty():
+            return links
+        left = _apart(many, links)
+        if left.isEmpty():
+            return links
+        own = sets.join(left.select("h").distinct(), "h").select("h", "set")
+        found, many = _of_groups(own.mapInArrow(_dealt(*bands(similarity, most=512, least=least)), "h long, key long"), bound)
+        links = links.union(written(_similar(found, sets, similarity), "links"))
+    left = _apart(many, links)
+    if left.isEmpty():
+        return links
+    of = lambda c: left.select("key", F.col("h").alias(c), F.col("class").alias(f"c{c}"))
+    rest = of("a").join(of("b"), "key").where("ca < cb").select("a", "b").distinct()
+    return links.union(written(_similar(rest, sets, similarity), "links"))
 
 
 def repeated_passages(
@@ -170,7 +237,7 @@ def repeated_passages(
     alone doesn't count; an empty table gives no rows; further columns are ignored.
     """
     rows = with_rid(docs, id_col, text_col)
-    units = written(rows.select("rid", "text").mapInArrow(_units(*bands(similarity), reach), "rid long, start int, n int, h long, keys array<long>"), "units")
+    units = written(rows.select("rid", "text").mapInArrow(_units(*bands(similarity, least=ROWS), reach), "rid long, start int, n int, h long, keys array<long>"), "units")
     ids = written(rows.select("rid", "doc_id").distinct(), "ids")
     linked = written(components(line_links(rows, units, similarity)).withColumnRenamed("node", "h"), "line_classes")
     spread = units.groupBy("h").agg(F.min("rid").alias("low"), F.max("rid").alias("high"))

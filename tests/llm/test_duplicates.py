@@ -131,6 +131,28 @@ def test_bands_reach_the_recall():
         assert 1 - (1 - s**n) ** b >= r
 
 
+def test_lines_that_share_a_template_meet_their_copies(spark):
+    rnd = random.Random(12)
+    words = lambda n: ["".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
+    head, lines = words(45), []
+    for _ in range(600):
+        line = head + words(30)
+        near = list(line)
+        near[60] = "zzz"
+        lines += [line, near]
+    docs = spark.createDataFrame([(i, " ".join(line)) for i, line in enumerate(lines)], "doc_id long, text string")
+    rows = line_dedup.with_rid(docs, "doc_id", "text")
+    keyed = passage_dedup._units(*passage_dedup.bands(least=getattr(passage_dedup, "ROWS", 1)), passage_dedup.REACH)
+    units = common.written(rows.select("rid", "text").mapInArrow(keyed, "rid long, start int, n int, h long, keys array<long>"), "units")
+    at = {r.h: r.doc_id for r in units.where("size(keys) > 0").join(rows.select("rid", "doc_id"), "rid").collect()}
+    root = groups(len(lines), [(at[r.a], at[r.b]) for r in passage_dedup.line_links(rows, units).collect()])
+    sets = [{tuple(line[k : k + 5]) for k in range(len(line) - 4)} for line in lines]
+    brute = groups(len(lines), [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])])
+    together = lambda r: {(i, i + 1) for i in range(0, len(lines), 2) if r[i] == r[i + 1]}
+    assert len(together(brute)) == 600 and len(together(root)) >= 594
+    assert len(set(root)) >= len(set(brute))
+
+
 def test_passages(spark):
     rnd = random.Random(2)
     words = lambda n: ["".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
