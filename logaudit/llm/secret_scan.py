@@ -1,6 +1,7 @@
 """Secret scans: a wide net of candidates, and a random forest that removes the false positives.
 
-Candidates are words of eight characters or more with a digit. Their features are length, character
+Candidates are values of eight characters or more: words, what is glued together in them, and the values of
+``key=value`` pairs anywhere inside. Without a digit they need an announcing word, mixed case or low coverage. Their features are length, character
 transitions, coverage by the corpus's own dictionary, path shape and the neighbouring words. The forest is
 trained on labelled findings and scores all candidates. DataFrame functions do all of it.
 """
@@ -17,10 +18,20 @@ from logaudit.llm.common import written
 
 SPACE = r"[\x20\x09-\x0D]+"
 #: Words that announce a secret.
-ANNOUNCING = r"(?i)(password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth|bearer|credential)"
+ANNOUNCING = r"(?i)(password|passwd|pwd|pass[_-]?phrase|secret|token|api[_-]?key|access[_-]?key|auth|bearer|credential)"
 #: Formats that are a secret by themselves, and shapes that are none.
 KNOWN_SECRET = r"^(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]*)$"
 KNOWN_OTHER = r"^([^@\s]+@[^@\s]+\.[A-Za-z.]+|\d{1,3}(\.\d{1,3}){3}|[\d().+/:-]+|https?://\S+)$"
+#: A pair inside a word (looked for at each place, so that pairs may overlap), name and password in a
+#: link, what glues values together, and a word of letters that has no parts.
+PAIR = r"""(?<![A-Za-z0-9_.-])(?=([A-Za-z][A-Za-z0-9_.-]{0,63})["'\\]*[=:]+["'\\]*([^"'`,;?&|{}()\[\]<>\\]+))"""
+USERINFO = r"://([^/:@]*):([^/@]+)@"
+GLUE = r"""["'`,;?&|{}()\[\]<>\\]+"""
+PLAIN = r"^[\p{L}.,;!?]+$"
+#: Characters that are no part of a token, at both ends.
+EDGES = r"^[^\p{L}\p{N}+/_.~$-]+|[^\p{L}\p{N}+/_=-]+$"
+#: Share of a digit-free value in dictionary words under which it is a candidate by itself.
+LOW_COVERAGE = 0.5
 #: Occurrences from which a word belongs to the dictionary.
 LEXICON_COUNT = 5
 #: Labelled findings that the forest is fitted on, at most: those of least hash.
@@ -33,8 +44,10 @@ FEATURES = [
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, word, key, value, before, after``: the candidates of each row, ``word`` being their place among
-    the text's words. A ``key=value`` or ``key:value`` word is split, quotes and closing marks are cut off."""
+    """``doc_id, word, key, value, before, after``: the values of each row, ``word`` being their word's place among
+    the text's words. A word gives itself, the values of all pairs inside it and its parts between quotes, braces
+    and other glue, each different value once; quotes and other characters at the ends are cut off. Values without
+    a digit are among them: ``suspicious`` tells which of these are candidates."""
     text = F.col(text_col).cast("string")
     words = F.array_remove(F.split("t", SPACE), "")
     near = lambda w, i: F.coalesce(F.get(w, i), F.lit(""))
@@ -42,19 +55,43 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.transform(
             w,
             lambda x, i: F.when(
-                (F.length(x) >= 8) & x.rlike("[0-9]"),
+                F.length(x) >= 8,
                 F.struct(i.alias("word"), x.alias("raw"), F.concat_ws(" ", near(w, i - 2), near(w, i - 1)).alias("before"), near(w, i + 1).alias("after")),
             ),
         ),
         lambda x: x.isNotNull(),
     )
     # A one-element array binds the words to a lambda's variable: they are split once.
-    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("t")).where(F.col("t").rlike("[0-9]"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("t"))
     rows = rows.select("doc_id", F.explode(F.get(F.transform(F.array(words), found), F.lit(0))).alias("c")).select("doc_id", "c.*")
-    bare = F.regexp_replace("raw", r"""^["'(\[{<]+|["')\]}>.,;!?]+$""", "")
-    key = F.regexp_extract(bare, r"^([A-Za-z][A-Za-z0-9_-]{1,31})[=:]", 1)
-    value = F.regexp_replace(F.substring(bare, F.when(key != "", F.length(key) + 2).otherwise(F.lit(1)), F.length(bare)), r"""^["']+""", "")
-    return rows.select("doc_id", "word", key.alias("key"), value.alias("value"), "before", "after").where("length(value) >= 8")
+
+    def part(raw: Column) -> Column:
+        bare = F.regexp_replace(raw, r"""^["'(\[{<]+|["')\]}>.,;!?]+$""", "")
+        key = F.regexp_extract(bare, r"^([A-Za-z][A-Za-z0-9_-]{1,31})[=:]", 1)
+        value = F.regexp_replace(F.substring(bare, F.when(key != "", F.length(key) + 2).otherwise(F.lit(1)), F.length(bare)), r"""^["']+""", "")
+        trimmed = F.regexp_replace(value, EDGES, "")
+        return F.struct(key.alias("key"), F.when(F.length(trimmed) >= 8, trimmed).otherwise(value).alias("value"))
+
+    def pairs(pattern: str) -> Column:
+        both = [F.regexp_extract_all("raw", F.lit(pattern), F.lit(i)) for i in (1, 2)]
+        trimmed = lambda v: F.regexp_replace(v, EDGES, "")
+        return F.zip_with(*both, lambda k, v: F.struct(k.alias("key"), F.when(F.length(trimmed(v)) >= 8, trimmed(v)).otherwise(v).alias("value")))
+
+    whole = F.array(part(F.col("raw")))
+    # A quoted key's word is no value as a whole.
+    itself = F.filter(whole, lambda x: ~F.col("raw").rlike(r"""["'][=:]"""))
+    inside = F.concat(pairs(PAIR), pairs(USERINFO), itself, F.transform(F.split("raw", GLUE), part))
+    parts = F.filter(F.when(F.col("raw").rlike(PLAIN), whole).otherwise(inside), lambda x: F.length(x["value"]) >= 8)
+    once = lambda p: F.filter(p, lambda x, i: F.array_position(F.transform(p, lambda y: y["value"]), x["value"]) == i + 1)
+    rows = rows.select("doc_id", "word", F.explode(F.get(F.transform(F.array(parts), once), F.lit(0))).alias("p"), "before", "after")
+    return rows.select("doc_id", "word", "p.key", "p.value", "before", "after")
+
+
+def suspicious() -> Column:
+    """Which values with features are candidates: those with a digit, announced ones, those of mixed case and those
+    that dictionary words hardly cover."""
+    v = F.col("value")
+    return v.rlike("[0-9]") | F.col("key").rlike(ANNOUNCING) | F.col("before").rlike(ANNOUNCING) | v.rlike("[a-z][A-Z]") | (F.col("f_coverage") < LOW_COVERAGE)
 
 
 def lexicon(docs: DataFrame, text_col: str = "text", least: int = LEXICON_COUNT) -> DataFrame:
@@ -99,7 +136,7 @@ def known_formats(found: DataFrame) -> Column:
     announced = F.col("key").rlike(ANNOUNCING) | (F.col("before").rlike(ANNOUNCING) & F.col("before").rlike("[=:]$"))
     return (
         F.when(F.col("value").rlike(KNOWN_OTHER), F.lit(0))
-        .when(F.col("value").rlike(KNOWN_SECRET) | (announced & F.col("value").rlike("^[A-Za-z0-9+/_=-]{16,}$")), F.lit(1))
+        .when(F.col("value").rlike(KNOWN_SECRET) | (announced & F.col("value").rlike("^(?=.*[0-9])[A-Za-z0-9+/_=-]{16,}$")), F.lit(1))
         .cast("double")
     )
 
@@ -131,7 +168,7 @@ def scan(docs: DataFrame, label=known_formats, id_col: str = "doc_id", text_col:
     long text are rows like others. Without findings of both labels there is no forest, probabilities are null
     and all candidates count as secrets. Columns other than the two named are ignored.
     """
-    found = features(candidates(docs, id_col, text_col), lexicon(docs, text_col) if words is None else words)
+    found = features(candidates(docs, id_col, text_col), lexicon(docs, text_col) if words is None else words).where(suspicious())
     found = written(found.withColumn("label", label(found)), "candidates")
     model = train(found)
     if model is None:
