@@ -100,3 +100,13 @@ def test_claims(spark):
     assert [r.accepted for r in rows] == [True, True, False, True, True, False, False, False]
     assert [r.confidence for r in rows[:5]] == ["derived", "hypothesis", None, "hypothesis", "hypothesis"]
     assert "77" in rows[2].reason and "zz" in rows[5].reason
+
+
+def test_redaction_reaches_all_fields(spark):
+    kind = "name string, labels map<string,string>, evidence array<struct<kind:string,ref:string,excerpt:string,line_no:bigint>>"
+    ip = "8.8.4.4"
+    base = ("n", {"a": ip}, [("log", f"r {ip}", f"x {ip}", 1)])
+    s = redact.redact_signals(spark.createDataFrame([(*base, f"v {ip}", f"n {ip}"), ("n", {}, None, None, None)], f"{kind}, value_text string, note string")).collect()
+    f = redact.redact_findings(spark.createDataFrame([(*base, f"t {ip}", f"d {ip}", f"b {ip}", [f"c {ip}"])], f"{kind}, title string, detail string, baseline string, correlations array<string>")).collect()
+    assert ip not in str(s + f) and str(s[0]).count("ip:") == 6 and str(f).count("ip:") == 7
+    assert s[1].evidence is None and s[1].note is None
