@@ -1,38 +1,55 @@
 """Repeated passages by paragraph MinHash banding.
 
-Two kinds of paragraphs are compared. Lines of ten words or more are banded by MinHash over their five-word
-shingles, and pairs that collide are verified by exact Jaccard similarity. Passages that lie within lines or
-across them are found by paragraphs that the text itself delimits: a word whose hash is the least among its
-neighbours starts one, so the same passage is cut alike wherever it stands; these are too short for a
-tolerance, so their band is their whole content. Links make components; adjacent members make runs; of each
-component the earliest place stays.
+A text has two kinds of paragraphs: its lines of ten words or more, and its sliding paragraphs, the 25 words that
+begin at each place. Both are banded by MinHash, and both are verified where they collide.
+
+Lines are banded over five-word shingles, with bands tuned for a recall of 0.99 at the similarity; pairs are verified
+by exact Jaccard similarity. Sliding paragraphs find passages that begin or end within lines. They have one band, the
+least hash of their 16 ten-word shingles: neighbours mostly share it, so it is stored once for a run of them, and any
+25 words in common give a common band key. Two passages of over 50 words and a similarity of 0.8 have such a run, for
+an edit takes five shingles and they can't have two. Colliding places are aligned word by word, over edits and to both
+ends, and an aligned passage is verified by its Jaccard similarity again.
+
+Lines make components; a sliding paragraph's class is its band key. Of each the earliest place stays. Adjacent and
+overlapping members are one passage; passages of fewer than 50 words are none.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logaudit.llm.common import components, written
 from logaudit.llm.line_dedup import with_rid
+from logaudit.llm.sharding import numbered
 
 SHINGLE = 5
 SIMILARITY = 0.8
 RECALL = 0.99
 MIN_LINE = 10
 #: Rows of a band, and of the bands in which the lines of groups over the bound are dealt anew.
-ROWS, MORE_ROWS = 3, (6, 10)
+ROWS, MORE_ROWS = 4, (8, 12)
 #: Lines of a group that are all compared with each other at once.
 GROUP = 32
-#: Words on either side among which a paragraph's first word has the least hash.
-REACH = 6
-#: Runs of fewer repeated words are no passage.
-MIN_RUN = 18
+#: Words of a sliding paragraph and of its shingles.
+WINDOW, LONG_SHINGLE = 25, 10
+#: Words of a passage, at least.
+MIN_PASSAGE = 50
+#: Words between two places in common over which an alignment goes on, and by which the two texts may shift there.
+GAP, SHIFT = 64, 8
+#: Words around a place in common that an alignment may need: no run of 25 words goes without a place of its own.
+MARGIN = 40
+#: Words of a block in which texts are handed to the texts that they are compared with.
+BLOCK = 64
+#: Mismatched words in a row that an aligned passage may have.
+EDITS = 5
+_SLICE_BYTES = 4_000_000
+_TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def bands(similarity: float = SIMILARITY, recall: float = RECALL, most: int = 64, least: int = 1) -> tuple[int, int]:
@@ -50,103 +67,162 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _words(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of a text's words (A-Z lowered, between ASCII white space), and how many each line has."""
-    import xxhash
+def _sliced(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of a bounded number of bytes, or of one text."""
+    size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    part = np.cumsum(size) // _SLICE_BYTES
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)]
+    yield from ((a, b) for a, b in zip(cuts, cuts[1:], strict=False) if b > a)
 
-    lines = [line.split() for line in (text or "").encode("utf-8", "surrogatepass").lower().split(b"\n")]
-    counts = np.fromiter(map(len, lines), dtype=np.int64, count=len(lines))
-    one = partial(xxhash.xxh64_intdigest, seed=11)
-    return np.fromiter((one(w) for line in lines for w in line), dtype=np.uint64, count=int(counts.sum())), counts
 
+def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the texts' words (A-Z lowered, between ASCII white space), how many words each line has, and how
+    many lines each text has."""
+    import xxhash
 
-def shingles(words: np.ndarray, size: int = SHINGLE) -> np.ndarray:
-    """A hash of each run of so many words; of all words if they are fewer."""
-    size = min(size, len(words))
-    out = np.zeros(len(words) - size + 1, dtype=np.uint64)
+    lines = pc.split_pattern(pc.fill_null(texts.cast(pa.large_string()), ""), "\n")
+    per_text = pc.list_value_length(lines).to_numpy(zero_copy_only=False).astype(np.int64)
+    split = pc.ascii_split_whitespace(pc.ascii_lower(lines.flatten()))
+    coded = split.flatten().dictionary_encode()
+    distinct = coded.dictionary.to_pylist()
+    hashes = np.fromiter((xxhash.xxh64_intdigest(w, 11) for w in distinct), dtype=np.uint64, count=len(distinct))
+    which = coded.indices.to_numpy(zero_copy_only=False)
+    empty = np.fromiter((not w for w in distinct), dtype=bool, count=len(distinct))  # from white space at a line's ends
+    real = ~empty[which] if len(distinct) else np.empty(0, bool)
+    at = np.concatenate(([0], np.cumsum(real)))[np.concatenate(([0], np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))))]
+    return hashes[which][real] if len(distinct) else np.empty(0, np.uint64), np.diff(at), per_text
+
+
+def _rolled(words: np.ndarray, size: int) -> np.ndarray:
+    """A hash of the words from each place on, so many of them; none at the last places."""
+    out = np.zeros(max(0, len(words) - size + 1), dtype=np.uint64)
     for i in range(size):
         out = _mixed(out + words[i : len(words) - size + 1 + i])
     return out
 
 
-def starts(words: np.ndarray, reach: int = REACH) -> np.ndarray:
-    """Where the text's own paragraphs start: at least hashes, the first of equal ones."""
-    top = np.full(reach, np.iinfo(np.uint64).max, dtype=np.uint64)
-    padded = np.concatenate((top, words, top))
-    view = np.lib.stride_tricks.sliding_window_view(padded, reach)
-    left, right = view[: len(words)].min(axis=1), view[reach + 1 :].min(axis=1)
-    return np.flatnonzero((words < left) & (words <= right))
+def shingles(words: np.ndarray, size: int = SHINGLE) -> np.ndarray:
+    """A hash of each run of so many words; of all words if they are fewer."""
+    return _rolled(words, min(size, len(words)))
+
+
+def _extreme(x: np.ndarray, width: int, of) -> np.ndarray:
+    """The least (greatest) of each so many neighbours, by doubling."""
+    done = 1
+    while done < width:
+        step = min(done, width - done)
+        x = of(x[: len(x) - step], x[step:])
+        done += step
+    return x
+
+
+def least_places(words: np.ndarray, lengths: np.ndarray, window: int = WINDOW, size: int = LONG_SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Band keys of the sliding paragraphs of texts of such lengths, laid end to end: the places of their least
+    shingles, and these shingles' hashes."""
+    none = np.empty(0, np.int64), np.empty(0, np.uint64)
+    if len(words) < window:
+        return none
+    found = _mixed(_rolled(words, size))
+    wide = window - size + 1
+    text = np.repeat(np.arange(len(lengths)), lengths)
+    least = _extreme(found, wide, np.minimum)
+    whole = text[: len(least)] == text[window - 1 : window - 1 + len(least)]
+    # A shingle is its paragraph's least where some whole paragraph around it has it as the least.
+    edge = np.zeros(wide - 1, np.uint64)
+    reached = _extreme(np.concatenate((edge, np.where(whole, least, np.uint64(0)), edge)), wide, np.maximum)
+    chosen = (reached == found) & (found != 0)
+    # One word over and over gives equal hashes side by side: one in each paragraph's width is enough.
+    place = np.arange(len(found))
+    new = np.concatenate(([True], (found[1:] != found[:-1]) | (text[1 : len(found)] != text[: len(found) - 1])))
+    since = place - np.maximum.accumulate(np.where(new, place, 0))
+    at = np.flatnonzero(chosen & (since % wide == 0))
+    return (at, found[at]) if len(at) else none
 
 
 def _band_keys(own: np.ndarray, cuts: np.ndarray, n_bands: int, rows: int) -> np.ndarray:
     """A key for each line and band, of lines whose shingles start at the cuts."""
     seeds = _mixed(np.arange(1, n_bands * rows + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(rows << 32))
-    # Rows aren't interchangeable within a band: each is mixed with its seed before they are added up.
-    least = np.stack([_mixed(np.minimum.reduceat(_mixed(own ^ s), cuts) + s) for s in seeds], axis=1)
-    bases = _mixed(np.arange(n_bands, dtype=np.uint64) + np.uint64(99))
-    return _mixed(least.reshape(len(cuts), n_bands, rows).sum(axis=2, dtype=np.uint64) + bases)
-
-
-def _units(n_bands: int, rows: int, reach: int):
-
-    def contents(words: np.ndarray, first: np.ndarray, n: np.ndarray, salt: int) -> np.ndarray:
-        """A hash of each of some runs of words, by their order within the run."""
-        if not len(first):
-            return np.empty(0, np.uint64)
-        within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        terms = _mixed(words[np.repeat(first, n) + within] + within.astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
-        return _mixed(np.add.reduceat(terms, np.cumsum(n) - n) + np.uint64(salt))
-
-    def of(text: str | None):
-        """Places, lengths, contents and band keys of a text's paragraphs, as arrays."""
-        words, counts = _words(text)
-        # What lies before the first start and after the last may go on elsewhere.
-        at = starts(_mixed(words), reach) if len(words) else np.empty(0, np.int64)
-        size = np.diff(at)
-        ends = np.cumsum(counts)
-        long = counts >= MIN_LINE
-        first, n = (ends - counts)[long], counts[long]
-        keys = np.empty((0, n_bands), np.uint64)
-        if len(first):
-            found, per = shingles(words), n - (SHINGLE - 1)
-            within = np.arange(int(per.sum())) - np.repeat(np.cumsum(per) - per, per)
-            own = found[np.repeat(first, per) + within]
-            cuts = np.cumsum(per) - per
-            keys = _band_keys(own, cuts, n_bands, rows)
-        return (
-            np.concatenate((at[:-1], first)), np.concatenate((size, n)),
-            np.concatenate((contents(words, at[:-1], size, 0), contents(words, first, n, 1))), len(size), keys,
-        )
+    keys = np.zeros((len(cuts), n_bands), dtype=np.uint64)
+    own = own * np.uint64(0x9E3779B97F4A7C15)
+    for i, s in enumerate(seeds):
+        x = (own ^ s) * (s | np.uint64(1))
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0xD6E8FEB86659FD93)
+        # Rows aren't interchangeable within a band: each is mixed with its seed before they are added up.
+        keys[:, i // rows] += _mixed(np.minimum.reduceat(x, cuts) + s)
+    return _mixed(keys + _mixed(np.arange(n_bands, dtype=np.uint64) + np.uint64(99)))
+
+
+_UNITS = "ord long, kind int, start int, n int, h long, keys array<long>"
+TEXT, LINE, SLIDING = 0, 1, 2
+
+
+def _units(n_bands: int, rows: int):
+    """Texts to a row for each text, line and distinct band key of sliding paragraphs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, len(batch), 500):
-                part = [of(text) for text in batch.column(1).slice(k, 500).to_pylist()]
-                each = np.array([len(x[0]) for x in part], dtype=np.int64)
-                rid = np.repeat(batch.column(0).slice(k, 500).to_numpy(zero_copy_only=False), each)
-                start, n, h = (np.concatenate([x[i] for x in part]) for i in range(3))
-                # A short paragraph has no keys, a line has one for each band.
-                per = np.concatenate([np.repeat((0, n_bands), (x[3], len(x[4]))) for x in part])
-                keys = np.concatenate([x[4].reshape(-1) for x in part]).view(np.int64)
-                offsets = np.concatenate(([0], np.cumsum(per)))
+            for a, b in _sliced(batch.column(1)):
+                words, per_line, per_text = _words(batch.column(1).slice(a, b - a))
+                own = batch.column(0).slice(a, b - a).to_numpy(zero_copy_only=False)
+                text_of_line = np.repeat(np.arange(b - a), per_text)
+                lengths = np.bincount(text_of_line, weights=per_line, minlength=b - a).astype(np.int64)
+                base = np.cumsum(lengths) - lengths
+                text_of_word = np.repeat(np.arange(b - a), lengths)
+                at, h = least_places(words, lengths)
+                long = np.flatnonzero(per_line >= MIN_LINE)
+                first, n = (np.cumsum(per_line) - per_line)[long], per_line[long]
+                keys, content = np.empty((0, n_bands), np.uint64), np.empty(0, np.uint64)
+                if len(long):
+                    per = n - (SHINGLE - 1)
+                    within = np.arange(int(per.sum())) - np.repeat(np.cumsum(per) - per, per)
+                    cuts = np.cumsum(per) - per
+                    some = _rolled(words, SHINGLE)[np.repeat(first, per) + within]
+                    keys = _band_keys(some, cuts, n_bands, rows)
+                    place = within.astype(np.uint64) * np.uint64(0xD1342543DE82EF95)
+                    content = _mixed(np.add.reduceat(_mixed(some + place), cuts) + np.uint64(1))
+                text = np.concatenate((np.arange(b - a), text_of_line[long], text_of_word[at]))
+                start = np.concatenate((np.zeros(b - a, np.int64), first - base[text_of_line[long]], at - base[text_of_word[at]]))
+                size = np.concatenate((lengths, n, np.full(len(at), LONG_SHINGLE)))
+                counts = (b - a, len(long), len(at))
+                offsets = np.concatenate(([0], np.cumsum(np.repeat((0, n_bands, 0), counts))))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(rid, pa.int64()), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(h.view(np.int64)),
-                        pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys)),
+                        pa.array(own[text], pa.int64()), pa.array(np.repeat((TEXT, LINE, SLIDING), counts), pa.int32()),
+                        pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32)),
+                        pa.array(np.concatenate((np.zeros(b - a, np.uint64), content, h)).view(np.int64)),
+                        pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys.reshape(-1).view(np.int64))),
                     ],
-                    names=["rid", "start", "n", "h", "keys"],
+                    names=["ord", "kind", "start", "n", "h", "keys"],
                 )
 
     return run
 
 
+def _each_text(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, pa.RecordBatch, int]]:
+    """Word hashes of each text of the first column, with its row."""
+    for batch in batches:
+        for a, b in _sliced(batch.column(0)):
+            words, per_line, per_text = _words(batch.column(0).slice(a, b - a))
+            text_of_line = np.repeat(np.arange(b - a), per_text)
+            ends = np.cumsum(np.bincount(text_of_line, weights=per_line, minlength=b - a).astype(np.int64))
+            for i, end in enumerate(ends.tolist()):
+                yield words[(int(ends[i - 1]) if i else 0) : end], batch, a + i
+
+
+# Lines
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Shingle sets of the wanted lines of a text."""
-    for batch in batches:
-        for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            words, _ = _words(text)
-            sets = [np.unique(shingles(words[w["start"] : w["start"] + w["n"]])).view(np.int64).tolist() for w in wanted]
-            yield pa.RecordBatch.from_arrays([pa.array([w["h"] for w in wanted], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["h", "set"])
+    for words, batch, i in _each_text(batches):
+        wanted = batch.column(1)[i].as_py()
+        sets = [np.unique(shingles(words[w["start"] : w["start"] + w["n"]])).view(np.int64) for w in wanted]
+        offsets = np.concatenate(([0], np.cumsum([len(s) for s in sets])))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([w["h"] for w in wanted], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(sets)))],
+            names=["h", "set"],
+        )
 
 
 def _dealt(n_bands: int, rows: int):
@@ -157,7 +233,7 @@ def _dealt(n_bands: int, rows: int):
             for k in range(0, len(batch), 200):
                 sets = batch.column(1).slice(k, 200)
                 own = sets.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-                n = np.array([len(x) for x in sets], dtype=np.int64)
+                n = pc.list_value_length(sets).to_numpy(zero_copy_only=False).astype(np.int64)
                 keys = _band_keys(own, np.cumsum(n) - n, n_bands, rows).view(np.int64)
                 h = batch.column(0).slice(k, 200).to_numpy(zero_copy_only=False)
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(h, n_bands)), pa.array(keys.reshape(-1))], names=["h", "key"])
@@ -192,7 +268,7 @@ def _apart(many: DataFrame, links: DataFrame) -> DataFrame:
     return written(now.join(open_, "key"), "open_groups")
 
 
-def line_links(rows: DataFrame, units: DataFrame, similarity: float = SIMILARITY, bound: int = GROUP) -> DataFrame:
+def line_links(texts: DataFrame, units: DataFrame, similarity: float = SIMILARITY, bound: int = GROUP) -> DataFrame:
     """``a, b``: links that connect the lines which collide in a band and are similar enough.
 
     In a group of up to ``bound`` lines all pairs are verified. In a larger one each line meets the least and
@@ -200,14 +276,13 @@ def line_links(rows: DataFrame, units: DataFrame, similarity: float = SIMILARITY
     and other seeds. What the last bands leave in pieces is compared in full, each line with those of other
     pieces.
     """
-    lines = units.where("size(keys) > 0").groupBy("h").agg(F.min_by(F.struct("rid", "start", "n", "keys"), F.struct("rid", "start")).alias("x")).select("h", "x.*")
+    lines = units.where(F.col("kind") == LINE).groupBy("h").agg(F.min_by(F.struct("ord", "start", "n", "keys"), F.struct("ord", "start")).alias("x")).select("h", "x.*")
     lines = written(lines, "distinct_lines")
     found, many = _of_groups(lines.select("h", F.explode("keys").alias("key")), bound)
     pairs = written(found, "pairs")
     needed = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct().join(lines, "h")
-    wanted = needed.groupBy("rid").agg(F.collect_list(F.struct("h", "start", "n")).alias("wanted"))
-    texts = rows.select("rid", "text").join(wanted, "rid").dropDuplicates(["rid"])
-    sets = written(texts.select("text", "wanted").mapInArrow(_sets, "h long, set array<long>"), "sets")
+    wanted = needed.groupBy("ord").agg(F.collect_list(F.struct("h", "start", "n")).alias("wanted"))
+    sets = written(texts.join(wanted, "ord").select("text", "wanted").mapInArrow(_sets, "h long, set array<long>").dropDuplicates(["h"]), "sets")
     links = written(_similar(pairs, sets, similarity), "links")
     for least in MORE_ROWS:
         if many.isEmpty():
@@ -216,7 +291,7 @@ def line_links(rows: DataFrame, units: DataFrame, similarity: float = SIMILARITY
         if left.isEmpty():
             return links
         own = sets.join(left.select("h").distinct(), "h").select("h", "set")
-        found, many = _of_groups(own.mapInArrow(_dealt(*bands(similarity, most=512, least=least)), "h long, key long"), bound)
+        found, many = _of_groups(own.mapInArrow(_dealt(*bands(similarity, most=1024, least=least)), "h long, key long"), bound)
         links = links.union(written(_similar(found, sets, similarity), "links"))
     left = _apart(many, links)
     if left.isEmpty():
@@ -226,46 +301,182 @@ def line_links(rows: DataFrame, units: DataFrame, similarity: float = SIMILARITY
     return links.union(written(_similar(rest, sets, similarity), "links"))
 
 
-def repeated_passages(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, min_run: int = MIN_RUN, reach: int = REACH
-) -> DataFrame:
-    """``rid, doc_id, starts, lengths, removed_starts, removed_lengths``: runs of words that repeat in another
-    text, and those of them that aren't the earliest place of all their parts.
+def line_spans(texts: DataFrame, units: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """``ord, start, n, later``: lines that have another place in their class; later unless it is the earliest."""
+    linked = written(components(line_links(texts, units, similarity)).withColumnRenamed("node", "h"), "line_classes")
+    lines = units.where(F.col("kind") == LINE).select("ord", "start", "n", "h")
+    several = lines.groupBy("h").agg(F.count("*").alias("k")).where("k > 1")
+    alone = several.select("h").join(linked.select("h"), "h", "left_anti").select("h", F.col("h").alias("class"))
+    of_class = linked.select("h", F.col("component").alias("class")).union(alone)
+    found = written(lines.join(of_class, "h").select("ord", "start", "n", "class"), "occurrences")
+    first = found.groupBy("class").agg(F.min(F.struct("ord", "start")).alias("first"))
+    return found.join(first, "class").select("ord", "start", "n", (F.struct("ord", "start") != F.col("first")).alias("later"))
+
+
+# Passages
+
 
-    Earliest is by doc_id (nulls first), then by text hash, then by place. Null and empty texts, and texts
-    without such a run, have no row; rows equal in id and text are one; a passage that repeats within one text
-    alone doesn't count; an empty table gives no rows; further columns are ignored.
+def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Places in common of a pair of texts to chains: each as far as the next one lies within the gap in both."""
+    for batch in batches:
+        out: list[tuple] = []
+        for a, b, places in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            open_: list[list[tuple[int, int]]] = []
+            for p in sorted({(x["b_at"], x["a_at"]) for x in places}):
+                for chain in reversed(open_[-8:]):
+                    db, da = p[0] - chain[-1][0], p[1] - chain[-1][1]
+                    if 0 < db <= GAP and 0 < da <= GAP and abs(db - da) <= SHIFT:
+                        chain.append(p)
+                        break
+                else:
+                    open_.append([p])
+            out += [(a, b, i, [x for _, x in c], [x for x, _ in c]) for i, c in enumerate(open_)]
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(x, k) for x, k in zip(list(zip(*out, strict=True)) or [[]] * 5, kinds, strict=True)], names=["a", "b", "chain", "a_at", "b_at"]
+        )
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The wanted blocks of a text: 32 bits of each word's hash."""
+    for words, batch, i in _each_text(batches):
+        short = (words >> np.uint64(32)).astype("<u4")
+        wanted = batch.column(2)[i].as_py()
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([batch.column(1)[i].as_py()] * len(wanted), pa.int64()), pa.array(wanted, pa.int32()),
+                pa.array([short[k * BLOCK : (k + 1) * BLOCK].tobytes() for k in wanted], pa.binary()),
+            ],
+            names=["a", "block", "words"],
+        )
+
+
+def aligned(x: np.ndarray, y: np.ndarray, places: list[tuple[int, int]], similarity: float = SIMILARITY) -> list[tuple[int, int, int, int]]:
+    """Passages that two texts share around places in common: start and length in the first and in the second.
+
+    From each place equal words are followed both ways; runs that then lie within a few words of each other are
+    one passage if its similarity, of sets of shingles, is high enough; a run alone has only equal words.
     """
-    rows = with_rid(docs, id_col, text_col)
-    units = written(rows.select("rid", "text").mapInArrow(_units(*bands(similarity, least=ROWS), reach), "rid long, start int, n int, h long, keys array<long>"), "units")
-    ids = written(rows.select("rid", "doc_id").distinct(), "ids")
-    linked = written(components(line_links(rows, units, similarity)).withColumnRenamed("node", "h"), "line_classes")
-    spread = units.groupBy("h").agg(F.min("rid").alias("low"), F.max("rid").alias("high"))
-    alone = spread.where("low <> high").select("h").join(linked.select("h"), "h", "left_anti").select("h", F.col("h").alias("class"))
-    of_class = linked.select("h", F.col("component").alias("class")).union(alone)
-    found = units.select("rid", "start", "n", "h").join(of_class, "h").join(ids, "rid")
-    found = written(found.select("rid", "doc_id", "start", "n", "class"), "occurrences")
-    place = F.struct("doc_id", "rid", "start")
-    first = found.groupBy("class").agg(F.min(place).alias("first"), F.min("rid").alias("low"), F.max("rid").alias("high")).where("low <> high")
-    marked = found.join(first, "class").select("rid", "doc_id", "start", "n", (~place.eqNullSafe(F.col("first"))).alias("later"))
-    spans = marked.groupBy("rid", "doc_id").agg(
-        F.array_sort(F.collect_set(F.struct("start", "n"))).alias("all"), F.array_sort(F.collect_set(F.when(F.col("later"), F.struct("start", "n")))).alias("gone")
-    )
-    runs = spans.select("rid", "doc_id", _runs(F.col("all"), min_run).alias("r"), _runs(F.col("gone"), min_run).alias("g")).where("size(r) > 0")
-    return runs.select("rid", "doc_id", F.col("r.start").alias("starts"), F.col("r.n").alias("lengths"), F.col("g.start").alias("removed_starts"), F.col("g.n").alias("removed_lengths"))
+    runs: list[list[int]] = []  # start in x, start in y, length
+    for i, j in sorted(places):
+        if runs and runs[-1][0] - runs[-1][1] == i - j and i < runs[-1][0] + runs[-1][2]:
+            continue
+        n = min(len(x) - i, len(y) - j)
+        other = np.flatnonzero(x[i : i + n] != y[j : j + n])
+        after = int(other[0]) if len(other) else n
+        if not after:
+            continue
+        n = min(i, j)
+        other = np.flatnonzero(x[i - n : i] != y[j - n : j])
+        before = n - 1 - int(other[-1]) if len(other) else n
+        runs.append([i - before, j - before, before + after])
+    joined: list[list[list[int]]] = []
+    for run in runs:
+        last = joined[-1][-1] if joined else None
+        near = last and all(-SHIFT <= run[k] - last[k] - last[2] <= EDITS for k in (0, 1)) and run[0] > last[0] and run[1] > last[1]
+        if near:
+            joined[-1].append(run)
+        else:
+            joined.append([run])
+    out = []
+    for parts in joined:
+        (i, j, _), (ie, je, n) = parts[0], parts[-1]
+        both = [shingles(t[s:e].astype(np.uint64)) for t, s, e in ((x, i, ie + n), (y, j, je + n))]
+        common = len(np.intersect1d(*both)) if len(parts) > 1 else 1
+        if len(parts) == 1 or common >= similarity * (len(np.union1d(*both))):
+            out.append((i, ie + n - i, j, je + n - j))
+        else:
+            out += [(i, n, j, n) for i, j, n in parts]
+    return out
 
 
-def _runs(spans, least: int):
-    """Sorted spans merged where they touch; runs of at least so many words."""
-    start = F.array().cast("array<struct<start:int,n:int>>")
+def _verified(least: int, similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for words, batch, i in _each_text(batches):
+            b, found = batch.column(1)[i].as_py(), []
+            y = (words >> np.uint64(32)).astype("<u4")
+            for c in batch.column(2)[i].as_py():
+                x = np.frombuffer(b"".join(p["words"] for p in sorted(c["parts"], key=lambda p: p["block"])), dtype="<u4")
+                base = BLOCK * min(p["block"] for p in c["parts"])
+                low = max(0, min(c["b_at"]) - MARGIN - BLOCK)
+                high = max(c["b_at"]) + MARGIN + 2 * BLOCK
+                for ai, an, bi, bn in aligned(x, y[low:high], [(p - base, q - low) for p, q in zip(c["a_at"], c["b_at"], strict=True)], similarity):
+                    if max(an, bn) >= least:
+                        found += [(c["a"], ai + base, an, c["a"] > b), (b, bi + low, bn, b >= c["a"])]
+            if found:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x, k) for x, k in zip(zip(*found, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.bool_()), strict=True)],
+                    names=["ord", "start", "n", "later"],
+                )
 
-    def step(acc, s):
-        last = F.get(acc, F.size(acc) - 1)
-        touches = (F.size(acc) > 0) & (s["start"] <= last["start"] + last["n"])
-        longer = F.struct(last["start"].alias("start"), F.greatest(last["n"], s["start"] + s["n"] - last["start"]).alias("n"))
-        return F.when(touches, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(longer))).otherwise(F.concat(acc, F.array(F.struct(s["start"].alias("start"), s["n"].alias("n")))))
+    return run
 
-    return F.filter(F.aggregate(spans, start, step), lambda r: r["n"] >= least)
+
+def passage_spans(texts: DataFrame, units: DataFrame, least: int = MIN_PASSAGE, similarity: float = SIMILARITY) -> DataFrame:
+    """``ord, start, n, later``: verified passages of sliding paragraphs, at their earliest place and the later ones.
+
+    Each place meets the earliest and the last one with its band key, so links are at most twice as many as places.
+    Texts are handed to the texts that they are compared with in blocks of words, only where chains of places lie.
+    """
+    sliding = units.where(F.col("kind") == SLIDING).select("h", "ord", "start")
+    place = F.struct("ord", "start")
+    ends = sliding.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last")
+    met = sliding.join(ends, "h").withColumn("end", F.explode(F.array("first", "last"))).where(place != F.col("end"))
+    # Within a text a place meets the earlier one alone.
+    met = met.where("ord <> end.ord or start > end.start").select(F.col("end.ord").alias("a"), F.col("ord").alias("b"), F.col("end.start").alias("a_at"), F.col("start").alias("b_at"))
+    pairs = met.groupBy("a", "b").agg(F.collect_list(F.struct("b_at", "a_at")).alias("places"))
+    chains = written(pairs.mapInArrow(_chained, "a long, b long, chain int, a_at array<int>, b_at array<int>"), "chains")
+    low, high = F.greatest(F.lit(0), F.array_min("a_at") - MARGIN), F.array_max("a_at") + MARGIN + LONG_SHINGLE
+    cut = chains.withColumn("block", F.explode(F.sequence(F.floor(low / BLOCK).cast("int"), F.floor(high / BLOCK).cast("int"))))
+    wanted = cut.select("a", "block").distinct().groupBy("a").agg(F.sort_array(F.collect_list("block")).alias("blocks"))
+    given = texts.join(wanted.withColumnRenamed("a", "ord"), "ord").select("text", "ord", "blocks")
+    blocks = written(given.mapInArrow(_blocks, "a long, block int, words binary").dropDuplicates(["a", "block"]), "blocks")
+    full = cut.select("a", "b", "chain", "block").join(blocks, ["a", "block"]).groupBy("a", "b", "chain").agg(F.collect_list(F.struct("block", "words")).alias("parts"))
+    work = full.join(chains, ["a", "b", "chain"]).groupBy("b").agg(F.collect_list(F.struct("a", "a_at", "b_at", "parts")).alias("chains"))
+    texts_b = texts.join(work.withColumnRenamed("b", "ord"), "ord").select("text", "ord", "chains")
+    return texts_b.mapInArrow(_verified(least, similarity), "ord long, start int, n int, later boolean")
+
+
+def merged(spans: DataFrame, least: int) -> DataFrame:
+    """``ord, spans``: each text's spans, those that touch or overlap as one, of at least so many words."""
+    own = Window.partitionBy("ord").orderBy("start", "n")
+    before = F.max(F.col("start") + F.col("n")).over(own.rowsBetween(Window.unboundedPreceding, -1))
+    cut = spans.withColumn("new", F.when(F.col("start") > before, 1).otherwise(0))
+    runs = cut.withColumn("run", F.sum("new").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = runs.groupBy("ord", "run").agg(F.min("start").alias("start"), (F.max(F.col("start") + F.col("n")) - F.min("start")).alias("n"))
+    return runs.where(F.col("n") >= least).groupBy("ord").agg(F.array_sort(F.collect_list(F.struct("start", "n"))).alias("spans"))
+
+
+def repeated_passages(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, min_passage: int = MIN_PASSAGE
+) -> DataFrame:
+    """``rid, doc_id, starts, lengths, removed_starts, removed_lengths``: passages that have another place, and the
+    parts of them that aren't their earliest one, each of at least so many words.
+
+    Earliest is by doc_id (nulls first), then by text hash, then by place. Of equal texts one is compared, and the
+    others repeat it as a whole. A passage may repeat within its own text. Null and empty texts, and texts without
+    such a passage, have no row; rows equal in id and text are one; an empty table gives no rows; further columns
+    are ignored. Texts of any length are compared as a whole.
+    """
+    rows = with_rid(docs, id_col, text_col)
+    ids = written(rows.where("text is not null").select("rid", "doc_id", F.xxhash64("text").alias("tid")).distinct(), "ids")
+    firsts = ids.groupBy("tid").agg(F.min(F.struct("doc_id", "rid")).alias("first"), F.count("*").alias("copies")).select("tid", "first.*", "copies")
+    known = written(numbered(firsts.withColumn("all", F.lit(0)), "all", ["doc_id", "rid"], "ord").select("tid", "rid", "ord", "copies"), "known")
+    texts = written(rows.select("rid", "text").join(known.select("rid", "ord"), "rid").select("ord", "text"), "texts")
+    units = written(texts.mapInArrow(_units(*bands(similarity, least=ROWS)), _UNITS), "units")
+    spans = line_spans(texts, units, similarity).union(passage_spans(texts, units, min_passage, similarity))
+    several = known.where("copies > 1").select("ord")
+    whole = units.where(F.col("kind") == TEXT).join(several, "ord").select("ord", "start", "n", F.lit(False).alias("later"))
+    spans = written(spans.union(whole).distinct(), "spans")
+    every = merged(spans, min_passage).withColumnRenamed("spans", "r")
+    gone = merged(spans.where("later"), min_passage).withColumnRenamed("spans", "g")
+    length = whole.select("ord", "n").distinct()
+    none = F.array().cast("array<struct<start:int,n:int>>")
+    own = ids.join(known.withColumnRenamed("rid", "first_rid"), "tid").join(every, "ord").join(gone, "ord", "left").join(length, "ord", "left")
+    removed = F.when(F.col("rid") == F.col("first_rid"), F.coalesce("g", none)).otherwise(F.array(F.struct(F.lit(0).alias("start"), F.col("n").alias("n"))))
+    return own.withColumn("g", removed).select(
+        "rid", "doc_id", F.col("r.start").alias("starts"), F.col("r.n").alias("lengths"), F.col("g.start").alias("removed_starts"), F.col("g.n").alias("removed_lengths")
+    )
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -131,21 +131,23 @@ def test_bands_reach_the_recall():
         assert 1 - (1 - s**n) ** b >= r
 
 
-def test_lines_that_share_a_template_meet_their_copies(spark):
+def worded(rnd, n):
+    return ["".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
+
+
+@pytest.mark.parametrize(("shared", "own"), [(45, 30), (60, 20)])
+def test_lines_that_share_a_template_meet_their_copies(spark, shared, own):
     rnd = random.Random(12)
-    words = lambda n: ["".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
-    head, lines = words(45), []
+    head, lines = worded(rnd, shared), []
     for _ in range(600):
-        line = head + words(30)
+        line = head + worded(rnd, own)
         near = list(line)
-        near[60] = "zzz"
+        near[shared + 15] = "zzz"
         lines += [line, near]
-    docs = spark.createDataFrame([(i, " ".join(line)) for i, line in enumerate(lines)], "doc_id long, text string")
-    rows = line_dedup.with_rid(docs, "doc_id", "text")
-    keyed = passage_dedup._units(*passage_dedup.bands(least=getattr(passage_dedup, "ROWS", 1)), passage_dedup.REACH)
-    units = common.written(rows.select("rid", "text").mapInArrow(keyed, "rid long, start int, n int, h long, keys array<long>"), "units")
-    at = {r.h: r.doc_id for r in units.where("size(keys) > 0").join(rows.select("rid", "doc_id"), "rid").collect()}
-    root = groups(len(lines), [(at[r.a], at[r.b]) for r in passage_dedup.line_links(rows, units).collect()])
+    texts = spark.createDataFrame([(i, " ".join(line)) for i, line in enumerate(lines)], "ord long, text string")
+    units = common.written(texts.mapInArrow(passage_dedup._units(*passage_dedup.bands(least=passage_dedup.ROWS)), passage_dedup._UNITS), "units")
+    at = {r.h: r.ord for r in units.where(F.col("kind") == passage_dedup.LINE).collect()}
+    root = groups(len(lines), [(at[r.a], at[r.b]) for r in passage_dedup.line_links(texts, units).collect()])
     sets = [{tuple(line[k : k + 5]) for k in range(len(line) - 4)} for line in lines]
     brute = groups(len(lines), [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])])
     together = lambda r: {(i, i + 1) for i in range(0, len(lines), 2) if r[i] == r[i + 1]}
@@ -153,9 +155,67 @@ def test_lines_that_share_a_template_meet_their_copies(spark):
     assert len(set(root)) >= len(set(brute))
 
 
+def test_least_places_equal_all_windows():
+    rng = np.random.default_rng(3)
+    lengths = np.array([40, 0, 24, 25, 300, 9])
+    words = passage_dedup._mixed(rng.integers(0, 50, lengths.sum(), dtype=np.uint64))
+    words[100:160] = words[100]
+    at, h = passage_dedup.least_places(words, lengths)
+    hashes, start, want, keys = passage_dedup._mixed(passage_dedup._rolled(words, 10)), 0, set(), {}
+    for n in lengths.tolist():
+        for p in range(start, start + n - 24):
+            least = hashes[p : p + 16].min()
+            want.add(int(least))
+            keys.setdefault(int(least), []).append(p)
+        start += n
+    assert set(h.tolist()) == want and (hashes[at] == h).all() and len(at) < len(words) / 4
+    for least, ps in keys.items():  # every sliding paragraph holds a place of its key
+        own = at[h == least]
+        assert all(((own >= p) & (own <= p + 15)).any() or (hashes[p : p + 16] == least).all() for p in ps)
+
+
+def covered(r, starts, lengths):
+    return {w for a, n in zip(r[starts], r[lengths], strict=True) for w in range(a, a + n)}
+
+
+def test_every_passage_of_more_than_fifty_words_is_found_whole(spark):
+    rnd = random.Random(6)
+    passages, docs, places = [worded(rnd, 51) for _ in range(200)], [], {}
+    for i in range(400):
+        own = worded(rnd, rnd.randint(30, 120))
+        places[i] = rnd.randint(0, len(own))
+        own[places[i] : places[i]] = passages[i % 200]
+        docs.append((i, " ".join(own)))
+    found = {r.doc_id: r for r in passage_dedup.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for i in range(400):
+        want = set(range(places[i], places[i] + 51))
+        assert want <= covered(found[i], "starts", "lengths") and len(covered(found[i], "starts", "lengths")) < 60
+        assert covered(found[i], "removed_starts", "removed_lengths") >= want if i >= 200 else not found[i].removed_starts
+
+
+def test_passages_equal_brute_force_on_documents(spark):
+    table = "/root/testdata/sf0.001/documents.parquet"
+    docs = spark.read.parquet(table).select("doc_id", "text")
+    found = {r.doc_id: r for r in passage_dedup.repeated_passages(docs).collect()}
+    windows = {}
+    for r in docs.orderBy("doc_id").collect():
+        words = (r.text or "").encode().lower().split()
+        for p in range(len(words) - 49):
+            windows.setdefault(tuple(words[p : p + 50]), []).append((r.doc_id, p))
+    repeated, later = {}, {}
+    for ps in windows.values():
+        for i, p in ps if len({i for i, _ in ps}) > 1 else ():
+            repeated.setdefault(i, set()).update(range(p, p + 50))
+            if i != ps[0][0]:
+                later.setdefault(i, set()).update(range(p, p + 50))
+    for want, columns in ((repeated, ("starts", "lengths")), (later, ("removed_starts", "removed_lengths"))):
+        hit = sum(len(words & covered(found[i], *columns)) for i, words in want.items() if i in found)
+        assert hit >= 0.98 * sum(map(len, want.values())) > 0
+
+
 def test_passages(spark):
     rnd = random.Random(2)
-    words = lambda n: ["".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
+    words = lambda n: worded(rnd, n)
     passages, docs = [words(rnd.randint(55, 90)) for _ in range(20)], []
     for i in range(100):
         own = words(rnd.randint(30, 200))
@@ -168,10 +228,14 @@ def test_passages(spark):
         near = list(base)
         near[i - 95] = "zzz"
         docs.append((i, "\n".join([" ".join(words(15)), " ".join(near), " ".join(words(12))])))
-    docs += [(300, None), (301, ""), (302, " ".join(passages[0])), (302, " ".join(passages[0]))]
+    docs += [(300, None), (301, ""), (302, " ".join(passages[0])), (302, " ".join(passages[0])), (None, " ".join(words(80))), (None, None)]
+    long = " ".join(words(40_000))
+    docs += [(303, " ".join(words(30) + words(60) * 2)), (304, long), (305, long), (306, "x " * 30_000)]
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("rid", F.lit("x"))
     found = {r.doc_id: r for r in passage_dedup.repeated_passages(df).collect()}
-    assert sum(i in found for i in range(40)) >= 38 and all(i in found for i in range(100, 106))
+    assert all(i in found for i in range(40)) and all(i in found for i in range(100, 106))
     assert not any(i in found for i in range(40, 100)) and 300 not in found and 301 not in found
+    assert sum(found[303].lengths) == 120 and found[303].removed_lengths == [60] and sum(found[306].lengths) > 29_000
+    assert found[305].removed_lengths == [40_000] and found[304].lengths == [40_000] and not found[304].removed_starts and None not in found
     assert not found[100].removed_starts and found[101].removed_starts
     assert passage_dedup.repeated_passages(df.limit(0)).count() == 0
