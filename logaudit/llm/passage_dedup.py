@@ -153,6 +153,18 @@ def _band_keys(own: np.ndarray, cuts: np.ndarray, n_bands: int, rows: int) -> np
     return _mixed(keys + _mixed(np.arange(n_bands, dtype=np.uint64) + np.uint64(99)))
 
 
+#: A text's number and a word's place in it, as one long: no string has 2 to the 28 words.
+PLACE_BITS = 28
+
+
+def _place():
+    return F.shiftleft("ord", PLACE_BITS) + F.col("start")
+
+
+def _unplaced(place: str, text: str = "ord", start: str = "start"):
+    return F.shiftright(place, PLACE_BITS).alias(text), F.col(place).bitwiseAND((1 << PLACE_BITS) - 1).cast("int").alias(start)
+
+
 _UNITS = "ord long, kind int, start int, n int, h long, keys array<long>"
 TEXT, LINE, SLIDING = 0, 1, 2
 
@@ -210,19 +222,45 @@ def _each_text(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray,
                 yield words[(int(ends[i - 1]) if i else 0) : end], batch, a + i
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The wanted pieces of texts: 32 bits of each word's hash."""
+    for batch in batches:
+        for a, b in _sliced(batch.column(0)):
+            words, per_line, per_text = _words(batch.column(0).slice(a, b - a))
+            short = (words >> np.uint64(32)).astype("<u4")
+            lengths = np.bincount(np.repeat(np.arange(b - a), per_text), weights=per_line, minlength=b - a).astype(np.int64)
+            wanted = batch.column(2).slice(a, b - a)
+            each = pc.list_value_length(wanted).to_numpy(zero_copy_only=False)
+            start, n = (wanted.flatten().field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
+            base, end = np.repeat(np.cumsum(lengths) - lengths, each), np.repeat(np.cumsum(lengths), each)
+            low = np.minimum(base + start, end)
+            high = np.minimum(low + n, end)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.repeat(batch.column(1).slice(a, b - a).to_numpy(zero_copy_only=False), each), pa.int64()),
+                    pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)),
+                    pa.array([short[i:j].tobytes() for i, j in zip(low.tolist(), high.tolist(), strict=True)], pa.binary()),
+                ],
+                names=["ord", "start", "n", "words"],
+            )
+
+
+def pieces(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``ord, start, n, words``: the wanted pieces (``ord, start, n``) of texts, which are read once for all of them."""
+    of_text = wanted.distinct().groupBy("ord").agg(F.collect_list(F.struct("start", "n")).alias("wanted"))
+    return rows.join(of_text, "ord").select("text", "ord", "wanted").mapInArrow(_pieces, "ord long, start int, n int, words binary")
+
+
 # Lines
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shingle sets of the wanted lines of a text."""
-    for words, batch, i in _each_text(batches):
-        wanted = batch.column(1)[i].as_py()
-        sets = [np.unique(shingles(words[w["start"] : w["start"] + w["n"]])).view(np.int64) for w in wanted]
+    """Shingle sets of lines."""
+    for batch in batches:
+        sets = [np.unique(shingles(np.frombuffer(w, dtype="<u4").astype(np.uint64))).view(np.int64) for w in batch.column(1).to_pylist()]
         offsets = np.concatenate(([0], np.cumsum([len(s) for s in sets])))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([w["h"] for w in wanted], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(sets)))],
-            names=["h", "set"],
-        )
+        flat = np.concatenate([*sets, np.empty(0, np.int64)]).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))], names=["h", "set"])
 
 
 def _dealt(n_bands: int, rows: int):
@@ -241,12 +279,17 @@ def _dealt(n_bands: int, rows: int):
     return run
 
 
-def _of_groups(keyed: DataFrame, bound: int) -> tuple[DataFrame, DataFrame]:
+def _met(keyed: DataFrame) -> DataFrame:
+    """``key, h, low, high``: lines that share a band key with another, and the least and the greatest of it."""
+    ends = keyed.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low <> high")
+    return written(keyed.join(ends, "key").distinct(), "met")
+
+
+def _of_groups(met: DataFrame, bound: int) -> tuple[DataFrame, DataFrame]:
     """``a, b``: all pairs of groups within the bound; and of larger groups each line with the least and the
     greatest. Then the lines of the larger groups."""
-    ends = keyed.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high"), F.count("*").alias("n")).where("n > 1")
-    met = written(keyed.join(ends, "key"), "met")
-    few, many = met.where(F.col("n") <= bound).select("key", "h"), met.where(F.col("n") > bound)
+    large = met.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > bound).select("key")
+    few, many = met.join(large, "key", "left_anti").select("key", "h"), met.join(large, "key", "left_semi")
     pairs = few.withColumnRenamed("h", "a").join(few.withColumnRenamed("h", "b"), "key").where("a < b").select("a", "b")
     star = many.select(F.explode(F.array(F.struct(F.col("low").alias("a"), F.col("h").alias("b")), F.struct(F.col("h").alias("a"), F.col("high").alias("b")))).alias("p")).select("p.*")
     return pairs.union(star.where("a <> b")).distinct(), many.select("key", "h")
@@ -268,7 +311,15 @@ def _apart(many: DataFrame, links: DataFrame) -> DataFrame:
     return written(now.join(open_, "key"), "open_groups")
 
 
-def line_links(texts: DataFrame, units: DataFrame, similarity: float = SIMILARITY, bound: int = GROUP) -> DataFrame:
+def colliding_lines(units: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Lines that share a band key with another (as ``_met`` gives them), and a place ``h, ord, start, n`` of each."""
+    lines = units.where(F.col("kind") == LINE)
+    met = _met(lines.select("h", F.explode("keys").alias("key")))
+    some = lines.join(met.select("h").distinct(), "h").groupBy("h").agg(F.min(F.struct("ord", "start", "n")).alias("x"))
+    return met, written(some.select("h", "x.*"), "colliding_lines")
+
+
+def line_links(met: DataFrame, sets: DataFrame, similarity: float = SIMILARITY, bound: int = GROUP) -> DataFrame:
     """``a, b``: links that connect the lines which collide in a band and are similar enough.
 
     In a group of up to ``bound`` lines all pairs are verified. In a larger one each line meets the least and
@@ -276,14 +327,8 @@ def line_links(texts: DataFrame, units: DataFrame, similarity: float = SIMILARIT
     and other seeds. What the last bands leave in pieces is compared in full, each line with those of other
     pieces.
     """
-    lines = units.where(F.col("kind") == LINE).groupBy("h").agg(F.min_by(F.struct("ord", "start", "n", "keys"), F.struct("ord", "start")).alias("x")).select("h", "x.*")
-    lines = written(lines, "distinct_lines")
-    found, many = _of_groups(lines.select("h", F.explode("keys").alias("key")), bound)
-    pairs = written(found, "pairs")
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct().join(lines, "h")
-    wanted = needed.groupBy("ord").agg(F.collect_list(F.struct("h", "start", "n")).alias("wanted"))
-    sets = written(texts.join(wanted, "ord").select("text", "wanted").mapInArrow(_sets, "h long, set array<long>").dropDuplicates(["h"]), "sets")
-    links = written(_similar(pairs, sets, similarity), "links")
+    found, many = _of_groups(met, bound)
+    links = written(_similar(found, sets, similarity), "links")
     for least in MORE_ROWS:
         if many.isEmpty():
             return links
@@ -291,7 +336,7 @@ def line_links(texts: DataFrame, units: DataFrame, similarity: float = SIMILARIT
         if left.isEmpty():
             return links
         own = sets.join(left.select("h").distinct(), "h").select("h", "set")
-        found, many = _of_groups(own.mapInArrow(_dealt(*bands(similarity, most=1024, least=least)), "h long, key long"), bound)
+        found, many = _of_groups(_met(own.mapInArrow(_dealt(*bands(similarity, most=1024, least=least)), "h long, key long")), bound)
         links = links.union(written(_similar(found, sets, similarity), "links"))
     left = _apart(many, links)
     if left.isEmpty():
@@ -301,16 +346,16 @@ def line_links(texts: DataFrame, units: DataFrame, similarity: float = SIMILARIT
     return links.union(written(_similar(rest, sets, similarity), "links"))
 
 
-def line_spans(texts: DataFrame, units: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def line_spans(units: DataFrame, links: DataFrame) -> DataFrame:
     """``ord, start, n, later``: lines that have another place in their class; later unless it is the earliest."""
-    linked = written(components(line_links(texts, units, similarity)).withColumnRenamed("node", "h"), "line_classes")
-    lines = units.where(F.col("kind") == LINE).select("ord", "start", "n", "h")
-    several = lines.groupBy("h").agg(F.count("*").alias("k")).where("k > 1")
+    linked = written(components(links).withColumnRenamed("node", "h"), "line_classes")
+    lines = units.where(F.col("kind") == LINE).select("h", _place().alias("place"), "n")
+    several = lines.groupBy("h").agg(F.min("place").alias("low"), F.max("place").alias("high")).where("low <> high")
     alone = several.select("h").join(linked.select("h"), "h", "left_anti").select("h", F.col("h").alias("class"))
     of_class = linked.select("h", F.col("component").alias("class")).union(alone)
-    found = written(lines.join(of_class, "h").select("ord", "start", "n", "class"), "occurrences")
-    first = found.groupBy("class").agg(F.min(F.struct("ord", "start")).alias("first"))
-    return found.join(first, "class").select("ord", "start", "n", (F.struct("ord", "start") != F.col("first")).alias("later"))
+    found = written(lines.join(of_class, "h").select("place", "n", "class"), "occurrences")
+    first = found.groupBy("class").agg(F.min("place").alias("first"))
+    return found.join(first, "class").select(*_unplaced("place"), "n", (F.col("place") != F.col("first")).alias("later"))
 
 
 # Passages
@@ -337,20 +382,6 @@ def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The wanted blocks of a text: 32 bits of each word's hash."""
-    for words, batch, i in _each_text(batches):
-        short = (words >> np.uint64(32)).astype("<u4")
-        wanted = batch.column(2)[i].as_py()
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([batch.column(1)[i].as_py()] * len(wanted), pa.int64()), pa.array(wanted, pa.int32()),
-                pa.array([short[k * BLOCK : (k + 1) * BLOCK].tobytes() for k in wanted], pa.binary()),
-            ],
-            names=["a", "block", "words"],
-        )
-
-
 def aligned(x: np.ndarray, y: np.ndarray, places: list[tuple[int, int]], similarity: float = SIMILARITY) -> list[tuple[int, int, int, int]]:
     """Passages that two texts share around places in common: start and length in the first and in the second.
 
@@ -390,51 +421,55 @@ def aligned(x: np.ndarray, y: np.ndarray, places: list[tuple[int, int]], similar
     return out
 
 
+_CHAIN = "a long, b long, chain int, a_at array<int>, b_at array<int>"
+
+
+def chains(units: DataFrame) -> DataFrame:
+    """Chains of places in common of pairs of texts.
+
+    Each place meets the earliest and the last one with its band key, so links are at most twice as many as places.
+    """
+    sliding = units.where(F.col("kind") == SLIDING).select("h", _place().alias("place"))
+    ends = sliding.groupBy("h").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first <> last")
+    met = sliding.join(ends, "h").select("place", F.explode(F.array("first", "last")).alias("end")).where("place <> end")
+    met = met.select(*_unplaced("end", "a", "a_at"), *_unplaced("place", "b", "b_at")).where("a <> b or b_at > a_at")
+    pairs = met.groupBy("a", "b").agg(F.collect_list(F.struct("b_at", "a_at")).alias("places"))
+    found = pairs.mapInArrow(_chained, _CHAIN)
+    # The piece of the second text, and the blocks of the first one.
+    low = F.greatest(F.lit(0), F.array_min("b_at") - MARGIN - BLOCK)
+    size = F.array_max("b_at") + MARGIN + 2 * BLOCK - low
+    first, last = F.greatest(F.lit(0), F.array_min("a_at") - MARGIN), F.array_max("a_at") + MARGIN + LONG_SHINGLE
+    blocks = F.sequence((F.floor(first / BLOCK) * BLOCK).cast("int"), last.cast("int"), F.lit(BLOCK))
+    return written(found.select("*", low.alias("low"), size.alias("size"), blocks.alias("blocks")), "chains")
+
+
 def _verified(least: int, similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for words, batch, i in _each_text(batches):
-            b, found = batch.column(1)[i].as_py(), []
-            y = (words >> np.uint64(32)).astype("<u4")
-            for c in batch.column(2)[i].as_py():
-                x = np.frombuffer(b"".join(p["words"] for p in sorted(c["parts"], key=lambda p: p["block"])), dtype="<u4")
-                base = BLOCK * min(p["block"] for p in c["parts"])
-                low = max(0, min(c["b_at"]) - MARGIN - BLOCK)
-                high = max(c["b_at"]) + MARGIN + 2 * BLOCK
-                for ai, an, bi, bn in aligned(x, y[low:high], [(p - base, q - low) for p, q in zip(c["a_at"], c["b_at"], strict=True)], similarity):
+        for batch in batches:
+            found: list[tuple] = []
+            for a, b, a_at, b_at, low, words, parts in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+                blocks = {p["start"]: p["words"] for p in parts}
+                base = min(blocks)
+                x = np.frombuffer(b"".join(blocks[k] for k in sorted(blocks)), dtype="<u4")
+                y = np.frombuffer(words, dtype="<u4")
+                for ai, an, bi, bn in aligned(x, y, [(p - base, q - low) for p, q in zip(a_at, b_at, strict=True)], similarity):
                     if max(an, bn) >= least:
-                        found += [(c["a"], ai + base, an, c["a"] > b), (b, bi + low, bn, b >= c["a"])]
-            if found:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x, k) for x, k in zip(zip(*found, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.bool_()), strict=True)],
-                    names=["ord", "start", "n", "later"],
-                )
+                        found += [(a, ai + base, an, a > b), (b, bi + low, bn, b >= a)]
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.bool_())
+            columns = list(zip(*found, strict=True)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names=["ord", "start", "n", "later"])
 
     return run
 
 
-def passage_spans(texts: DataFrame, units: DataFrame, least: int = MIN_PASSAGE, similarity: float = SIMILARITY) -> DataFrame:
-    """``ord, start, n, later``: verified passages of sliding paragraphs, at their earliest place and the later ones.
-
-    Each place meets the earliest and the last one with its band key, so links are at most twice as many as places.
-    Texts are handed to the texts that they are compared with in blocks of words, only where chains of places lie.
-    """
-    sliding = units.where(F.col("kind") == SLIDING).select("h", "ord", "start")
-    place = F.struct("ord", "start")
-    ends = sliding.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last")
-    met = sliding.join(ends, "h").withColumn("end", F.explode(F.array("first", "last"))).where(place != F.col("end"))
-    # Within a text a place meets the earlier one alone.
-    met = met.where("ord <> end.ord or start > end.start").select(F.col("end.ord").alias("a"), F.col("ord").alias("b"), F.col("end.start").alias("a_at"), F.col("start").alias("b_at"))
-    pairs = met.groupBy("a", "b").agg(F.collect_list(F.struct("b_at", "a_at")).alias("places"))
-    chains = written(pairs.mapInArrow(_chained, "a long, b long, chain int, a_at array<int>, b_at array<int>"), "chains")
-    low, high = F.greatest(F.lit(0), F.array_min("a_at") - MARGIN), F.array_max("a_at") + MARGIN + LONG_SHINGLE
-    cut = chains.withColumn("block", F.explode(F.sequence(F.floor(low / BLOCK).cast("int"), F.floor(high / BLOCK).cast("int"))))
-    wanted = cut.select("a", "block").distinct().groupBy("a").agg(F.sort_array(F.collect_list("block")).alias("blocks"))
-    given = texts.join(wanted.withColumnRenamed("a", "ord"), "ord").select("text", "ord", "blocks")
-    blocks = written(given.mapInArrow(_blocks, "a long, block int, words binary").dropDuplicates(["a", "block"]), "blocks")
-    full = cut.select("a", "b", "chain", "block").join(blocks, ["a", "block"]).groupBy("a", "b", "chain").agg(F.collect_list(F.struct("block", "words")).alias("parts"))
-    work = full.join(chains, ["a", "b", "chain"]).groupBy("b").agg(F.collect_list(F.struct("a", "a_at", "b_at", "parts")).alias("chains"))
-    texts_b = texts.join(work.withColumnRenamed("b", "ord"), "ord").select("text", "ord", "chains")
-    return texts_b.mapInArrow(_verified(least, similarity), "ord long, start int, n int, later boolean")
+def passage_spans(found: DataFrame, texts: DataFrame, least: int = MIN_PASSAGE, similarity: float = SIMILARITY) -> DataFrame:
+    """``ord, start, n, later``: verified passages of chains, at both of their places, from the pieces of texts."""
+    given = lambda c: texts.select(F.col("ord").alias(c), F.col("start"), F.col("n"), F.col("words"))
+    cut = found.select("a", "b", "chain", F.explode("blocks").alias("start"), F.lit(BLOCK).alias("n"))
+    first = cut.join(given("a"), ["a", "start", "n"]).groupBy("a", "b", "chain").agg(F.collect_list(F.struct("start", "words")).alias("parts"))
+    second = given("b").withColumnsRenamed({"start": "low", "n": "size"})
+    work = found.drop("blocks").join(first, ["a", "b", "chain"]).join(second, ["b", "low", "size"])
+    return work.select("a", "b", "a_at", "b_at", "low", "words", "parts").mapInArrow(_verified(least, similarity), "ord long, start int, n int, later boolean")
 
 
 def merged(spans: DataFrame, least: int) -> DataFrame:
@@ -462,9 +497,15 @@ def repeated_passages(
     ids = written(rows.where("text is not null").select("rid", "doc_id", F.xxhash64("text").alias("tid")).distinct(), "ids")
     firsts = ids.groupBy("tid").agg(F.min(F.struct("doc_id", "rid")).alias("first"), F.count("*").alias("copies")).select("tid", "first.*", "copies")
     known = written(numbered(firsts.withColumn("all", F.lit(0)), "all", ["doc_id", "rid"], "ord").select("tid", "rid", "ord", "copies"), "known")
-    texts = written(rows.select("rid", "text").join(known.select("rid", "ord"), "rid").select("ord", "text"), "texts")
-    units = written(texts.mapInArrow(_units(*bands(similarity, least=ROWS)), _UNITS), "units")
-    spans = line_spans(texts, units, similarity).union(passage_spans(texts, units, min_passage, similarity))
+    texts = rows.select("rid", "text").join(known.select("rid", "ord"), "rid")
+    units = written(texts.select("ord", "text").mapInArrow(_units(*bands(similarity, least=ROWS)), _UNITS), "units")
+    met, lines = colliding_lines(units)
+    shared = chains(units)
+    wanted = lines.select("ord", "start", "n").union(shared.select("b", "low", "size"))
+    wanted = wanted.union(shared.select("a", F.explode("blocks"), F.lit(BLOCK)))
+    given = written(pieces(texts, wanted), "pieces")
+    sets = written(lines.join(given, ["ord", "start", "n"]).select("h", "words").mapInArrow(_sets, "h long, set array<long>").dropDuplicates(["h"]), "sets")
+    spans = line_spans(units, line_links(met, sets, similarity)).union(passage_spans(shared, given, min_passage, similarity))
     several = known.where("copies > 1").select("ord")
     whole = units.where(F.col("kind") == TEXT).join(several, "ord").select("ord", "start", "n", F.lit(False).alias("later"))
     spans = written(spans.union(whole).distinct(), "spans")
