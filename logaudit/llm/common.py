@@ -37,6 +37,16 @@ def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+#: Rows of a few numbers that may be broadcast: some tens of MB.
+BROADCAST_ROWS = 1_000_000
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """A side of a join whose narrow rows are known to be so many: to be broadcast if these are few enough, else to be
+    joined as Spark sees fit."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """Connected components of undirected edges between long ids.
 

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from logaudit.llm.common import components, written
+from logaudit.llm.common import components, small, written
 from logaudit.llm.line_dedup import with_rid
 from logaudit.llm.sharding import numbered
 
@@ -33,7 +33,7 @@ SIMILARITY = 0.8
 RECALL = 0.99
 MIN_LINE = 10
 #: Rows of a band, and of the bands in which the lines of groups over the bound are dealt anew.
-ROWS, MORE_ROWS = 4, (8, 12)
+ROWS, MORE_ROWS = 3, (6, 10)
 #: Lines of a group that are all compared with each other at once.
 GROUP = 32
 #: Words of a sliding paragraph and of its shingles.
@@ -184,20 +184,24 @@ def _units(n_bands: int, rows: int):
                 at, h = least_places(words, lengths)
                 long = np.flatnonzero(per_line >= MIN_LINE)
                 first, n = (np.cumsum(per_line) - per_line)[long], per_line[long]
-                keys, content = np.empty((0, n_bands), np.uint64), np.empty(0, np.uint64)
+                keys, content, fresh = np.empty((0, n_bands), np.uint64), np.empty(0, np.uint64), np.empty(0, bool)
                 if len(long):
                     per = n - (SHINGLE - 1)
                     within = np.arange(int(per.sum())) - np.repeat(np.cumsum(per) - per, per)
                     cuts = np.cumsum(per) - per
                     some = _rolled(words, SHINGLE)[np.repeat(first, per) + within]
-                    keys = _band_keys(some, cuts, n_bands, rows)
                     place = within.astype(np.uint64) * np.uint64(0xD1342543DE82EF95)
                     content = _mixed(np.add.reduceat(_mixed(some + place), cuts) + np.uint64(1))
+                    # Equal lines have equal keys: the first one of a slice carries them.
+                    fresh = np.zeros(len(long), bool)
+                    fresh[np.unique(content, return_index=True)[1]] = True
+                    keep = np.repeat(fresh, per)
+                    keys = _band_keys(some[keep], np.cumsum(per[fresh]) - per[fresh], n_bands, rows)
                 text = np.concatenate((np.arange(b - a), text_of_line[long], text_of_word[at]))
                 start = np.concatenate((np.zeros(b - a, np.int64), first - base[text_of_line[long]], at - base[text_of_word[at]]))
                 size = np.concatenate((lengths, n, np.full(len(at), LONG_SHINGLE)))
                 counts = (b - a, len(long), len(at))
-                offsets = np.concatenate(([0], np.cumsum(np.repeat((0, n_bands, 0), counts))))
+                offsets = np.concatenate(([0], np.cumsum(np.concatenate((np.zeros(b - a, np.int64), n_bands * fresh, np.zeros(len(at), np.int64))))))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(own[text], pa.int64()), pa.array(np.repeat((TEXT, LINE, SLIDING), counts), pa.int32()),
@@ -247,8 +251,9 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def pieces(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """``ord, start, n, words``: the wanted pieces (``ord, start, n``) of texts, which are read once for all of them."""
-    of_text = wanted.distinct().groupBy("ord").agg(F.collect_list(F.struct("start", "n")).alias("wanted"))
-    return rows.join(of_text, "ord").select("text", "ord", "wanted").mapInArrow(_pieces, "ord long, start int, n int, words binary")
+    of_text = written(wanted.distinct().groupBy("ord").agg(F.collect_list(F.struct("start", "n")).alias("wanted")), "wanted")
+    named = of_text.select("ord")
+    return rows.join(small(named, named.count()), "ord", "left_semi").join(of_text, "ord").select("text", "ord", "wanted").mapInArrow(_pieces, "ord long, start int, n int, words binary")
 
 
 # Lines
@@ -281,7 +286,7 @@ def _dealt(n_bands: int, rows: int):
 
 def _met(keyed: DataFrame) -> DataFrame:
     """``key, h, low, high``: lines that share a band key with another, and the least and the greatest of it."""
-    ends = keyed.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low <> high")
+    ends = written(keyed.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low <> high"), "band_ends")
     return written(keyed.join(ends, "key").distinct(), "met")
 
 
@@ -431,6 +436,7 @@ def chains(units: DataFrame) -> DataFrame:
     """
     sliding = units.where(F.col("kind") == SLIDING).select("h", _place().alias("place"))
     ends = sliding.groupBy("h").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first <> last")
+    ends = written(ends, "band_ends")
     met = sliding.join(ends, "h").select("place", F.explode(F.array("first", "last")).alias("end")).where("place <> end")
     met = met.select(*_unplaced("end", "a", "a_at"), *_unplaced("place", "b", "b_at")).where("a <> b or b_at > a_at")
     pairs = met.groupBy("a", "b").agg(F.collect_list(F.struct("b_at", "a_at")).alias("places"))
@@ -497,7 +503,7 @@ def repeated_passages(
     ids = written(rows.where("text is not null").select("rid", "doc_id", F.xxhash64("text").alias("tid")).distinct(), "ids")
     firsts = ids.groupBy("tid").agg(F.min(F.struct("doc_id", "rid")).alias("first"), F.count("*").alias("copies")).select("tid", "first.*", "copies")
     known = written(numbered(firsts.withColumn("all", F.lit(0)), "all", ["doc_id", "rid"], "ord").select("tid", "rid", "ord", "copies"), "known")
-    texts = rows.select("rid", "text").join(known.select("rid", "ord"), "rid")
+    texts = rows.select("rid", "text").join(small(known.select("rid", "ord"), known.count()), "rid")
     units = written(texts.select("ord", "text").mapInArrow(_units(*bands(similarity, least=ROWS)), _UNITS), "units")
     met, lines = colliding_lines(units)
     shared = chains(units)
