@@ -166,7 +166,8 @@ def _unplaced(place: str, text: str = "ord", start: str = "start"):
 
 
 _UNITS = "ord long, kind int, start int, n int, h long, keys array<long>"
-TEXT, LINE, SLIDING = 0, 1, 2
+#: Kinds of units; those of the last have the words back to the place before as their ``n``.
+TEXT, LINE, SLIDING, AGAIN = 0, 1, 2, 3
 
 
 def _units(n_bands: int, rows: int):
@@ -197,14 +198,20 @@ def _units(n_bands: int, rows: int):
                     fresh[np.unique(content, return_index=True)[1]] = True
                     keep = np.repeat(fresh, per)
                     keys = _band_keys(some[keep], np.cumsum(per[fresh]) - per[fresh], n_bands, rows)
+                # In a text only the first place of a band key stands for it, others refer to the one before.
+                order = np.lexsort((at, h, text_of_word[at]))
+                same = np.zeros(len(at), bool)
+                same[1:] = (h[order][1:] == h[order][:-1]) & (text_of_word[at[order]][1:] == text_of_word[at[order]][:-1])
+                back = np.zeros(len(at), np.int64)
+                back[order[same]] = (at[order] - np.concatenate((at[:0], at[order][-1:], at[order][:-1])))[same]
                 text = np.concatenate((np.arange(b - a), text_of_line[long], text_of_word[at]))
                 start = np.concatenate((np.zeros(b - a, np.int64), first - base[text_of_line[long]], at - base[text_of_word[at]]))
-                size = np.concatenate((lengths, n, np.full(len(at), LONG_SHINGLE)))
+                size = np.concatenate((lengths, n, np.where(back > 0, back, LONG_SHINGLE)))
                 counts = (b - a, len(long), len(at))
                 offsets = np.concatenate(([0], np.cumsum(np.concatenate((np.zeros(b - a, np.int64), n_bands * fresh, np.zeros(len(at), np.int64))))))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(own[text], pa.int64()), pa.array(np.repeat((TEXT, LINE, SLIDING), counts), pa.int32()),
+                        pa.array(own[text], pa.int64()), pa.array(np.concatenate((np.repeat((TEXT, LINE), counts[:2]), np.where(back > 0, AGAIN, SLIDING))).astype(np.int32)),
                         pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32)),
                         pa.array(np.concatenate((np.zeros(b - a, np.uint64), content, h)).view(np.int64)),
                         pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys.reshape(-1).view(np.int64))),
@@ -367,20 +374,35 @@ def line_spans(units: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Places in common of a pair of texts to chains: each as far as the next one lies within the gap in both."""
+    """Places in common of a text with others to chains: each as far as the next one lies within the gap in both.
+
+    A chain whose places all lie within longer ones of three places or more is left out: around a copy's edits some
+    keys are shared with other copies alone, but the passage is aligned with one of them already.
+    """
     for batch in batches:
         out: list[tuple] = []
-        for a, b, places in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            open_: list[list[tuple[int, int]]] = []
-            for p in sorted({(x["b_at"], x["a_at"]) for x in places}):
-                for chain in reversed(open_[-8:]):
+        for b, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            found: list[tuple[int, list[tuple[int, int]]]] = []
+            recent: list[list[tuple[int, int]]] = []
+            of = None
+            for a, *p in sorted({(x["a"], x["b_at"], x["a_at"]) for x in places}):
+                if a != of:
+                    of, recent = a, []
+                for chain in reversed(recent[-8:]):
                     db, da = p[0] - chain[-1][0], p[1] - chain[-1][1]
                     if 0 < db <= GAP and 0 < da <= GAP and abs(db - da) <= SHIFT:
-                        chain.append(p)
+                        chain.append(tuple(p))
                         break
                 else:
-                    open_.append([p])
-            out += [(a, b, i, [x for _, x in c], [x for x, _ in c]) for i, c in enumerate(open_)]
+                    recent.append([tuple(p)])
+                    found.append((a, recent[-1]))
+            inside: set[int] = set()
+            for i, (a, c) in enumerate(sorted(found, key=lambda x: (-len(x[1]), x[0]))):
+                if all(x in inside for x, _ in c):
+                    continue
+                if len(c) > 2:
+                    inside.update(range(c[0][0], c[-1][0] + 1))
+                out.append((a, b, i, [x for _, x in c], [x for x, _ in c]))
         kinds = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()))
         yield pa.RecordBatch.from_arrays(
             [pa.array(x, k) for x, k in zip(list(zip(*out, strict=True)) or [[]] * 5, kinds, strict=True)], names=["a", "b", "chain", "a_at", "b_at"]
@@ -432,15 +454,18 @@ _CHAIN = "a long, b long, chain int, a_at array<int>, b_at array<int>"
 def chains(units: DataFrame) -> DataFrame:
     """Chains of places in common of pairs of texts.
 
-    Each place meets the earliest and the last one with its band key, so links are at most twice as many as places.
+    Each text's first place meets the earliest and the last one with its band key, and a further place in the text
+    meets the one before, so links are at most twice as many as places.
     """
     sliding = units.where(F.col("kind") == SLIDING).select("h", _place().alias("place"))
     ends = sliding.groupBy("h").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first <> last")
     ends = written(ends, "band_ends")
     met = sliding.join(ends, "h").select("place", F.explode(F.array("first", "last")).alias("end")).where("place <> end")
-    met = met.select(*_unplaced("end", "a", "a_at"), *_unplaced("place", "b", "b_at")).where("a <> b or b_at > a_at")
-    pairs = met.groupBy("a", "b").agg(F.collect_list(F.struct("b_at", "a_at")).alias("places"))
-    found = pairs.mapInArrow(_chained, _CHAIN)
+    met = met.select(*_unplaced("end", "a", "a_at"), *_unplaced("place", "b", "b_at")).where("a <> b")
+    own = units.where(F.col("kind") == AGAIN).select(F.col("ord").alias("a"), (F.col("start") - F.col("n")).alias("a_at"), F.col("ord").alias("b"), F.col("start").alias("b_at"))
+    met = met.union(own)
+    of_text = met.groupBy("b").agg(F.collect_list(F.struct("a", "b_at", "a_at")).alias("places"))
+    found = of_text.mapInArrow(_chained, _CHAIN)
     # The piece of the second text, and the blocks of the first one.
     low = F.greatest(F.lit(0), F.array_min("b_at") - MARGIN - BLOCK)
     size = F.array_max("b_at") + MARGIN + 2 * BLOCK - low
@@ -495,7 +520,7 @@ def repeated_passages(
     parts of them that aren't their earliest one, each of at least so many words.
 
     Earliest is by doc_id (nulls first), then by text hash, then by place. Of equal texts one is compared, and the
-    others repeat it as a whole. A passage may repeat within its own text. Null and empty texts, and texts without
+    others repeat it as a whole. A passage may repeat within its own text too. Null and empty texts, and texts without
     such a passage, have no row; rows equal in id and text are one; an empty table gives no rows; further columns
     are ignored. Texts of any length are compared as a whole.
     """
