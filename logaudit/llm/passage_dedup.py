@@ -24,9 +24,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from logaudit.llm.common import components, small, written
+from logaudit.llm.common import components, shuffle_width, small, written
 from logaudit.llm.line_dedup import with_rid
 from logaudit.llm.sharding import numbered
+from logaudit.llm.simhash import _forest
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -34,8 +35,10 @@ RECALL = 0.99
 MIN_LINE = 10
 #: Rows of a band, and of the bands in which the lines of groups over the bound are dealt anew.
 ROWS, MORE_ROWS = 3, (6, 10)
-#: Lines of a group that are all compared with each other at once.
-GROUP = 32
+#: Lines of a group that are all compared with each other in one task.
+GROUP = 2048
+#: Shingles that are compared at a time, for all lines of a group.
+COLUMNS = 4096
 #: Words of a sliding paragraph and of its shingles.
 WINDOW, LONG_SHINGLE = 25, 10
 #: Words of a passage, at least.
@@ -266,13 +269,16 @@ def pieces(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 # Lines
 
 
+_SETS = "h long, places long, set array<long>"
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Shingle sets of lines."""
     for batch in batches:
-        sets = [np.unique(shingles(np.frombuffer(w, dtype="<u4").astype(np.uint64))).view(np.int64) for w in batch.column(1).to_pylist()]
+        sets = [np.unique(shingles(np.frombuffer(w, dtype="<u4").astype(np.uint64))).view(np.int64) for w in batch.column(2).to_pylist()]
         offsets = np.concatenate(([0], np.cumsum([len(s) for s in sets])))
         flat = np.concatenate([*sets, np.empty(0, np.int64)]).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))], names=["h", "set"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))], names=["h", "places", "set"])
 
 
 def _dealt(n_bands: int, rows: int):
@@ -291,27 +297,89 @@ def _dealt(n_bands: int, rows: int):
     return run
 
 
-def _met(keyed: DataFrame) -> DataFrame:
-    """``key, h, low, high``: lines that share a band key with another, and the least and the greatest of it."""
-    ends = written(keyed.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low <> high"), "band_ends")
-    return written(keyed.join(ends, "key").distinct(), "met")
+def _common(sets: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each two of the sets have in common."""
+    n = len(sets)
+    of = np.repeat(np.arange(n), [len(x) for x in sets])
+    _, which, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = times > 1
+    rank = np.cumsum(shared) - 1
+    keep = shared[which]
+    of, which = of[keep], rank[which[keep]]
+    out = np.zeros((n, n), dtype=np.float32)
+    order = np.argsort(which, kind="stable")
+    of, which = of[order], which[order]
+    for low in range(0, int(shared.sum()), COLUMNS):
+        i, j = np.searchsorted(which, (low, low + COLUMNS))
+        table = np.zeros((n, COLUMNS), dtype=np.float32)
+        table[of[i:j], which[i:j] - low] = 1
+        out += table @ table.T
+    return out
+
+
+def _compared(similarity: float):
+    """Sorted groups of lines with their sets to links, as few as connect what is similar enough."""
+
+    def links(h: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        n = np.array([len(x) for x in sets], dtype=np.float32)
+        common = _common(sets)
+        a, b = np.nonzero(np.triu(common >= np.float32(similarity) * (n[:, None] + n[None, :] - common) - np.float32(1e-3), 1))
+        label = _forest(len(h), a, b)
+        child = np.flatnonzero(label != np.arange(len(h)))
+        return h[child], h[label[child]]
+
+    def done(batch: pa.Table) -> Iterator[pa.RecordBatch]:
+        key, h = (batch.column(i).to_numpy() for i in (0, 1))
+        sets = batch.column(2).combine_chunks()
+        ends = np.concatenate(([0], np.cumsum(pc.list_value_length(sets).to_numpy(zero_copy_only=False))))
+        flat = sets.flatten().to_numpy(zero_copy_only=False)
+        cuts = [*np.flatnonzero(np.diff(key, prepend=key[:1] - 1)).tolist(), len(key)] if len(key) else []
+        found = []
+        for i, j in zip(cuts, cuts[1:], strict=False):
+            if j - i > 1:
+                found.append(links(h[i:j], [flat[ends[k] : ends[k + 1]] for k in range(i, j)]))
+        if found:
+            a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []  # the last group may go on in the next batch
+        for batch in batches:
+            if not len(batch):
+                continue
+            held.append(pa.Table.from_batches([batch]))
+            key = batch.column(0).to_numpy(zero_copy_only=False)
+            cut = int(np.searchsorted(key, key[-1], side="left"))
+            if cut or held[0].column(0)[0].as_py() != key[0]:
+                whole = pa.concat_tables([*held[:-1], held[-1].slice(0, cut)])
+                yield from done(whole)
+                held = [held[-1].slice(cut)]
+        if held:
+            yield from done(pa.concat_tables(held))
+
+    return run
 
 
-def _of_groups(met: DataFrame, bound: int) -> tuple[DataFrame, DataFrame]:
-    """``a, b``: all pairs of groups within the bound; and of larger groups each line with the least and the
-    greatest. Then the lines of the larger groups."""
-    large = met.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > bound).select("key")
-    few, many = met.join(large, "key", "left_anti").select("key", "h"), met.join(large, "key", "left_semi")
-    pairs = few.withColumnRenamed("h", "a").join(few.withColumnRenamed("h", "b"), "key").where("a < b").select("a", "b")
-    star = many.select(F.explode(F.array(F.struct(F.col("low").alias("a"), F.col("h").alias("b")), F.struct(F.col("h").alias("a"), F.col("high").alias("b")))).alias("p")).select("p.*")
-    return pairs.union(star.where("a <> b")).distinct(), many.select("key", "h")
+def compared(groups: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """``a, b``: links that connect the lines of each group (``key, h``) which are similar enough."""
+    dealt = groups.join(sets.select("h", "set"), "h").select("key", "h", "set").repartition(shuffle_width(sets.sparkSession), "key").sortWithinPartitions("key")
+    return dealt.mapInArrow(_compared(similarity), "a long, b long").distinct()
+
+
+def _met(keyed: DataFrame) -> DataFrame:
+    """``key, h``: lines that share a band key with another."""
+    ends = written(keyed.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low <> high").select("key"), "band_ends")
+    return written(keyed.join(ends, "key").distinct(), "met")
 
 
-def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs whose sets are similar enough."""
+def _centred(many: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """``a, b``: each line of a group with the one of most places, from which others are likely to be edited, if they
+    are similar enough."""
+    middle = many.join(sets.select("h", "places"), "h").groupBy("key").agg(F.max(F.struct("places", "h")).alias("m")).select("key", F.col("m.h").alias("b"))
+    pairs = many.join(middle, "key").select(F.col("h").alias("a"), "b").where("a <> b").distinct()
     of = lambda c: sets.select(F.col("h").alias(c), F.col("set").alias(f"s{c}"), F.size("set").alias(f"n{c}"))
-    both = pairs.join(of("a"), "a").join(of("b"), "b").where(F.least("na", "nb") >= F.lit(similarity) * F.greatest("na", "nb"))
     common = F.size(F.array_intersect("sa", "sb"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b")
     return both.where(common >= F.lit(similarity) * (F.col("na") + F.col("nb") - common)).select("a", "b")
 
 
@@ -324,38 +392,43 @@ def _apart(many: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def colliding_lines(units: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Lines that share a band key with another (as ``_met`` gives them), and a place ``h, ord, start, n`` of each."""
+    """Lines that share a band key with another (``key, h``), and a place ``h, ord, start, n`` and the
+    number of ``places`` of each."""
     lines = units.where(F.col("kind") == LINE)
     met = _met(lines.select("h", F.explode("keys").alias("key")))
-    some = lines.join(met.select("h").distinct(), "h").groupBy("h").agg(F.min(F.struct("ord", "start", "n")).alias("x"))
-    return met, written(some.select("h", "x.*"), "colliding_lines")
+    some = lines.join(met.select("h").distinct(), "h").groupBy("h").agg(F.min(F.struct("ord", "start", "n")).alias("x"), F.count("*").alias("places"))
+    return met, written(some.select("h", "x.*", "places"), "colliding_lines")
 
 
 def line_links(met: DataFrame, sets: DataFrame, similarity: float = SIMILARITY, bound: int = GROUP) -> DataFrame:
     """``a, b``: links that connect the lines which collide in a band and are similar enough.
 
-    In a group of up to ``bound`` lines all pairs are verified. In a larger one each line meets the least and
-    the greatest first; if that leaves the group in pieces, all its lines are dealt anew in bands of more rows
-    and other seeds. What the last bands leave in pieces is compared in full, each line with those of other
-    pieces.
+    In a group of up to ``bound`` lines all are compared with each other in one task. In a larger one each line
+    meets the one of most places first; if that leaves the group in pieces, all its lines are dealt anew in bands of
+    more rows and other seeds. Groups that are still too large then are compared block by block.
     """
-    found, many = _of_groups(met, bound)
-    links = written(_similar(found, sets, similarity), "links")
-    for least in MORE_ROWS:
+    links = None
+    for least in (*MORE_ROWS, None):
+        large = met.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > bound)
+        found = written(compared(met.join(large, "key", "left_anti"), sets, similarity), "links")
+        links = found if links is None else links.union(found)
+        many = written(met.join(large, "key"), "many")
         if many.isEmpty():
             return links
-        left = _apart(many, links)
+        links = links.union(written(_centred(many, sets, similarity), "links"))
+        left = _apart(many.select("key", "h"), links)
         if left.isEmpty():
             return links
-        own = sets.join(left.select("h").distinct(), "h").select("h", "set")
-        found, many = _of_groups(_met(own.mapInArrow(_dealt(*bands(similarity, most=1024, least=least)), "h long, key long")), bound)
-        links = links.union(written(_similar(found, sets, similarity), "links"))
-    left = _apart(many, links)
-    if left.isEmpty():
-        return links
-    of = lambda c: left.select("key", F.col("h").alias(c), F.col("class").alias(f"c{c}"))
-    rest = of("a").join(of("b"), "key").where("ca < cb").select("a", "b").distinct()
-    return links.union(written(_similar(rest, sets, similarity), "links"))
+        if least is not None:
+            own = sets.join(left.select("h").distinct(), "h").select("h", "set")
+            met = _met(own.mapInArrow(_dealt(*bands(similarity, most=1024, least=least)), "h long, key long"))
+    # Every two blocks of half the bound, and so every two lines, meet in a group of its own.
+    half = max(1, bound // 2)
+    blocks = left.groupBy("key").agg(F.ceil(F.count("*") / half).cast("int").alias("blocks"))
+    own = left.join(blocks, "key").withColumn("x", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int"))
+    both = own.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    named = both.select(F.xxhash64("key", F.least("x", "y"), F.greatest("x", "y")).alias("key"), "h")
+    return links.union(written(compared(named, sets, similarity), "links"))
 
 
 def line_spans(units: DataFrame, links: DataFrame) -> DataFrame:
@@ -535,7 +608,7 @@ def repeated_passages(
     wanted = lines.select("ord", "start", "n").union(shared.select("b", "low", "size"))
     wanted = wanted.union(shared.select("a", F.explode("blocks"), F.lit(BLOCK)))
     given = written(pieces(texts, wanted), "pieces")
-    sets = written(lines.join(given, ["ord", "start", "n"]).select("h", "words").mapInArrow(_sets, "h long, set array<long>").dropDuplicates(["h"]), "sets")
+    sets = written(lines.join(given, ["ord", "start", "n"]).select("h", "places", "words").mapInArrow(_sets, _SETS).dropDuplicates(["h"]), "sets")
     spans = line_spans(units, line_links(met, sets, similarity)).union(passage_spans(shared, given, min_passage, similarity))
     several = known.where("copies > 1").select("ord")
     whole = units.where(F.col("kind") == TEXT).join(several, "ord").select("ord", "start", "n", F.lit(False).alias("later"))
