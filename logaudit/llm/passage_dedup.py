@@ -51,7 +51,7 @@ MARGIN = 40
 BLOCK = 64
 #: Mismatched words in a row that an aligned passage may have.
 EDITS = 5
-_SLICE_BYTES = 4_000_000
+_SLICE_BYTES = 1_500_000
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -452,7 +452,7 @@ def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     A chain whose places all lie within longer ones of three places or more is left out: around a copy's edits some
     keys are shared with other copies alone, but the passage is aligned with one of them already.
     """
-    for batch in batches:
+    for batch in (batch.slice(k, 500) for batch in batches for k in range(0, len(batch), 500)):
         out: list[tuple] = []
         for b, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             found: list[tuple[int, list[tuple[int, int]]]] = []
@@ -549,7 +549,7 @@ def chains(units: DataFrame) -> DataFrame:
 
 def _verified(least: int, similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (batch.slice(k, 500) for batch in batches for k in range(0, len(batch), 500)):
             found: list[tuple] = []
             for a, b, a_at, b_at, low, words, parts in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
                 blocks = {p["start"]: p["words"] for p in parts}
