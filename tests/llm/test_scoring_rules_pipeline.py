@@ -1,6 +1,7 @@
 import collections
 import hashlib
 import math
+import random
 import re
 import zlib
 
@@ -15,36 +16,67 @@ from logaudit.llm.queries import ORACLE_SQL, QUERIES
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("values", [[], [0, 0, 5], [2**64 - 1], list(range(0, 9000, 7))])
-def test_elias_fano(values):
+@pytest.mark.parametrize("values", [[], [0], [0, 3, 5], [2**63], list(range(0, 90000, 7)), sorted({random.Random(i).randrange(2**62) for i in range(9000)})])
+def test_elias_fano_level(values, tmp_path):
     v = np.array(values, dtype=np.uint64)
-    assert (ngram_trie.ef_decode(ngram_trie.ef_encode(v)) == v).all()
+    data = ngram_trie.Level.encode(v)
+    level = ngram_trie.Level(data)
+    places = np.arange(len(v))[:: max(1, len(v) // 50)]
+    assert (level.at(places) == v[places]).all() and (level.search(v[places]) == places).all()
+    assert (level.search(np.array([x + 1 for x in values if x + 1 not in set(values)], dtype=np.uint64)) == -1).all()
+    assert len(data) < 600 + len(v) * 9 + (8 * len(v) // 100)
+
+
+def test_trie_is_searched_in_its_code(tmp_path):
+    rnd = random.Random(1)
+    pairs = collections.Counter((rnd.randrange(300) * 2**55 + 7, rnd.randrange(2**32) if i % 3 else i % 40) for i in range(30_000))
+    c, s, k = (np.array(x, dtype=t) for x, t in zip(zip(*[(a, b, n) for (a, b), n in pairs.items()], strict=True), (np.uint64, np.uint32, np.int64), strict=True))
+    data, warm, _ = ngram_trie.built(c, s, k, np.empty(0, np.uint64), np.empty(0, np.int64), 0.75)
+    (tmp_path / "trie").write_bytes(data)
+    trie = ngram_trie.Trie.open(str(tmp_path / "trie"))
+    total = collections.Counter()
+    for (a, _), n in pairs.items():
+        total[a] += n
+    asked = sorted([*pairs, *((a, b + 1) for a, b in list(pairs)[::7] if b + 1 < 2**32), *((a + 1, b) for a, b in list(pairs)[::9])])
+    codes = trie.find(np.array([a for a, _ in asked], dtype=np.uint64), np.array([b for _, b in asked], dtype=np.uint32))
+    want = [math.log10((pairs[p] - 0.75) / total[p[0]]) if p in pairs else None for p in asked]
+    assert all((q == 0) if w is None else abs(math.log10(float(r)) - w) <= ngram_trie.STEP for q, r, w in zip(codes, ngram_trie.restore(codes), want, strict=True))
+    assert len(warm) == 0 and len(data) < 12 * len(pairs)
+    broken = bytearray(data)
+    broken[len(data) // 3] ^= 0xFF  # within the level of successors
+    other = ngram_trie.Trie(bytes(broken)).find(np.array([a for a, _ in asked], dtype=np.uint64), np.array([b for _, b in asked], dtype=np.uint32))
+    assert (other != codes).any()
 
 
 def test_language_model_equals_a_plain_one(spark):
-    rows = [(i, ["a b c a b", "A b c d", "", None, "b\n c\td a", "a " * 500][i % 6] + (f" w{i % 9}" if i % 6 < 2 else "") if i % 6 != 3 else None) for i in range(120)]
-    got = {r.doc_id: r for r in ngram_trie.score(spark.createDataFrame(rows, "doc_id long, text string").withColumn("held", F.lit(1)), shard_tokens=1000)[0].collect()}
-    toks = {i: re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower()) + [None] for i, t in rows}
-    held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in toks}
+    texts = ["a b c a b", "A b c d", "", None, "b\n c\td a", "a " * 500]
+    rows = [(i, (texts[i % 6] + (f" w{i % 9}" if i % 6 < 2 else "")) if i % 6 != 3 else None) for i in range(120)]
+    rows += [(7, rows[7][1]), (200, " ".join(f"v{i % 5000}" for i in range(30_000)))]
+    got = sorted(ngram_trie.score(spark.createDataFrame(rows, "doc_id long, text string").withColumn("held", F.lit(1)), shard_tokens=1000)[0].collect())
+    rows.sort(key=lambda r: r[0])
+    toks = [re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower()) + [None] for _, t in rows]
+    held = [zlib.crc32(str(i).encode()) % 5 == 1 for i, _ in rows]
     c, pairs = collections.Counter(), collections.Counter()
-    for i in toks:
-        if not held[i]:
-            c.update(toks[i])
-            pairs.update(zip([None, *toks[i]], toks[i], strict=False))
+    for t, h in zip(toks, held, strict=True):
+        if not h:
+            c.update(t)
+            pairs.update(zip([None, *t], t, strict=False))
     n, v = sum(c.values()), len(c)
-    few = collections.defaultdict(lambda: [0, 0, 0])
-    for (a, _), k in pairs.items():
-        few[a][min(k, 3) - 1] += 1
-    d = ngram_trie.discounts([sum(x == k for x in pairs.values()) for k in (1, 2, 3, 4)])
-    for i, t in toks.items():
+    kinds = collections.Counter(a for a, _ in pairs)
+    for (i, _), t, h, r in zip(rows, toks, held, got, strict=True):
         single = [(c[w] + 0.5) / (n + 0.5 * (v + 1)) for w in t]
         total = 0.0
         for a, w, p in zip([None, *t], t, single, strict=False):
-            k = pairs[a, w]
-            total += math.log10(((k - d[min(k, 3) - 1] if k else 0) + sum(x * y for x, y in zip(d, few[a], strict=True)) * p) / c[a] if c[a] else p)
-        r = got[i]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(t), sum(c[w] > 0 for w in t), n)
-        assert r.base_score == pytest.approx(sum(map(math.log10, single))) and r.score == pytest.approx(total)
+            total += math.log10((max(pairs[a, w] - 0.75, 0) + 0.75 * kinds[a] * p) / c[a] if c[a] else p)
+        assert (r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (i, h, len(t), sum(c[w] > 0 for w in t), n)
+        assert r.base_score == pytest.approx(sum(map(math.log10, single))) and abs(r.score - total) <= len(t) * ngram_trie.STEP
+
+
+def test_language_model_edges(spark):
+    kind = "doc_id long, text string"
+    assert ngram_trie.score(spark.createDataFrame([], kind))[0].count() == 0
+    rows = ngram_trie.score(spark.createDataFrame([(None, "a b"), (None, None), (1, "a")], kind).withColumn("score", F.lit(0)))[0].collect()
+    assert len(rows) == 3 and all(r.train_tokens == 6 and r.score < 0 for r in rows)
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
