@@ -134,10 +134,34 @@ def test_rules(spark):
     assert quality_rules.ledger(docs.limit(0)).count() == 0
 
 
-def test_secrets(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    rows = secret_scan.scan(docs).where("label is not null").collect()
-    assert sum(r.is_secret == (r.label == 1) for r in rows) >= 0.97 * len(rows) and any(r.is_secret for r in rows)
+def test_secrets_that_are_held_out(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    rows = secret_scan.scan(docs).where("label is not null and held_out").dropDuplicates(["value_sha256"]).collect()
+    right = sum(r.is_secret and r.label == 1 for r in rows)
+    secrets, told = sum(r.label for r in rows), sum(r.is_secret for r in rows)
+    assert len(rows) > 100 and secrets > 20, (len(rows), secrets)
+    assert right >= 0.95 * secrets and right >= 0.95 * told, (right, secrets, told)
+
+
+def test_secrets_learned_from_a_table_of_findings(spark):
+    rnd = random.Random(3)
+    token = lambda kind: "".join(rnd.choice(kind) for _ in range(24))
+    mixed, rows, findings = "ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz23456789", [], []
+    for i in range(400):
+        secret = i % 2
+        value = token(mixed) if secret else "build-" + token("0123456789")
+        rows.append((i, f"the {'vault' if secret else 'run'} gives {value} at once"))
+        if i < 300:
+            findings.append((hashlib.sha256(value.encode()).hexdigest(), secret))
+    table = spark.createDataFrame([*findings, findings[0]], "value_sha256 string, label int")
+    docs = spark.createDataFrame([*rows, rows[0], (None, rows[1][1]), (999, "x " * 50_000 + rows[3][1])], "doc_id long, text string")
+    got = secret_scan.scan(docs, table).collect()
+    unseen = [r for r in got if r.doc_id is not None and 300 <= r.doc_id < 400]
+    assert len(unseen) == 100 and all(r.label is None and r.is_secret == (r.doc_id % 2 == 1) for r in unseen)
+    assert sum(r.doc_id == 0 for r in got) == 2 and any(r.doc_id is None for r in got) and any(r.word > 50_000 for r in got)
+
+
+def test_secret_edges(spark):
     odd = spark.createDataFrame([(1, None), (2, ""), (3, "password=Ab3dEf6hIj9kLmN0 x")], "doc_id long, text string").withColumn("value", F.lit(1))
     found = secret_scan.scan(odd).collect()
     assert [(r.doc_id, r.key, r.probability, r.is_secret) for r in found] == [(3, "password", None, True)]
