@@ -1,7 +1,8 @@
 """Secret scans: a wide net of candidates, and a random forest that removes the false positives.
 
 Candidates are values of eight characters or more: words, what is glued together in them, and the values of
-``key=value`` pairs anywhere inside. Without a digit they need an announcing word, mixed case or low coverage. Their
+``key=value`` pairs anywhere inside. Without a digit they need an announcing word, mixed case, or letters that hardly
+follow each other in words and low coverage. Their
 features are length, character transitions, coverage by the corpus's own dictionary, path shape (of the value and of
 the words beside it) and the neighbouring words: key, two words before and one behind, hashed, so that the forest
 learns by itself which of them tell. It is trained on labelled findings, less every fifth value, which is held out to
@@ -32,7 +33,10 @@ GLUE = r"""["'`,;?&|{}()\[\]<>\\]+"""
 PLAIN = r"^[\p{L}.,;!?]+$"
 #: Characters that are no part of a token, at both ends.
 EDGES = r"^[^\p{L}\p{N}+/_.~$-]+|[^\p{L}\p{N}+/_=-]+$"
-#: Share of a digit-free value in dictionary words under which it is a candidate by itself.
+#: What a value has that isn't a word: a digit, an inner capital, or five consonants in a row; and what may hold one.
+ODD, CONSONANTS = r"[0-9]|[a-z][A-Z]", r"(?i)[b-df-hj-np-tv-xz]{5}"
+ODD_WORD = rf"{ODD}|[=:]|(?:{CONSONANTS})"
+#: Share of a digit-free value in dictionary words under which consonants alone make it a candidate.
 LOW_COVERAGE = 0.5
 #: Occurrences from which a word belongs to the dictionary.
 LEXICON_COUNT = 5
@@ -52,24 +56,24 @@ FEATURES = [
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, word, key, value, before, after``: the values of each row, ``word`` being their word's place among
     the text's words. A word gives itself, the values of all pairs inside it and its parts between quotes, braces
-    and other glue, each different value once; quotes and other characters at the ends are cut off. Values without
-    a digit are among them: ``suspicious`` tells which of these are candidates."""
+    and other glue, each different value once; quotes and other characters at the ends are cut off. A value has a digit, an
+    inner capital or five consonants in a row, or an announcing word beside it: ``suspicious`` is the last word on these."""
     text = F.col(text_col).cast("string")
     words = F.array_remove(F.split("t", SPACE), "")
     near = lambda w, i: F.coalesce(F.get(w, i), F.lit(""))
-    found = lambda w: F.filter(
+    wide = lambda w: F.filter(
         F.transform(
             w,
             lambda x, i: F.when(
-                F.length(x) >= 8,
+                (F.length(x) >= 8) & (x.rlike(ODD_WORD) | (F.col("announces") & F.concat_ws(" ", near(w, i - 2), near(w, i - 1)).rlike(ANNOUNCING))),
                 F.struct(i.alias("word"), x.alias("raw"), F.concat_ws(" ", near(w, i - 2), near(w, i - 1)).alias("before"), near(w, i + 1).alias("after")),
             ),
         ),
         lambda x: x.isNotNull(),
     )
     # A one-element array binds the words to a lambda's variable: they are split once.
-    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("t"))
-    rows = rows.select("doc_id", F.explode(F.get(F.transform(F.array(words), found), F.lit(0))).alias("c")).select("doc_id", "c.*")
+    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("t"), text.rlike(ANNOUNCING).alias("announces"))
+    rows = rows.select("doc_id", F.explode(F.get(F.transform(F.array(words), wide), F.lit(0))).alias("c")).select("doc_id", "c.*")
 
     def part(raw: Column) -> Column:
         bare = F.regexp_replace(raw, r"""^["'(\[{<]+|["')\]}>.,;!?]+$""", "")
@@ -90,14 +94,15 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     parts = F.filter(F.when(F.col("raw").rlike(PLAIN), whole).otherwise(inside), lambda x: F.length(x["value"]) >= 8)
     once = lambda p: F.filter(p, lambda x, i: F.array_position(F.transform(p, lambda y: y["value"]), x["value"]) == i + 1)
     rows = rows.select("doc_id", "word", F.explode(F.get(F.transform(F.array(parts), once), F.lit(0))).alias("p"), "before", "after")
-    return rows.select("doc_id", "word", "p.key", "p.value", "before", "after")
+    odd = F.col("value").rlike(rf"{ODD}|(?:{CONSONANTS})") | F.col("key").rlike(ANNOUNCING) | F.col("before").rlike(ANNOUNCING)
+    return rows.select("doc_id", "word", "p.key", "p.value", "before", "after").where(odd)
 
 
 def suspicious() -> Column:
-    """Which values with features are candidates: those with a digit, announced ones, those of mixed case and those
-    that dictionary words hardly cover."""
+    """Which values with features are candidates: those with a digit or an inner capital, announced ones, and of those
+    with letters that hardly follow each other the ones that dictionary words hardly cover."""
     v = F.col("value")
-    return v.rlike("[0-9]") | F.col("key").rlike(ANNOUNCING) | F.col("before").rlike(ANNOUNCING) | v.rlike("[a-z][A-Z]") | (F.col("f_coverage") < LOW_COVERAGE)
+    return v.rlike(ODD) | F.col("key").rlike(ANNOUNCING) | F.col("before").rlike(ANNOUNCING) | (F.col("f_coverage") < LOW_COVERAGE)
 
 
 def lexicon(docs: DataFrame, text_col: str = "text", least: int = LEXICON_COUNT) -> DataFrame:
@@ -195,7 +200,8 @@ def scan(docs: DataFrame, label=known_formats, id_col: str = "doc_id", text_col:
     long text are rows like others. Without findings of both labels there is no forest, probabilities are null
     and all candidates count as secrets. Columns other than the two named are ignored.
     """
-    found = features(candidates(docs, id_col, text_col), lexicon(docs, text_col) if words is None else words).where(suspicious())
+    values = written(candidates(docs, id_col, text_col), "values")
+    found = features(values, lexicon(docs, text_col) if words is None else words).where(suspicious())
     if isinstance(label, DataFrame):
         told = label.groupBy("value_sha256").agg(F.max(F.col("label").cast("double")).alias("label"))
         found = found.withColumn("value_sha256", F.sha2("value", 256)).join(told, "value_sha256", "left").drop("value_sha256")
