@@ -12,11 +12,13 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is what the session names in ``spark.checkpoint.dir``. Where that is unset, as in tests on one
-    machine, a temporary folder takes its place.
+    It is what the session names in ``spark.checkpoint.dir``. Where that is unset and the master is local, as in
+    tests on one machine, a temporary folder takes its place; a cluster must name one.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="spark-shared-")
         spark.sparkContext.setCheckpointDir(named)
         spark.conf.set("spark.checkpoint.dir", named)

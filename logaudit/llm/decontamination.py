@@ -149,18 +149,19 @@ def scan(
     n: int = N,
     share: int = SHARE,
     block_windows: int = BLOCK_WINDOWS,
+    to: str = "hits",
 ) -> DataFrame:
-    """The rows of ``docs`` with ``hits``: counts of words, hit words and items, a digest of the items, the
+    """The rows of ``docs`` with a column ``to``: counts of words, hit words and items, a digest of the items, the
     hit spans in words, and the verdict.
 
     One row out for each row in, in one map-only pass for each block. A null text has no words; a document
     without words is clean; an empty benchmark leaves all clean; repeated items and repeated rows count as
-    they stand. Columns of the input keep their names; one named ``hits`` is replaced.
+    they stand. Columns of the input keep their names; one named like ``to`` is replaced.
     """
     spark = docs.sparkSession
     grams = written(windows(benchmark, n=n), "windows")
     blocks = max(1, -(-grams.count() // block_windows))
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "hits"])
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != to.lower()])
     out = docs.select(row.alias("row"), F.col(text_col).cast("string").alias("text"))
     for i in range(blocks):
         part = grams.where(F.pmod(F.xxhash64("window", "item"), F.lit(blocks)) == i) if blocks > 1 else grams
@@ -175,16 +176,24 @@ def scan(
             out = written(out, "found")
     out = out.select("row", F.pandas_udf(_summarise, _SUMMARY)("found").alias("d"))
     verdict = (F.col("d.n_hit") > 0) & (F.lit(share) * F.col("d.n_hit") >= F.col("d.n_words"))
-    return out.select("row.*", F.struct("d.*", verdict.alias("contaminated")).alias("hits"))
+    return out.select("row.*", F.struct("d.*", verdict.alias("contaminated")).alias(to))
 
 
-def remove_documents(scanned: DataFrame) -> DataFrame:
-    """Drops the contaminated documents and the ``hits`` column."""
-    return scanned.where("not hits.contaminated").drop("hits")
+def remove_documents(scanned: DataFrame, hits: str = "hits") -> DataFrame:
+    """Drops the contaminated documents and the column that ``scan`` has added."""
+    return scanned.where(~F.col(f"{hits}.contaminated")).drop(hits)
 
 
-def remove_spans(scanned: DataFrame, text_col: str = "text") -> DataFrame:
-    """Cuts the hit words out of the texts, in all documents, and drops the ``hits`` column.
+def clean_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that aren't contaminated, with all of their columns, whatever these are named."""
+    to = "hits"
+    while to in {c.lower() for c in docs.columns}:
+        to = f"_{to}"
+    return remove_documents(scan(docs, benchmark, text_col, to=to), to)
+
+
+def remove_spans(scanned: DataFrame, text_col: str = "text", hits: str = "hits") -> DataFrame:
+    """Cuts the hit words out of the texts, in all documents, and drops the column that ``scan`` has added.
 
     A span goes from the start of its first word to the start of the next word that stays, or to the end of
     its last word at the end of the text. Null texts stay null; a text that is all span becomes empty.
@@ -194,8 +203,8 @@ def remove_spans(scanned: DataFrame, text_col: str = "text") -> DataFrame:
     def cut(texts: pd.Series, starts: pd.Series, lengths: pd.Series) -> pd.Series:
         return pd.Series([_without(*x) for x in zip(texts, starts, lengths, strict=True)], dtype=object)
 
-    cleaned = F.when(F.size("hits.span_starts") > 0, cut(text_col, "hits.span_starts", "hits.span_lengths")).otherwise(F.col(text_col))
-    return scanned.withColumn(text_col, cleaned).drop("hits")
+    cleaned = F.when(F.size(f"{hits}.span_starts") > 0, cut(text_col, f"{hits}.span_starts", f"{hits}.span_lengths")).otherwise(F.col(text_col))
+    return scanned.withColumn(text_col, cleaned).drop(hits)
 
 
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")

@@ -237,7 +237,7 @@ def near_duplicates(
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
     """The rows that stay when one of each component does: the one of least id, nulls last, and of several rows
-    of that id the one of least fingerprint. Components are told apart by their fingerprints, so rows without
+    of that id the one of least fingerprint, then of least text hash. Components are told apart by their fingerprints, so rows without
     an id, or with an id that other texts have too, stay unless their own component has another. The columns
     are those of ``docs``."""
     own = docs.columns
@@ -248,7 +248,8 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     winners = classes(rows.select("doc_id", "fp"), "doc_id", distance).groupBy("component").agg(least)
     same = winners.select(F.col("least.first").alias("w_id"), F.col("least.fp").alias("w_fp"))
     staying = rows.join(same, (F.col("fp") == F.col("w_fp")) & F.col("doc_id").eqNullSafe(F.col("w_id")), "left_semi")
-    return staying.dropDuplicates(["doc_id", "fp"]).select("row.*")
+    order = F.struct(F.xxhash64(F.col("row").getField(text_col)), F.col("row").getField(text_col))
+    return staying.groupBy("doc_id", "fp").agg(F.min_by("row", order).alias("row")).select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -114,6 +114,9 @@ def test_decontamination_in_blocks_and_spans(spark):
         assert rows[2].items_sha256 == hashlib.sha256(b"2,5").hexdigest() and rows[3].n_words == 0 and not rows[4].contaminated
     texts = {r.doc_id: r.text for r in decontamination.remove_spans(decontamination.scan(docs, bench)).collect()}
     assert texts[1] == "x y" and texts[2].startswith("so it is") and texts[3] is None
+    twice = docs.union(docs).union(spark.createDataFrame([(None, "y " * 60_000 + "short item", 0)], docs.schema))
+    kept = decontamination.clean_documents(twice, bench)
+    assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["2", "2", "3", "3", "4", "4", "5", "5", "None"]
     none = decontamination.scan(docs, bench.limit(0))
     assert none.where("hits.contaminated").count() == 0 and decontamination.scan(docs.limit(0), bench).count() == 0
 
@@ -184,6 +187,28 @@ def test_planted_secrets_are_candidates(spark):
     assert {r.key for r in got if r.doc_id == 0} == {"token"}
 
 
+def test_weights_move_rows_only_where_they_change(spark):
+    ids = spark.range(2000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
+    odd = ids.union(spark.createDataFrame([(None, None), (None, None), (5, "t")], "doc_id long, text string")).withColumn("slot", F.lit("x"))
+    rows = sharding.assign(odd, 8).collect()
+    assert len(rows) == 2003 and len({(r.shard, r.slot) for r in rows}) == 2003
+    assert len({r.shard for r in rows if r.doc_id is None}) == 1 == len({r.shard for r in rows if r.doc_id == 5})
+
+
+def test_stages_take_nulls_repeats_empty_tables_and_other_columns(spark):
+    good = " ".join(f"word{i} the" for i in range(30))
+    rows = [(1, good, "a", 1), (None, good + " x y", "b", 2), (None, None, "c", 3), (4, "", "d", 4), (1, good, "a", 1), (6, "one " + good, "e", 5), (7, good.replace("word", "w") * 300, "f", 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, hits string, row long")
+    for table in (docs, docs.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, table, SF)
+            got = out.collect()
+            if name != "pack":
+                assert out.columns == docs.columns and len(got) <= len(rows)
+    for row in corpus_pipeline.near(spark, docs, SF).collect():
+        assert (row.doc_id, row.text, row.hits, row.row) in rows
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     before = {r.doc_id for r in docs.collect()}
