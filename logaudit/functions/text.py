@@ -102,12 +102,16 @@ NOT_GLOBAL = (
 
 def address_class(address: Column) -> Column:
     """loopback, documentation, private or global; null if the text is no IPv4 address."""
-    n = ipv4_number(address)
-    within = lambda ranges: F.array_max(F.array(*[n.between(*_cidr(r)) for r in ranges]))
-    return (
-        F.when(n.isNull(), F.lit(None).cast("string"))
-        .when(within([LOOPBACK]), "loopback")
-        .when(within(DOCUMENTATION), "documentation")
-        .when(within(NOT_GLOBAL), "private")
-        .otherwise("global")
-    )
+
+    def of(n: Column) -> Column:
+        within = lambda ranges: F.greatest(F.lit(False), *[n.between(*_cidr(r)) for r in ranges])
+        return (
+            F.when(n.isNull(), F.lit(None).cast("string"))
+            .when(within([LOOPBACK]), "loopback")
+            .when(within(DOCUMENTATION), "documentation")
+            .when(within(NOT_GLOBAL), "private")
+            .otherwise("global")
+        )
+
+    # The number is bound to the variable of a one-element array: it is computed once, and the code stays small.
+    return F.get(F.transform(F.array(ipv4_number(address)), of), F.lit(0))

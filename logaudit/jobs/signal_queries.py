@@ -356,27 +356,31 @@ def placeholder_mapping(spark, sf):
     return redact.placeholder_mapping(rows, early)
 
 
+#: The salt that the SQL above knows; a job takes its own.
+POLICY = redact.Policy(b"salt")
+
+
 @query()
 def redact_text(spark, sf):
-    return I.texts(spark, sf).select("kind", "id", redact.redact_text(F.col("text")).alias("text"))
+    return I.texts(spark, sf).select("kind", "id", redact.redact_text(F.col("text"), POLICY).alias("text"))
 
 
 @query()
 def redact_ipv4_email(spark, sf):
-    return I.texts(spark, sf).select("kind", "id", redact.redact_ipv4_email(F.col("text")).alias("text"))
+    return I.texts(spark, sf).select("kind", "id", redact.redact_ipv4_email(F.col("text"), POLICY).alias("text"))
 
 
 @query("SELECT page_id AS id, regexp_extract(url, '^(https?)://', 1) AS scheme, regexp_matches(regexp_extract(url, '^https?://([^/:]*)', 1), 'example[.](com|net|org|edu)$') AS documentation FROM pages")
 def redact_urls(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet").select(F.col("page_id").alias("id"), "url")
-    out = redact.redact_text(F.col("url"))
+    out = redact.redact_text(F.col("url"), POLICY)
     return pages.select("id", F.regexp_extract(out, "^(https?)://", 1).alias("scheme"), (out == F.col("url")).alias("documentation"))
 
 
 @query()
 def redact_signals(spark, sf):
     rows = I.events(spark, sf).where("event_type = 'error'").select("host", "round_id", F.lit("failures_by_source").alias("name"), F.create_map(F.lit("source"), F.col("peer")).alias("labels"), F.array(F.struct(F.lit("log").alias("kind"), F.lit("r").alias("ref"), F.concat(F.lit("from "), "peer").alias("excerpt"), F.col("line_no").cast("bigint").alias("line_no"))).alias("evidence"))
-    return redact.redact_signals(rows).select("host", "round_id", "key", F.col("evidence")[0]["excerpt"].alias("excerpt"))
+    return redact.redact_signals(rows, POLICY).select("host", "round_id", "key", F.col("evidence")[0]["excerpt"].alias("excerpt"))
 
 
 @query("SELECT page_id AS id, ['10.0.0.7', '/srv/x/' || page_id] AS leaks FROM pages")
@@ -385,10 +389,10 @@ def find_leaks(spark, sf):
     return rows.select("id", leaks.find_leaks(F.regexp_replace("text", r"https?://\S+", "url")).alias("leaks"))
 
 
-@query("SELECT page_id AS id FROM pages")
+@query("SELECT 'page' AS kind, page_id AS id FROM pages UNION ALL SELECT 'doc', doc_id FROM documents")
 def leak_gate(spark, sf):
-    rows = I.texts(spark, sf).where("kind = 'page'").select("id", redact.redact_text(F.regexp_replace("text", r"https?://\S+", "url")).alias("text"))
-    return leaks.gate(rows, "pages").select("id")
+    rows = I.texts(spark, sf).select("kind", "id", redact.redact_text(F.col("text"), POLICY).alias("text"))
+    return leaks.gate(rows.select("id", "kind", "text"), "texts").select("kind", "id")
 
 
 @query("WITH h AS (SELECT doc_id AS id, regexp_extract_all(coalesce(text, ''), '(?:^|[^\\w.-])((?:\\d{1,3}\\.){3}\\d{1,3})(?:$|[^\\w.-])', 1) AS found FROM documents) SELECT id, len(list_filter(found, lambda a: list_max(list_transform(string_split(a, '.'), lambda o: o::INT)) <= 255 AND NOT regexp_matches(a, '^(0|10|127|24\\d|25\\d)\\.|^192\\.168\\.|^169\\.254\\.|^172\\.(1[6-9]|2\\d|3[01])\\.|^100\\.(6[4-9]|[7-9]\\d|1[01]\\d|12[0-7])\\.|^198\\.1[89]\\.|^192\\.0\\.[02]\\.|^198\\.51\\.100\\.|^203\\.0\\.113\\.'))) AS n FROM h WHERE len(found) > 0")

@@ -54,12 +54,17 @@ def find_leaks(text: Column, paths: tuple[str, ...] = ALLOWED_PATHS) -> Column:
 
 
 def gate(rows: DataFrame, where: str) -> DataFrame:
-    """The rows as they are, unless any holds a leak once serialised: then the job that writes them fails."""
-    body = F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns]))
-    leaks = find_leaks(body)
-    stop = F.raise_error(F.concat(F.lit(f"leak in {where}: "), F.array_join(F.transform(leaks, lambda x: F.left(x, F.lit(3))), " ")))
-    checked = rows.withColumn("_ok", F.when(F.size(leaks) == 0, F.lit(True)).otherwise(stop.cast("boolean")))
-    return checked.where("_ok").drop("_ok")
+    """The rows as they are, unless any holds a leak once serialised: then the job that writes them fails.
+
+    The first column carries the check, so it isn't a filter that the optimizer would copy below the expressions
+    that made the rows; a job that reads the other columns alone goes unchecked.
+    """
+    own = [F.col(f"`{c}`") for c in rows.columns]
+    body = rows.withColumn("_body", F.to_json(F.struct(*own)))
+    found = body.withColumn("_leaks", find_leaks(F.col("_body")))
+    stop = F.raise_error(F.concat(F.lit(f"leak in {where}: "), F.array_join(F.transform("_leaks", lambda x: F.left(x, F.lit(3))), " ")))
+    checked = F.when(F.size("_leaks") == 0, own[0]).otherwise(stop.cast(rows.schema[0].dataType)).alias(rows.columns[0])
+    return found.select(checked, *own[1:])
 
 
 def routable(text: Column, allowed: tuple[str, ...] = ()) -> Column:

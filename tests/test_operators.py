@@ -63,15 +63,16 @@ def test_fit(spark):
     assert fit(["y" * 30], 10) == "yyyyyyy..."
 
 
+SALTED = redact.Policy(b"salt")
 RAW = "from 203.0.113.9 and 10.0.0.8, joe@corp.example.de at host-1-2-3-4.isp.net, fe80::1 see https://graph.corp.io:9090/x?y in /srv/mail/joe or /var/log/mail.log"
 
 
 def test_redaction_leaves_nothing_and_is_stable(spark):
     df = spark.createDataFrame([(RAW,), (None,), ("nothing here",)], "t string")
-    once = df.select(redact.redact_text(F.col("t")).alias("t"))
+    once = df.select(redact.redact_text(F.col("t"), SALTED).alias("t"))
     rows = [r.t for r in once.collect()]
     assert rows[1] is None and rows[2] == "nothing here" and "/var/log/mail.log" in rows[0] and "ip:private-" in rows[0]
-    assert [r.t for r in once.select(redact.redact_text(F.col("t")).alias("t")).collect()] == rows
+    assert [r.t for r in once.select(redact.redact_text(F.col("t"), SALTED).alias("t")).collect()] == rows
     assert all(not r.x for r in once.where("t is not null").select(leaks.find_leaks(F.col("t")).alias("x")).collect())
     assert len(df.limit(1).select(leaks.find_leaks(F.col("t")).alias("x")).first().x) >= 5
 
@@ -106,7 +107,65 @@ def test_redaction_reaches_all_fields(spark):
     kind = "name string, labels map<string,string>, evidence array<struct<kind:string,ref:string,excerpt:string,line_no:bigint>>"
     ip = "8.8.4.4"
     base = ("n", {"a": ip}, [("log", f"r {ip}", f"x {ip}", 1)])
-    s = redact.redact_signals(spark.createDataFrame([(*base, f"v {ip}", f"n {ip}"), ("n", {}, None, None, None)], f"{kind}, value_text string, note string")).collect()
-    f = redact.redact_findings(spark.createDataFrame([(*base, f"t {ip}", f"d {ip}", f"b {ip}", [f"c {ip}"])], f"{kind}, title string, detail string, baseline string, correlations array<string>")).collect()
+    s = redact.redact_signals(spark.createDataFrame([(*base, f"v {ip}", f"n {ip}"), ("n", {}, None, None, None)], f"{kind}, value_text string, note string"), SALTED).collect()
+    f = redact.redact_findings(spark.createDataFrame([(*base, f"t {ip}", f"d {ip}", f"b {ip}", [f"c {ip}"])], f"{kind}, title string, detail string, baseline string, correlations array<string>"), SALTED).collect()
     assert ip not in str(s + f) and str(s[0]).count("ip:") == 6 and str(f).count("ip:") == 7
     assert s[1].evidence is None and s[1].note is None
+
+
+def test_redaction_rules(spark):
+    cid = "0123456789ABCDEF" * 4
+    cases = {
+        "mail.shop.icu a.b.coop x.work y.center": ("host:", 4), "jail.local fail2ban.log 10-logging.conf foo.bar.baz.zz www.example.com": None,
+        "::ffff:8.8.8.8 [2607:f8b0::1]": ("ip:", 2), "fe80::1%eth0 or fd00::7": ("ip:private-", 2), "at ::1, 127.0.0.1": ("ip:loopback", 2),
+        "12:30:45 and a::b::c 1:2:3": None, f"id {cid} and {cid.lower()}": ("cid:", 2), r"\u003cjoe@corp.de\u003e \u003Cjoe@corp.de\u003E": ("mbox:", 2),
+        "http://host.corp.io:9090/x https://docs.example.org/y": ("host:", 1), "1-2-3-4.isp.net 9-9-9-9": None,
+    }
+    rows = spark.createDataFrame([(t,) for t in cases], "t string").select("t", redact.redact_text(F.col("t"), SALTED).alias("r")).collect()
+    for r in rows:
+        want = cases[r.t]
+        assert want is None or r.r.count(want[0]) == want[1], (r.t, r.r)
+    got = {r.t: r.r for r in rows}
+    assert all(got[t] == t for t in list(cases)[1:2]) and "12:30:45 and a::b::c 1:2:3" in got.values()
+    assert len({m for m in got[f"id {cid} and {cid.lower()}"].split() if m.startswith("cid:")}) == 1
+    assert got["http://host.corp.io:9090/x https://docs.example.org/y"].endswith(" https://docs.example.org/y") and ":9090/<path>" in got["http://host.corp.io:9090/x https://docs.example.org/y"]
+    with pytest.raises((TypeError, ValueError)):
+        redact.Policy(b"")
+    own = redact.Policy(b"s", ("corp.de",), ("root",), ("mx1.corp.de",))
+    one = spark.createDataFrame([("joe@corp.de root@x.org MX1 mx1.corp.de corp.de",)], "t string").select(redact.redact_text(F.col("t"), own).alias("r")).first().r
+    assert one == "mbox:own mbox:own host:self host:self domain:own"
+
+
+def test_addresses_have_the_classes_of_the_standard_library(spark):
+    import ipaddress
+
+    shown = ["::1", "::", "fe80::1", "2607:f8b0::1", "2001:db8::9", "::ffff:10.0.0.1", "::ffff:8.8.8.8", "fc00::", "2002::1", "100::5", "1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7::", "2001:1ff::1", "64:ff9b:1::1", "2a00:1450:4001:81b::200e"]
+    bad = ["1:2:3", "1::2::3", ":::", "1:2:3:4:5:6:7:8:9", "12345::", "::1.2.3", "::300.1.1.1", "1:2:3:4:5:6:7:8::", ":1:2:3:4:5:6:7:8"]
+    rows = spark.createDataFrame([(a,) for a in shown + bad], "a string").select("a", redact.ipv6_class(F.col("a")).alias("c")).collect()
+    got = {r.a: r.c for r in rows}
+    assert not [a for a in bad if got[a] is not None]
+    for a in shown:
+        ip = ipaddress.ip_address(a)
+        want = "loopback" if ip.is_loopback else "documentation" if a.startswith("2001:db8") else "global" if ip.is_global else "private"
+        assert got[a] == want, (a, got[a], want)
+
+
+def test_labels_that_become_one_keep_the_greater_value(spark):
+    kind = "name string, labels map<string,string>, evidence array<struct<kind:string,ref:string,excerpt:string,line_no:bigint>>"
+    rows = spark.createDataFrame([("n", {"8.8.4.4": "a", "ok": "x", "/srv/x": "8.8.4.4"}, None)], kind)
+    out = redact.redact_signals(rows, SALTED).first()
+    assert "8.8.4.4" not in str(out) and "/srv/x" not in str(out) and out.labels["ok"] == "x"
+
+
+def test_placeholders_never_run_into_real_addresses_and_fill_texts(spark):
+    n = spark.range(140_000)
+    df = n.select(F.col("id").alias("seen"), F.concat(F.lit("8."), (F.col("id") / 65536).cast("int"), F.lit("."), (F.col("id") / 256).cast("int") % 256, F.lit("."), F.col("id") % 256).alias("address"))
+    rows = redact.placeholder_mapping(df).collect()
+    assert len({r.replacement for r in rows}) == 140_000
+    assert all(r.replacement.startswith(("192.0.2.", "198.51.100.", "203.0.113.", "198.18.", "198.19.", "2001:db8::")) for r in rows)
+    early = spark.createDataFrame([("9.9.9.9", "192.0.2.5")], "original string, replacement string")
+    more = spark.createDataFrame([(1, "8.8.8.8"), (2, "2607:f8b0::1")], "seen long, address string")
+    mapping = redact.placeholder_mapping(more, early)
+    assert {r.original: r.replacement for r in mapping.collect()} == {"9.9.9.9": "192.0.2.5", "8.8.8.8": "192.0.2.6", "2607:f8b0::1": "192.0.2.7"}
+    texts = spark.createDataFrame([("from 8.8.8.8 and 9.9.9.9 to 2607:f8b0::1, 10.0.0.1",), ("none",), (None,)], "text string")
+    assert {r.text for r in redact.with_placeholders(texts, mapping).collect()} == {"from 192.0.2.6 and 192.0.2.5 to 192.0.2.7, 10.0.0.1", "none", None}
