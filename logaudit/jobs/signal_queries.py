@@ -10,7 +10,7 @@ from logaudit.jobs.inputs import EV, SIG
 from logaudit.operators import claims as V
 from logaudit.operators import correlate as K
 from logaudit.operators import history as H
-from logaudit.operators import leaks, notify, redact
+from logaudit.operators import leaks, notify, redact, wiring
 from logaudit.operators import rules as R
 from logaudit.sources import snapshots as N
 
@@ -275,6 +275,33 @@ def jail_definitions(spark, sf):
     return N.jail_definitions(s.select(F.concat(F.lit("h"), n).alias("host"), F.concat(F.lit("j"), n).alias("jail"), text.alias("text"))).select("host", "jail", "present", "enabled", "maxretry")
 
 
+@query("""WITH s AS (SELECT s_suppkey AS k, 'h' || s_suppkey % 9 AS host, 'j' || s_suppkey AS jail, CASE WHEN s_suppkey % 2 = 0 THEN 'j' || s_suppkey ELSE 'f' || s_suppkey % 3 END AS declared FROM supplier)
+SELECT host, jail, 'stanza_present' AS name, 'false' AS value_text FROM s WHERE k % 4 = 0
+UNION ALL SELECT host, jail, 'filter_declared', declared FROM s WHERE k % 4 <> 0
+UNION ALL SELECT host, jail, 'filter_as_expected', CASE WHEN declared = 'f1' THEN 'true' ELSE 'false' END FROM s WHERE k % 4 <> 0 AND k % 5 <> 0
+UNION ALL SELECT host, jail, 'filter_file_present', CASE WHEN declared IN ('f0', 'f1') AND k % 9 <> 0 THEN 'true' ELSE 'false' END FROM s WHERE k % 4 <> 0""")
+def filter_states(spark, sf):
+    s = spark.read.parquet(f"{sf}/supplier.parquet").select("s_suppkey", F.col("s_suppkey").cast("string").alias("n"))
+    s = s.withColumn("host", F.concat(F.lit("h"), (F.col("s_suppkey") % 9).cast("string"))).withColumn("jail", F.concat(F.lit("j"), "n"))
+    stanza = F.when(F.col("s_suppkey") % 4 == 0, "[other]\n").otherwise(F.concat(F.lit("["), "jail", F.lit("]\n")))
+    named = F.when(F.col("s_suppkey") % 2 == 0, "maxretry = 9\n").otherwise(F.concat(F.lit("filter = f"), (F.col("s_suppkey") % 3).cast("string"), F.lit("\n")))
+    definitions = N.jail_definitions(s.select("host", "jail", F.concat(F.lit("[DEFAULT]\nenabled = true\n"), stanza, named).alias("text")))
+    expected = s.select("jail", F.when(F.col("s_suppkey") % 5 != 0, "f1").alias("expected"))
+    files = s.where("s_suppkey % 9 <> 0").select("host", F.explode(F.array(F.lit("f0"), F.lit("f1"))).alias("filter"))
+    return wiring.filter_states(definitions, expected, files)
+
+
+@query("""WITH c AS (SELECT c_custkey AS k, 'h' || c_custkey AS host FROM customer)
+SELECT host, 'logging_healthy' AS name, CASE WHEN k % 3 = 2 AND k % 5 <> 0 THEN 'true' ELSE 'false' END AS value_text FROM c
+UNION ALL SELECT host, 'auth_lines_absent', 'true' FROM c WHERE k % 3 = 2 AND k % 5 <> 0 AND k % 4 < 2""")
+def logging_states(spark, sf):
+    c = spark.read.parquet(f"{sf}/customer.parquet").select("c_custkey", F.concat(F.lit("h"), F.col("c_custkey").cast("string")).alias("host"), F.lit("box").alias("container"))
+    path = F.element_at(F.array(F.lit(""), F.lit("SYSLOG"), F.lit("/dev/stderr")), (F.col("c_custkey") % 3 + 1).cast("int"))
+    text = F.concat(F.lit("log_path = "), path, F.lit("\nauth_verbose = "), F.when(F.col("c_custkey") % 5 == 0, "no").otherwise("Yes"))
+    lines = c.where("c_custkey % 4 > 0").select("host", "container", F.when(F.col("c_custkey") % 4 == 1, 0).otherwise(7).alias("lines"))
+    return wiring.logging_states(c.select("host", "container", N.settings(text).alias("settings")), lines).select("host", "name", "value_text")
+
+
 @query("SELECT DISTINCT coalesce(a.jail, b.jail) AS jail, b.jail IS NOT NULL AS running FROM (SELECT DISTINCT 'j' || s_suppkey AS jail FROM supplier WHERE s_suppkey % 2 = 0) a FULL JOIN (SELECT DISTINCT 'j' || s_suppkey AS jail FROM supplier WHERE s_suppkey % 3 = 0) b ON a.jail = b.jail")
 def jails_running(spark, sf):
     s = spark.read.parquet(f"{sf}/supplier.parquet").select("s_suppkey", F.concat(F.lit("j"), F.col("s_suppkey").cast("string")).alias("jail"))

@@ -48,25 +48,46 @@ def compile_filters(filters: DataFrame) -> DataFrame:
     return filters.select("jail", "failregex").mapInPandas(run, "jail string, rule_no int, pattern string, problem string")
 
 
+#: Patterns of a fleet's jails, at most, that are taken into the plan: they are configuration.
+MOST_PATTERNS = 2000
+#: Expressions that find the same in Java as in Python, with Unicode classes and newlines alone as line ends.
+SAME_IN_JAVA = re.compile(
+    r"(?:[^\\\[\](){}?*+|^$.]|\\[dDwWsS]|\\[^0-9A-Za-z]|\((?:\?:)?|[)|^$.]|[*+?]\??|\{\d+(?:,\d*)?\}\??"
+    r"|\[\^?(?:[^\[\]&\\^]|\\[dDwWsS]|\\[^0-9A-Za-z])+\])*"
+)
+
+
 def match_filters(lines: DataFrame, rules: DataFrame, raw: str = "raw") -> DataFrame:
-    """Lines with ``is_matched``: any pattern of the line's jail is found in its raw text. Patterns are of the
-    ban engine's own dialect, so Python matches them, whole batches at a time; each jail's patterns, a few
-    short texts, ride along with its lines."""
-    per_jail = rules.where("pattern is not null").groupBy("jail").agg(F.sort_array(F.collect_list("pattern")).alias("_patterns"))
+    """Lines with ``is_matched``: any pattern of the line's jail is found in its raw text.
+
+    Patterns are of the ban engine's own dialect, Python's. Those that mean the same in Java are one alternation for
+    each jail, within the plan; Python sees only the lines of jails with other patterns that have not matched yet.
+    """
+    known = rules.where("pattern is not null").select("jail", "pattern").distinct().limit(MOST_PATTERNS + 1).collect()
+    if len(known) > MOST_PATTERNS:
+        raise ValueError(f"over {MOST_PATTERNS} patterns: match the jails in parts")
+    same: dict[str, list[str]] = {}
+    other: dict[str, list[str]] = {}
+    for r in sorted(known):
+        (same if SAME_IN_JAVA.fullmatch(r.pattern) else other).setdefault(r.jail, []).append(r.pattern)
+    text = F.col(raw)
+    found = F.lit(False)
+    for jail, patterns in same.items():
+        found = F.when(F.col("jail") == jail, text.rlike("(?dU)" + "|".join(f"(?:{p})" for p in patterns))).otherwise(found)
+    found = F.coalesce(found, F.lit(False))
+    if not other:
+        return lines.withColumn("is_matched", found)
 
     @F.pandas_udf("boolean")
-    def matched(text: pd.Series, patterns: pd.Series) -> pd.Series:
-        known: dict[tuple, list] = {}
-        out = []
-        for line, own in zip(text, patterns, strict=True):
-            key = tuple(own) if own is not None else ()
-            if key not in known:
-                known[key] = [re.compile(p) for p in key]
-            out.append(any(p.search(line) for p in known[key]) if line is not None else False)
-        return pd.Series(out, dtype=bool)
-
-    joined = lines.join(F.broadcast(per_jail), "jail", "left")  # a handful of jails, each with its few rules
-    return joined.withColumn("is_matched", matched(raw, "_patterns")).drop("_patterns")
+    def matched(texts: pd.Series, jails: pd.Series) -> pd.Series:
+        compiled = {j: [re.compile(p) for p in ps] for j, ps in other.items()}
+        hits = [t is not None and any(p.search(t) for p in compiled[j]) for t, j in zip(texts, jails, strict=True)]
+        return pd.Series(hits, dtype=bool)
+
+    asked = ~found & F.col("jail").isin(*other)
+    seen = lines.withColumn("_asked", asked)
+    python = F.when(F.col("_asked"), matched(F.when(F.col("_asked"), text), F.when(F.col("_asked"), F.col("jail")).otherwise(next(iter(other)))))
+    return seen.withColumn("is_matched", found | F.coalesce(python, F.lit(False))).drop("_asked")
 
 
 def gate(quality: DataFrame) -> DataFrame:

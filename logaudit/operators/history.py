@@ -22,15 +22,6 @@ def with_previous(observations: DataFrame, fields: tuple[str, ...] = ("value_num
     return observations.withColumn("prev", newest)
 
 
-def asof(new: DataFrame, stored: DataFrame, fields: tuple[str, ...] = ("value_num", "value_text", "observed_at")) -> DataFrame:
-    """The same for a new round against stored history: ``as_of`` bounds what may be seen. Nothing of the
-    history but the rows of the round's own series is gathered, and of these only the newest is kept."""
-    past = stored.select("host", "key", F.struct(F.col("observed_at"), *[F.col(f).alias(f"p_{f}") for f in fields]).alias("_p"))
-    seen = new.select("host", "key", "as_of").distinct().join(past, ["host", "key"]).where("_p.observed_at < as_of")
-    newest = seen.groupBy("host", "key", "as_of").agg(F.max("_p").alias("prev"))
-    return new.join(newest, ["host", "key", "as_of"], "left")
-
-
 def last_n(observations: DataFrame, n: int = 24) -> DataFrame:
     """The newest n of each series, newest first."""
     rank = F.row_number().over(Window.partitionBy("host", "key").orderBy(F.desc("observed_at")))
@@ -40,15 +31,17 @@ def last_n(observations: DataFrame, n: int = 24) -> DataFrame:
 def silent(observations: DataFrame, rounds: DataFrame, hours: int = 24, churn: tuple[str, ...] = ("source=", "service=")) -> DataFrame:
     """``host, round_id, key``: series seen in ``[as_of - hours, as_of)`` but not in the round itself.
 
-    An observation looks at the rounds until the series is seen again, not at all rounds: it is met with those
-    after it, within the lookback, up to its successor's. Series with churning labels are left out.
+    An observation meets the rounds of its own span of ``hours`` and of the next one alone, and of these the ones
+    until the series is seen again. Series with churning labels are left out.
     """
     at = F.col("observed_at")
     follow = Window.partitionBy("host", "key").orderBy("observed_at")
     seen = observations.select("host", "key", "observed_at").distinct()
     seen = seen.where(~F.greatest(*[F.col("key").contains(c) for c in churn])).withColumn("_next", F.lead("observed_at").over(follow))
-    r = rounds.select("host", "round_id", "as_of")
-    met = seen.join(r, "host").where((at < F.col("as_of")) & (at >= F.col("as_of") - F.expr(f"INTERVAL {hours} HOURS")) & (F.col("_next").isNull() | (F.col("_next") > F.col("as_of"))))
+    span = lambda t: F.floor(F.unix_micros(t) / (hours * 3_600_000_000))
+    r = rounds.select("host", "round_id", "as_of", span(F.col("as_of")).alias("span"))
+    seen = seen.withColumn("span", F.explode(F.array(span(at), span(at) + 1)))
+    met = seen.join(r, ["host", "span"]).where((at < F.col("as_of")) & (at >= F.col("as_of") - F.expr(f"INTERVAL {hours} HOURS")) & (F.col("_next").isNull() | (F.col("_next") > F.col("as_of"))))
     current = observations.select("host", "round_id", "key").distinct()
     return met.select("host", "round_id", "key").distinct().join(current, ["host", "round_id", "key"], "left_anti")
 
