@@ -105,8 +105,7 @@ def logins_ok(spark, sf):
 
 
 def _failures(spark, sf):
-    d = _decoded(spark, sf)
-    return L.smtp_auth_failures(d).unionByName(L.login_failures(d))
+    return L.failures(_decoded(spark, sf))
 
 
 _F = f"{EV}, f AS (SELECT * FROM ev WHERE good AND event_type IN ('error', 'view'))"
@@ -185,7 +184,8 @@ _M = f"{EV}, m AS (SELECT *, good AND CASE event_type WHEN 'error' THEN service
 
 
 def _matched(spark, sf):
-    return C.match_filters(I.wire_lines(spark, sf), _rules(spark, sf))
+    filters = spark.createDataFrame(FILTERS, "jail string, failregex string")
+    return C.match_filters(I.wire_lines(spark, sf), C.compile_filters(filters))
 
 
 @query(f"WITH {_M} SELECT host, jail, round_id, count(*) AS matched FROM m WHERE is_matched GROUP BY ALL")
@@ -194,8 +194,7 @@ def filter_matched_lines(spark, sf):
 
 
 def _observed(spark, sf):
-    d = L.decode_wire(_matched(spark, sf))
-    return L.smtp_auth_failures(d).unionByName(L.login_failures(d))
+    return L.failures(L.decode_wire(_matched(spark, sf)))
 
 
 _O = f"{_M}, o AS (SELECT * FROM m WHERE good AND event_type IN ('error', 'view'))"
@@ -223,9 +222,11 @@ def evidence_samples(spark, sf):
 
 def _counts(spark, sf):
     by = ["host", "jail", "round_id"]
-    lines = _matched(spark, sf)
-    observed = _observed(spark, sf).groupBy(*by).agg(F.count("*").alias("observed"))
-    matched = lines.where("is_matched").groupBy(*by).agg(F.count("*").alias("matched"))
+    # Failures and matched lines are counted in one pass: a line may be either, both or none.
+    lines = L.decode_wire(_matched(spark, sf))
+    failed = F.coalesce(F.col("message").rlike(X.SMTP_AUTH) | F.col("message").rlike(X.BOX_FAILED), F.lit(False))
+    both = lines.groupBy(*by).agg(F.count_if(failed).alias("observed"), F.count_if("is_matched").alias("matched"))
+    observed, matched = (both.select(*by, c).where(F.col(c) > 0) for c in ("observed", "matched"))
     found = L.authoritative(L.engine_events(I.engine_lines(spark, sf))).where("action = 'Found'").groupBy(*by).agg(F.count("*").alias("found"), F.lit(True).alias("readable"))
     tool = matched.where("round_id = '2024-01-03'").select(*by, F.col("matched").alias("tool_matched"))
     return C.reconcile(observed, matched, found, tool, by)

@@ -115,6 +115,22 @@ def login_failures(decoded: DataFrame) -> DataFrame:
     )
 
 
+def failures(decoded: DataFrame) -> DataFrame:
+    """SASL failures and failed mailbox logins in one pass over the lines. A line is of one kind: the two shapes begin
+    with services that differ."""
+    m = F.col("message")
+    smtp, box = m.rlike(X.SMTP_AUTH), m.rlike(X.BOX_FAILED)
+    either = lambda a, b: F.when(F.col("_smtp"), a).otherwise(b)
+    return decoded.withColumn("_smtp", F.when(smtp, True).when(box, False)).where("_smtp is not null").select(
+        *decoded.columns,
+        either(F.regexp_extract(m, X.SMTP_AUTH, 1), F.lower(F.regexp_extract(m, X.BOX_FAILED, 1))).alias("service"),
+        either(F.regexp_extract(m, X.SMTP_AUTH, 2), F.regexp_extract(m, X.BOX_FAILED, 3)).alias("peer"),
+        F.when(F.col("_smtp"), F.regexp_extract(m, X.SMTP_AUTH, 3)).alias("mechanism"),
+        either(X.group(m, X.SMTP_USER, 1), X.group(m, X.BOX_USER, 1)).alias("username"),
+        F.when(~F.col("_smtp"), F.regexp_extract(m, X.BOX_FAILED, 2).cast("int")).alias("attempts"),
+    )
+
+
 def logins_ok(decoded: DataFrame) -> DataFrame:
     """Successful mailbox logins."""
     m = F.col("message")
