@@ -38,7 +38,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("lines", lines), ("near", near), ("decontaminate", decontaminate), ("pack", pack)]
 
-#: Components and tokens can't be had in SQL: the tests hold the stages against brute force.
+#: Components and tokens can't be had in SQL: the tests hold each stage's operator against brute force.
 ORACLE_SQL = None
 
 
