@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from logaudit.llm import decontamination, huffman, line_dedup, ngram_trie, packing, passage_dedup, quality_rules, secret_scan, sharding, simhash
+from logaudit.llm import decontamination, huffman, line_dedup, ngram_trie, packing, passage_dedup, quality_rules, resampling, secret_scan, sharding, simhash
 
 QUERIES = {
     "op1_secret_forest": secret_scan.query,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_tier_packing": packing.query,
     "op9_benchmark_decontamination": decontamination.query,
     "op10_quality_ledger": quality_rules.query,
+    "op13_bucket_resampling": resampling.query,
 }
 
 ORACLE_SQL = {
     "op3_hash_tree_sharding": sharding.SQL,
     "op9_benchmark_decontamination": decontamination.SQL,
     "op10_quality_ledger": quality_rules.SQL,
+    "op13_bucket_resampling": resampling.SQL,
 }
