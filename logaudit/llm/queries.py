@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from logaudit.llm import decontamination, huffman, line_dedup, ngram_trie, packing, passage_dedup, quality_rules, resampling, secret_scan, sharding, simhash
+from logaudit.llm import decontamination, divergence, huffman, line_dedup, ngram_trie, packing, passage_dedup, quality_rules, resampling, secret_scan, sharding, simhash
 
 QUERIES = {
     "op1_secret_forest": secret_scan.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_tier_packing": packing.query,
     "op9_benchmark_decontamination": decontamination.query,
     "op10_quality_ledger": quality_rules.query,
+    "op11_block_divergence": divergence.query,
     "op13_bucket_resampling": resampling.query,
 }
 
@@ -22,5 +23,6 @@ ORACLE_SQL = {
     "op3_hash_tree_sharding": sharding.SQL,
     "op9_benchmark_decontamination": decontamination.SQL,
     "op10_quality_ledger": quality_rules.SQL,
+    "op11_block_divergence": divergence.SQL,
     "op13_bucket_resampling": resampling.SQL,
 }
