@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from logaudit.llm import decontamination, divergence, huffman, line_dedup, ngram_trie, packing, passage_dedup, quality_rules, resampling, secret_scan, sharding, simhash
+from logaudit.llm import decontamination, divergence, huffman, line_dedup, ngram_trie, packing, passage_dedup, quality_rules, resampling, secret_scan, sharding, simhash, warc
 
 QUERIES = {
     "op1_secret_forest": secret_scan.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_benchmark_decontamination": decontamination.query,
     "op10_quality_ledger": quality_rules.query,
     "op11_block_divergence": divergence.query,
+    "op12_warc_archive": warc.query,
     "op13_bucket_resampling": resampling.query,
 }
 
@@ -24,5 +25,6 @@ ORACLE_SQL = {
     "op9_benchmark_decontamination": decontamination.SQL,
     "op10_quality_ledger": quality_rules.SQL,
     "op11_block_divergence": divergence.SQL,
+    "op12_warc_archive": warc.SQL,
     "op13_bucket_resampling": resampling.SQL,
 }
