@@ -4,6 +4,9 @@
 record begins, as the writer has noted. Predicates on record type and headers go down to the reader, which parses a
 record's headers first, takes the next record by the length in the gzip member's extra field, and inflates a payload
 only if the record is wanted and the schema has a column for it.
+
+Predicates are given with the read, not by ``pushFilters``: Spark 4.1 keeps what was pushed last in the relation, so two
+queries over one DataFrame, or two branches of one query, would get each other's rows.
 """
 
 from __future__ import annotations
@@ -21,8 +24,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import (
-    DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull,
-    IsNull, LessThan, LessThanOrEqual, StringStartsWith, WriterCommitMessage,
+    DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage,
 )
 from pyspark.sql.types import StructType
 
@@ -187,29 +189,28 @@ def records(file, name: str, start: int, stop: int, accepts: Callable[[dict], bo
 # Reading
 
 
-def _test(f: Filter) -> Callable[[dict], bool] | None:
-    """A pushed predicate over headers as a function, or nothing if it has to stay with Spark."""
-    name = f.attribute[0] if len(getattr(f, "attribute", ())) == 1 else None
-    if name not in FIELDS and name != "payload_bytes":
-        return None
-    known = lambda test: lambda row: row[name] is not None and test(row[name])
-    if isinstance(f, IsNotNull):
-        return lambda row: row[name] is not None
-    if isinstance(f, IsNull):
-        return lambda row: row[name] is None
-    if isinstance(f, In):
-        among = {v for v in f.value if v is not None}
-        return known(lambda v: v in among)
-    if isinstance(f, StringStartsWith):
-        return known(lambda v: v.startswith(f.value))
-    if isinstance(getattr(f, "value", None), str) and isinstance(f, (GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual)):
-        key, than = (lambda v: v.encode("utf-8", "surrogatepass")), f.value.encode("utf-8", "surrogatepass")  # Spark compares bytes
-    else:
-        key, than = (lambda v: v), getattr(f, "value", None)
-    for kind, test in ((EqualTo, lambda v: key(v) == than), (GreaterThan, lambda v: key(v) > than), (GreaterThanOrEqual, lambda v: key(v) >= than), (LessThan, lambda v: key(v) < than), (LessThanOrEqual, lambda v: key(v) <= than)):
-        if isinstance(f, kind):
-            return known(test)
-    return None
+def _bytes(v):
+    """Texts compare by their bytes, as in Spark."""
+    return v.encode("utf-8", "surrogatepass") if isinstance(v, str) else v
+
+
+_OPERATORS: dict[str, Callable] = {
+    "=": lambda v, x: v == x, "in": lambda v, x: v in x, "startswith": lambda v, x: v.startswith(x), "isnotnull": lambda v, x: True,
+    ">": lambda v, x: _bytes(v) > _bytes(x), ">=": lambda v, x: _bytes(v) >= _bytes(x),
+    "<": lambda v, x: _bytes(v) < _bytes(x), "<=": lambda v, x: _bytes(v) <= _bytes(x),
+}
+
+
+def _test(column: str, operator: str, value=None) -> Callable[[dict], bool]:
+    """A predicate over a record's headers. Like in SQL, none holds for a null but ``isnull``."""
+    if column not in FIELDS and column != "payload_bytes":
+        raise ValueError(f"no header column {column}")
+    if operator == "isnull":
+        return lambda row: row[column] is None
+    if operator not in _OPERATORS:
+        raise ValueError(f"no predicate {operator}")
+    holds = _OPERATORS[operator]
+    return lambda row: row[column] is not None and holds(row[column], value)
 
 
 @dataclass
@@ -242,14 +243,9 @@ class Reader(DataSourceReader):
     def __init__(self, schema: StructType, options: dict):
         self.names, self.path = schema.names, options["path"]
         self.most = int(options.get("partitionbytes", PARTITION_BYTES))
-        self.pushed: list[Filter] = []
-
-    def pushFilters(self, filters: list[Filter]):  # noqa: N802
-        for f in filters:
-            if _test(f) is None:
-                yield f
-            else:
-                self.pushed.append(f)
+        self.where = json.loads(options.get("where", "[]"))
+        for predicate in self.where:
+            _test(*predicate)  # a wrong one is told while the query is planned
 
     def partitions(self) -> Sequence[InputPartition]:
         """Pieces between cuts, put together in order up to ``partitionBytes``; no file, one empty partition."""
@@ -268,7 +264,7 @@ class Reader(DataSourceReader):
         return [Part(r) for r in out]
 
     def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
-        tests = [_test(f) for f in self.pushed]
+        tests = [_test(*p) for p in self.where]
         store, _ = filesystem(self.path)
         kinds = {n: pa.int64() if n in ("offset", "payload_bytes") else pa.binary() if n == "payload" else pa.string() for n in self.names}
         rows: list[dict] = []
@@ -379,7 +375,8 @@ def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
 
 class WarcSource(DataSource):
     """``format("warc")``. Reading takes any columns of ``SCHEMA`` as its schema; without ``payload`` among them no
-    payload is inflated. Options: ``partitionBytes``; ``fileBytes``, ``cutBytes``, ``level``, ``date``, ``software``."""
+    payload is inflated. Options of reading: ``partitionBytes``, ``where`` (JSON, see ``read``); of writing:
+    ``fileBytes``, ``cutBytes``, ``level``, ``date``, ``software``."""
 
     @classmethod
     def name(cls) -> str:
@@ -397,17 +394,16 @@ class WarcSource(DataSource):
         return Writer(schema, self.options, overwrite)
 
 
-def register(spark: SparkSession) -> None:
-    """Makes ``format("warc")`` known to a session and lets it push predicates down."""
-    spark.dataSource.register(WarcSource)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+def read(spark: SparkSession, path: str, columns: Sequence[str] | None = None, where: Sequence[tuple] = (), **options) -> DataFrame:
+    """Records of an archive with these columns of ``SCHEMA``, or with all of them.
 
-
-def read(spark: SparkSession, path: str, columns: Sequence[str] | None = None, **options) -> DataFrame:
-    """Records of an archive with these columns of ``SCHEMA``, or with all of them."""
-    register(spark)
+    ``where`` lists predicates that all have to hold, as ``(column, operator, value)`` over the header columns: ``=``,
+    ``in``, ``startswith``, ``>``, ``>=``, ``<``, ``<=``, ``isnull``, ``isnotnull``. They are applied to the headers,
+    before anything of a payload is inflated."""
+    spark.dataSource.register(WarcSource)
     kinds = dict(c.split() for c in SCHEMA.split(", "))
-    return spark.read.format("warc").schema(", ".join(f"{c} {kinds[c]}" for c in columns or kinds)).options(**options).load(path)
+    wanted = ", ".join(f"{c} {kinds[c]}" for c in columns or kinds)
+    return spark.read.format("warc").schema(wanted).options(where=json.dumps([list(p) for p in where]), **options).load(path)
 
 
 # An archive that keeps equal payloads once
@@ -461,7 +457,7 @@ def archive(
         F.lower(F.hex("digest")).alias("payload_digest"), F.when(again, record_id(F.col("first"))).alias("refers_to"), "payload_bytes",
         F.when(~again, F.col("payload")).alias("payload"),
     )
-    register(pages.sparkSession)
+    pages.sparkSession.dataSource.register(WarcSource)
     out.write.format("warc").mode("append").options(**options).save(path)
 
 
@@ -470,7 +466,7 @@ def query(spark, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/archives/{uuid.uuid4().hex}"
     archive(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"), path)
     names = ("record_id", "record_type", "payload_digest", "refers_to", "payload_bytes", "payload")
-    back = read(spark, path, names).where(F.col("record_type").isin("response", "revisit"))
+    back = read(spark, path, names, [("record_type", "in", ["response", "revisit"])])
     held = F.col("record_type") == "response"
     return back.select(
         page_id(F.col("record_id")).alias("page_id"),
