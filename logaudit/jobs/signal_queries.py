@@ -10,9 +10,10 @@ from logaudit.jobs.inputs import EV, SIG
 from logaudit.operators import claims as V
 from logaudit.operators import correlate as K
 from logaudit.operators import history as H
-from logaudit.operators import leaks, notify, redact, wiring
+from logaudit.operators import leaks, notify, redact, suppression, wiring
 from logaudit.operators import rules as R
 from logaudit.sources import snapshots as N
+from logaudit.sources import tables
 
 Q: dict = {}
 S: dict = {}
@@ -491,11 +492,35 @@ def dedupe_evidence(spark, sf):
 # Notifications
 
 
-@query()
-def should_send(spark, sf):
+#: Situations so coarse that they come back, with their sequence of messages: each at least 2880 minutes after the last.
+_SENT = (
+    "WITH RECURSIVE " + _DIGEST + ", b AS (SELECT 'sink-' || host AS sink, CAST(severity AS STRING) AS digest, severity, round_id, CAST(round_id AS TIMESTAMP) + INTERVAL 86399 SECONDS AS as_of FROM dg),"
+    " hi AS (SELECT * FROM b WHERE severity >= 2), sent AS (SELECT sink, digest, min(as_of) AS told FROM hi GROUP BY ALL UNION ALL"
+    " SELECT s.sink, s.digest, min(hi.as_of) FROM sent s JOIN hi ON hi.sink = s.sink AND hi.digest = s.digest AND hi.as_of >= s.told + INTERVAL 2880 MINUTES GROUP BY s.sink, s.digest),"
+    " new AS (SELECT sink, digest, min(as_of) AS told FROM hi GROUP BY ALL)"
+)
+
+
+def _told(spark, sf):
+    """Briefs decided in two batches against a stored ledger; the first batch runs twice, as after a failure."""
     digests = notify.situation_digest(_findings(spark, sf)).join(I.rounds(spark, sf), ["host", "round_id"])
-    briefs = digests.select(F.concat(F.lit("sink-"), "host").alias("sink"), F.col("severity").cast("string").alias("digest"), "severity", "as_of", "round_id")
-    return notify.should_send(briefs, 2880).select("sink", "digest", "round_id", "send", "reason")
+    briefs = tables.cut(digests.select(F.concat(F.lit("sink-"), "host").alias("sink"), F.col("severity").cast("string").alias("digest"), "severity", "as_of", "round_id"), "briefs")
+    ledger, decided = tables.new_path(spark, "ledger"), None
+    for batch, part in (("first", "round_id < '2024-01-15'"), ("first", "round_id < '2024-01-15'"), ("second", "round_id >= '2024-01-15'")):
+        decided = suppression.decide(briefs.where(part), ledger, batch, 2880)
+        suppression.record_sent(decided.where("send"), ledger, batch)
+    return ledger, decided
+
+
+@query(f"{_SENT} SELECT b.sink, b.digest, b.round_id, sent.told IS NOT NULL AS send, CASE WHEN b.severity < 2 THEN 'below the floor' WHEN b.as_of = new.told THEN 'new situation' WHEN sent.told IS NOT NULL THEN 'reminder' ELSE 'sent lately' END AS reason FROM b LEFT JOIN sent ON sent.sink = b.sink AND sent.digest = b.digest AND sent.told = b.as_of LEFT JOIN new ON new.sink = b.sink AND new.digest = b.digest WHERE b.round_id >= '2024-01-15'")
+def should_send(spark, sf):
+    return _told(spark, sf)[1].select("sink", "digest", "round_id", "send", "reason")
+
+
+@query(f"{_SENT} SELECT sink, digest, strftime(told, '%Y-%m-%d %H:%M:%S') AS sent_at, CASE WHEN told < TIMESTAMP '2024-01-15' THEN 'first' ELSE 'second' END AS batch FROM sent")
+def notification_ledger(spark, sf):
+    path = _told(spark, sf)[0]
+    return suppression.read_ledger(spark, path).select("sink", "digest", F.date_format("sent_at", "yyyy-MM-dd HH:mm:ss").alias("sent_at"), "batch")
 
 
 @query()

@@ -23,32 +23,6 @@ def severity_gate(findings: DataFrame, floor: int, keys: tuple[str, ...] = ("hos
     return findings.groupBy(*keys).agg(F.max("severity").alias("severity"), (F.max("severity") >= floor).alias("passes"))
 
 
-def should_send(briefs: DataFrame, minutes: int = 720, floor: int = 2, keys: tuple[str, ...] = ("sink", "digest")) -> DataFrame:
-    """Each brief (``sink, digest, severity, as_of``) with its decision. What is below the floor isn't sent; the
-    first of a situation is; a later one only if so many minutes have passed since the last that was sent.
-    Decisions depend on decisions, so each situation's few briefs are folded in order of time."""
-    low = briefs.where(F.coalesce(F.col("severity") < floor, F.lit(True))).withColumn("send", F.lit(False)).withColumn("reason", F.when(F.col("severity").isNull(), "nothing to report").otherwise("below the floor"))
-    rows = briefs.where(F.col("severity") >= floor)
-    own = [c for c in briefs.columns if c not in keys]
-    order = F.array_sort(F.collect_list(F.struct(F.unix_micros("as_of").alias("_at"), *own)))
-    never = F.lit(None).cast("bigint")
-    item = F.struct(F.lit(0).cast("bigint").alias("_at"), F.lit(False).alias("send"))
-    state = F.struct(never.alias("last"), F.filter(F.array(item), lambda _: F.lit(False)).alias("out"))
-
-    def step(acc: Column, b: Column) -> Column:
-        go = acc["last"].isNull() | (b["_at"] - acc["last"] >= minutes * 60_000_000)
-        return F.struct(
-            F.when(go, b["_at"]).otherwise(acc["last"]).alias("last"),
-            F.concat(acc["out"], F.array(F.struct(b["_at"].alias("_at"), go.alias("send")))).alias("out"),
-        )
-
-    folded = rows.groupBy(*keys).agg(order.alias("_b")).withColumn("_d", F.aggregate("_b", state, step)["out"])
-    each = folded.select(*keys, F.explode(F.arrays_zip("_b", "_d")).alias("z"), F.get("_b", F.lit(0))["_at"].alias("_first"))
-    reason = F.when(F.col("z._b._at") == F.col("_first"), "new situation").when(F.col("z._d.send"), "reminder").otherwise("sent lately")
-    high = each.select(*keys, *[F.col(f"z._b.{c}").alias(c) for c in own], F.col("z._d.send").alias("send"), reason.alias("reason"))
-    return high.unionByName(low)
-
-
 def fit(blocks: Column, limit: int) -> Column:
     """Blocks joined by blank lines, as many leading ones as fit; then a mark if that fits too. If the first one
     doesn't fit, as many of its lines; if not even its first line, that line cut."""

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from logaudit.operators import claims as V
 from logaudit.operators import history as H
-from logaudit.operators import leaks, notify, redact
+from logaudit.operators import leaks, notify, redact, suppression
 from logaudit.operators import rules as R
 
 T0 = dt.datetime(2026, 8, 1)
@@ -48,7 +48,7 @@ def test_rules(spark):
 def test_suppression_follows_what_was_sent(spark):
     at = lambda m: T0 + dt.timedelta(minutes=m)
     b = spark.createDataFrame([("s", "d", 3, at(m)) for m in (0, 400, 719, 720, 1000, 1440)] + [("s", "e", 1, at(0)), ("s", "f", None, at(0))], "sink string, digest string, severity int, as_of timestamp")
-    rows = notify.should_send(b).orderBy("digest", "as_of").collect()
+    rows = suppression.should_send(b).orderBy("digest", "as_of").collect()
     assert [r.send for r in rows] == [True, False, False, True, False, True, False, False]
 
 
