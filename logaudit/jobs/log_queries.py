@@ -9,6 +9,7 @@ from logaudit.jobs import inputs as I
 from logaudit.jobs.inputs import EV
 from logaudit.operators import crosscheck as C
 from logaudit.sources import logs as L
+from logaudit.sources import tables
 
 Q: dict = {}
 S: dict = {}
@@ -35,6 +36,15 @@ def read_wire_log(spark, sf):
     return _decoded(spark, sf).select("host", "container", "line_no", "decoded")
 
 
+@query(f"WITH {EV} SELECT host, container, row_number() OVER (PARTITION BY host, container ORDER BY event_id) AS log_line, CASE WHEN good THEN strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '000Z' END AS ts_text FROM ev")
+def numbered_lines(spark, sf):
+    # Files of several members for each container, as a log shipper leaves them, read back and numbered.
+    path = tables.new_path(spark, "logs")
+    order = ("host", "container", "line_no")
+    I.wire_lines(spark, sf).repartitionByRange(8, *order).sortWithinPartitions(*order).select("host", "container", F.col("raw").alias("value")).write.partitionBy("host", "container").text(path)
+    return L.decode_wire(L.read_lines(spark, path, whole_folder=True)).select("host", "container", "log_line", "ts_text")
+
+
 @query(f"WITH {EV} SELECT host, line_no, CASE WHEN event_id % 89 <> 0 THEN event_type END AS message, event_id % 89 <> 0 AS decoded FROM ev")
 def read_stamped_log(spark, sf):
     stamp = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z "))

@@ -12,8 +12,8 @@ from logaudit.operators import correlate as K
 from logaudit.operators import history as H
 from logaudit.operators import leaks, notify, redact, suppression, wiring
 from logaudit.operators import rules as R
+from logaudit.sources import intake, tables
 from logaudit.sources import snapshots as N
-from logaudit.sources import tables
 
 Q: dict = {}
 S: dict = {}
@@ -98,6 +98,26 @@ def round_signals(spark, sf):
     return long.unionByName(other, allowMissingColumns=True)
 
 
+#: Signals by the source that gives them; on some days the disk's source gives nothing, a broken line, or stops half way.
+_SRC = SIG + ", so AS (SELECT sig.*, dd.s, CASE WHEN name LIKE 'disk%' THEN 'disk' WHEN label LIKE 'jail=%' THEN 'engine' ELSE 'box' END AS source FROM sig JOIN dd USING (host, round_id)), lost AS (SELECT host, round_id, s, CASE s % 6 WHEN 0 THEN 'nothing was delivered' WHEN 1 THEN '1 lines can''t be read' WHEN 2 THEN 'cut short after 1 rows' WHEN 3 THEN '1 of 2 rows' END AS reason FROM dd WHERE s % 6 < 4)"
+
+
+@query(f"WITH {_SRC} SELECT so.host, so.round_id, source, name, kind, CAST(NULL AS STRING) AS reason FROM so LEFT JOIN lost USING (host, round_id) WHERE source <> 'disk' OR lost.host IS NULL UNION ALL SELECT host, round_id, 'disk', 'source_failed', 'error', reason FROM lost UNION ALL SELECT host, round_id, 'never', 'source_failed', 'error', 'nothing was delivered' FROM dd")
+def failing_sources(spark, sf):
+    rows = I.run_sql(spark, sf, _SRC, "SELECT host, round_id, source, name, kind, value_num, s FROM so")
+    root = tables.new_path(spark, "round")
+    disk, day = F.col("source") == "disk", F.col("s") % 6
+    intake.deliver(rows.where(~disk | (day > 3)).drop("s"), root)
+    # What a failing source leaves: a broken line, a row without an end, a row of two.
+    left = rows.where(disk & (day.between(1, 3)) & (F.col("name") == "disk_used_percent"))
+    row = F.to_json(F.struct("name", "kind", "value_num"))
+    text = F.when(day == 1, F.array(row, F.lit("{broken"))).when(day == 2, F.array(row)).otherwise(F.array(row, F.lit('{"delivered":2}')))
+    left.select("host", "round_id", "source", F.explode(text).alias("value")).repartition("host", "round_id", "source").write.mode("append").partitionBy("host", "round_id", "source").text(root)
+    sources = spark.createDataFrame([(f"host{h}", x) for h in range(3) for x in ("disk", "engine", "box", "never")], "host string, source string")
+    found = intake.collect_round(spark, root, intake.expected_sources(I.rounds(spark, sf), sources))
+    return found.select("host", "round_id", "source", "name", "kind", F.when(F.col("name") == intake.FAILED, F.col("value_text")).alias("reason"))
+
+
 # Rules
 
 

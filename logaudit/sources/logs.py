@@ -2,22 +2,53 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from logaudit.functions import text as X
-
-
-def read_lines(spark: SparkSession, path: str, host: str, container: str) -> DataFrame:
-    """Lines of text files with their place. Numbers follow the start of the split and the order in it; only
-    lines of one file are numbered together."""
-    rows = spark.read.text(path).select(
-        F.lit(host).alias("host"), F.lit(container).alias("container"), F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("raw"),
-    )
-    number = F.row_number().over(Window.partitionBy("file").orderBy("block", "at")).cast("long")
-    return rows.select("host", "container", "file", number.alias("line_no"), "raw")
+from logaudit.sources import tables
+
+
+#: Splits whose places are broadcast; with more, lines are joined with them by a shuffle.
+BROADCAST_SPLITS = 200_000
+
+
+def member(file: Column, whole_folder: bool) -> tuple[Column, Column]:
+    """The log that a file belongs to, and its age in it. Rotated files (``x.log.2.gz``, ``x.log.1``, ``x.log-20240131``)
+    are members of one log, the greater number or earlier date the older, and the plain name is the newest. With
+    ``whole_folder`` all files of a folder are members, in order of their names."""
+    if whole_folder:
+        return F.regexp_replace(file, "/[^/]*$", ""), F.lit(0).cast("long")
+    plain = F.regexp_replace(file, r"\.gz$", "")
+    number, date = (F.nullif(F.regexp_extract(plain, p, 1), F.lit("")).cast("long") for p in (r"\.(\d{1,6})$", r"[-.](\d{8})$"))
+    return F.regexp_replace(plain, r"\.\d{1,6}$|[-.]\d{8}$", ""), F.coalesce(number, F.lit(1_000_000_000) - date, F.lit(0).cast("long"))
+
+
+def read_lines(spark: SparkSession, path: str | list[str], whole_folder: bool = False) -> DataFrame:
+    """Lines of text files, plain or gzip: the columns that the path holds (``host=.../container=...``), ``file, line_no,
+    log, log_line, raw``. ``line_no`` counts from 1 within the file, ``log_line`` over all members of the log, oldest
+    first (see ``member``). Lines end with a newline alone; empty lines count.
+
+    A file is read in as many splits as Spark likes. A first pass counts the lines of each split; the counts before a
+    split, in its file and in its log, are carried over, and a line's place in its split comes from the order in which
+    its task reads. No line is shuffled, and no file is read by one task but a compressed one. If the splits of the two
+    passes differ, the job fails with "splits have changed", instead of giving other numbers.
+    """
+    rows = spark.read.option("lineSep", "\n").text(path)
+    own = [c for c in rows.columns if c != "value"]
+    lines = rows.select(*own, F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("raw"))
+    counts = lines.groupBy("file", "split").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    log, age = member(F.col("file"), whole_folder)
+    splits = tables.cut(counts.select("*", log.alias("log"), age.alias("age")), "splits")
+    before = lambda *order: F.coalesce(F.sum("n").over(Window.partitionBy(*order[:1]).orderBy(*order[1:]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = splits.select("file", "split", "n", "first", "log", before("file", "split").alias("in_file"), before("log", F.desc("age"), "file", "split").alias("in_log"))
+    if splits.count() <= BROADCAST_SPLITS:
+        placed = F.broadcast(placed)
+    place = F.col("at") - F.col("first")
+    place = F.when((place >= 0) & (place < F.col("n")), place + 1).otherwise(F.raise_error(F.lit("splits have changed between two passes: read again")).cast("long"))
+    met = lines.join(placed, ["file", "split"], "left").withColumn("place", place)
+    return met.select(*own, "file", (F.col("in_file") + F.col("place")).alias("line_no"), "log", (F.col("in_log") + F.col("place")).alias("log_line"), "raw")
 
 
 def decode_wire(lines: DataFrame) -> DataFrame:
