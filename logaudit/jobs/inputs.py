@@ -51,6 +51,15 @@ SIG = (
   UNION ALL SELECT host, day, round_id, 'filter_as_expected', 'state', 'jail=mail-jail', CAST(NULL AS DOUBLE), CASE WHEN s % 4 = 0 THEN 'false' ELSE 'true' END FROM dd
   UNION ALL SELECT host, day, round_id, 'logging_healthy', 'state', 'container=box', CAST(NULL AS DOUBLE), CASE WHEN s % 10 = 0 THEN 'false' ELSE 'true' END FROM dd
   UNION ALL SELECT host, day, round_id, 'config_digest', 'state', 'file=filter.d/mail-jail.conf', CAST(NULL AS DOUBLE), CAST(CAST(floor(n / 40) AS BIGINT) AS STRING) FROM dd
+  UNION ALL SELECT host, day, round_id, 'observed', 'metric', 'jail=mail-jail', CAST(ne AS DOUBLE), NULL FROM dd
+  UNION ALL SELECT host, day, round_id, 'matched', 'metric', 'jail=mail-jail', CAST(CASE WHEN s % 3 = 0 THEN 0 ELSE ne END AS DOUBLE), NULL FROM dd
+  UNION ALL SELECT host, day, round_id, 'found', 'metric', 'jail=mail-jail', CAST(ns AS DOUBLE), NULL FROM dd WHERE s % 4 <> 0
+  UNION ALL SELECT host, day, round_id, 'uncounted_by_service', 'metric', 'jail=mail-jail,service=smtpd', CAST(CASE WHEN s % 3 = 0 THEN ne - floor(ne / 2) ELSE 0 END AS DOUBLE), NULL FROM dd
+  UNION ALL SELECT host, day, round_id, 'uncounted_by_service', 'metric', 'jail=mail-jail,service=smtps/smtpd', CAST(CASE WHEN s % 6 = 0 THEN floor(ne / 2) ELSE 0 END AS DOUBLE), NULL FROM dd
+  UNION ALL SELECT host, day, round_id, 'disk_inodes_percent', 'metric', '', CAST(85 + s % 15 AS DOUBLE), NULL FROM dd
+  UNION ALL SELECT host, day, round_id, 'filter_declared', 'state', 'jail=mail-jail', CAST(NULL AS DOUBLE), CASE WHEN s % 4 = 0 THEN 'other' ELSE 'mail-jail' END FROM dd
+  UNION ALL SELECT host, day, round_id, 'filter_file_present', 'state', 'jail=mail-jail', CAST(NULL AS DOUBLE), CASE WHEN s % 14 = 0 THEN 'false' ELSE 'true' END FROM dd
+  UNION ALL SELECT host, day, round_id, 'started_at', 'state', 'container=mail', CAST(NULL AS DOUBLE), CASE WHEN s % 5 = 0 THEN round_id || ' 06:00:00' ELSE '2023-01-01 00:00:00' END FROM dd
   UNION ALL SELECT host, day, round_id, 'certificate', 'error', '', CAST(NULL AS DOUBLE), NULL FROM dd WHERE s % 13 = 0) q)"""
 )
 
@@ -104,14 +113,15 @@ def engine_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def signals(spark: SparkSession, sf: str) -> DataFrame:
-    """Signals of all rounds, with labels, keys and times."""
-    label = F.split("label", "=")
-    labels = F.when(F.col("label") == "", F.create_map().cast("map<string,string>")).otherwise(F.create_map(F.get(label, F.lit(0)), F.get(label, F.lit(1))))
-    rows = run_sql(spark, sf, SIG, "SELECT * FROM sig").withColumn("labels", labels)
+    """Signals of all rounds, with labels, keys and times, and a line of evidence where services are told apart."""
+    empty = F.create_map().cast("map<string,string>")
+    labels = F.when(F.col("label") == "", empty).otherwise(F.str_to_map("label", F.lit(","), F.lit("=")))
+    line = F.struct(F.lit("log").alias("kind"), F.lit("mail.log").alias("ref"), F.concat(F.lit("first of "), labels["service"]).alias("excerpt"), F.col("value_num").cast("bigint").alias("line_no"))
+    rows = run_sql(spark, sf, SIG, "SELECT * FROM sig").withColumn("evidence", F.when(F.col("name") == "uncounted_by_service", F.array(line))).withColumn("labels", labels)
     day = F.col("day").cast("timestamp")
     return rows.select(
         "host", "round_id", (day + F.expr("INTERVAL 86399 SECONDS")).alias("as_of"), day.alias("observed_at"), "name", "kind", "labels",
-        series_key(F.col("name"), F.col("labels")).alias("key"), "value_num", "value_text",
+        series_key(F.col("name"), F.col("labels")).alias("key"), "value_num", "value_text", "evidence",
     )
 
 

@@ -33,7 +33,8 @@ def query(sql: str | None = None):
 
 #: Signals with key and previous values, as SQL.
 _K = SIG + ", k AS (SELECT *, CASE WHEN label = '' THEN name ELSE name || '{' || label || '}' END AS key FROM sig)"
-_P = _K + ", p AS (SELECT *, lag(value_num) OVER w AS prev_num, lag(value_text) OVER w AS prev_text, lag(day) OVER w AS prev_day FROM k WINDOW w AS (PARTITION BY host, key ORDER BY day))"
+_SIB = ", sb AS (SELECT host, round_id, max(CASE WHEN name = 'observed' THEN value_num END) AS o, max(CASE WHEN name = 'matched' THEN value_num END) AS m, max(CASE WHEN name = 'found' THEN value_num END) AS f, max(CASE WHEN name = 'engine_restarts' THEN value_num END) AS starts, max(CASE WHEN name = 'filter_declared' THEN value_text END) AS declared, max(CASE WHEN label LIKE '%service=smtpd' THEN value_num END) AS one, max(CASE WHEN label LIKE '%smtps/smtpd' THEN value_num END) AS two FROM k GROUP BY host, round_id)"
+_P = _K + _SIB + ", p AS (SELECT k.*, o, m, f, starts, declared, one, two, lag(value_num) OVER w AS prev_num, lag(value_text) OVER w AS prev_text, lag(day) OVER w AS prev_day FROM k JOIN sb USING (host, round_id) WINDOW w AS (PARTITION BY host, key ORDER BY day))"
 
 
 def _known(spark, sf):
@@ -75,9 +76,14 @@ def silent_keys(spark, sf):
     return H.silent(I.signals(spark, sf), I.rounds(spark, sf), 48)
 
 
-@query(f"WITH {_SILENT} SELECT host, round_id, 'change.went_silent' AS rule, 2 AS severity, CAST(count(*) AS STRING) || ' series went silent' AS title, string_agg(key, ' ' ORDER BY key) AS key FROM silent GROUP BY ALL")
+#: Of silent series the first two are shown, so that there are rounds with more of them.
+SHOWN = 2
+_FIRST = f"array_to_string(list_slice(list_sort(list(key)), 1, {SHOWN}), ' ')"
+
+
+@query(f"WITH {_SILENT} SELECT host, round_id, 'change.went_silent' AS rule, 2 AS severity, CAST(count(*) AS STRING) || ' series went silent' AS title, {_FIRST} AS key FROM silent GROUP BY ALL")
 def went_silent(spark, sf):
-    return R.went_silent(H.silent(I.signals(spark, sf), I.rounds(spark, sf), 48)).select("host", "round_id", "rule", "severity", "title", "key")
+    return R.went_silent(H.silent(I.signals(spark, sf), I.rounds(spark, sf), 48), SHOWN).select("host", "round_id", "rule", "severity", "title", "key")
 
 
 @query(f"WITH {_K} SELECT host, round_id, count(*) AS signals, count(*) FILTER (WHERE kind = 'error') AS errors FROM k GROUP BY ALL")
@@ -121,50 +127,73 @@ def failing_sources(spark, sf):
 # Rules
 
 
-def _rule(name: str, rule, condition: str, severity: str, rule_id: str):
-    sql = f"WITH {_P} SELECT host, round_id, {rule_id} AS rule, CAST({severity} AS INTEGER) AS severity, key FROM p WHERE {condition}"
+def _part(rule_id, severity, condition, title, detail, baseline="NULL", confidence="observed", keys="[key]", evidence="NULL"):
+    """A rule as SQL over signals with previous values and siblings."""
+    return (
+        f"SELECT host, round_id, {rule_id} AS rule, CAST({severity} AS INTEGER) AS severity, '{confidence}' AS confidence, {title} AS title, {detail} AS detail,"
+        f" {baseline} AS baseline, key, {keys} AS keys, {evidence} AS evidence FROM p WHERE {condition}"
+    )
+
+
+def _rule(name: str, rule, *sql, **more):
+    part = _part(*sql, **more)
 
     def run(spark, sf):
-        return rule(_known(spark, sf)).select("host", "round_id", "rule", "severity", "key")
+        signals = I.signals(spark, sf)
+        found = rule(H.with_previous(signals), TOLD, R.siblings(signals))
+        return found.select("host", "round_id", "rule", "severity", "key", "title", "detail", "baseline")
 
     run.__name__ = name
-    Q[name], S[name] = run, sql
-    return f"SELECT host, round_id, {rule_id} AS rule, CAST({severity} AS INTEGER) AS severity, key FROM p WHERE {condition}"
+    Q[name], S[name] = run, f"WITH {_P}, x AS ({part}) SELECT host, round_id, rule, severity, key, title, detail, baseline FROM x"
+    return part
 
 
+#: A baseline is stale after one window, so that there are stale ones.
+TOLD = R.Thresholds(silence_hours=48, silent_shown=SHOWN, stale_windows=1)
 _HOURS = "(24.0 * date_diff('day', prev_day, day))"
 _LEFT = f"(value_num / ((prev_num - value_num) / {_HOURS}))"
 _T = R.Thresholds()
 _in = lambda names: "name IN (" + ", ".join(f"'{n}'" for n in names) + ")"
+_n = lambda x: f"coalesce(CAST(CAST({x} AS BIGINT) AS STRING), '?')"
+_at = "strftime(prev_day, '%Y-%m-%d %H:%M:%S')"
+_DAYS = "date_diff('day', prev_day, day)"
+_BY = "array_to_string(list_filter([CASE WHEN one > 0 THEN 'smtpd'{0} END, CASE WHEN two > 0 THEN 'smtps/smtpd'{1} END], lambda x: x IS NOT NULL), ', ')"
+_NAMES, _EACH = _BY.format("", ""), _BY.format(f" || ': ' || {_n('one')}", f" || ': ' || {_n('two')}")
+_LINE = """'{{"kind":"log","ref":"mail.log","excerpt":"first of {0}","line_no":' || {1} || '}}'"""
+_some = lambda a, b: f"list_filter([CASE WHEN one > 0 THEN {a} END, CASE WHEN two > 0 THEN {b} END], lambda x: x IS NOT NULL)"
 _PARTS = [
-    _rule("filter_wiring", R.filter_wiring, "name = 'filter_as_expected' AND value_text = 'false'", "3", "'fail2ban.filter_not_as_expected'"),
-    _rule("logging_health", R.logging_blind, "name = 'logging_healthy' AND value_text = 'false'", "3", "'dovecot.auth_logging_blind'"),
-    _rule("disk_pressure", R.disk_pressure, "name = 'disk_used_percent' AND value_num >= 90", "CASE WHEN value_num >= 95 THEN 3 ELSE 2 END", "'disk.space_low'"),
-    _rule("disk_filling", R.disk_filling, f"name = 'disk_available_bytes' AND prev_num > value_num AND {_LEFT} <= 72", f"CASE WHEN {_LEFT} <= 12 THEN 3 ELSE 2 END", "'disk.filling'"),
-    _rule("cert_expiry", R.cert_expiry, "name = 'cert_days_left' AND value_num <= 21", "CASE WHEN value_num <= 7 THEN 3 ELSE 2 END", "'tls.expiring'"),
-    _rule("collection_errors", R.collection_errors, "kind = 'error'", "2", "'collection_error'"),
-    _rule("rate_spike", R.rate_spike, f"{_in(_T.spiking)} AND value_num - prev_num >= 10 AND (prev_num = 0 OR value_num >= 4 * prev_num)", f"CASE WHEN {_in(_T.urgent)} THEN 3 ELSE 2 END", "'change.rate_spike'"),
-    _rule("counter_reset", R.counter_reset, f"{_in(_T.counters)} AND value_num < prev_num", "1", "'change.counter_reset'"),
-    _rule("state_changed", R.state_changed, f"kind = 'state' AND {_in(_T.watched_states)} AND prev_day IS NOT NULL AND prev_text IS DISTINCT FROM value_text", "1", "'change.state_changed'"),
-    "SELECT host, round_id, 'fail2ban.uncounted_failures', 3, key FROM p WHERE name = 'uncounted' AND value_num > 0",
-    "SELECT host, round_id, 'fail2ban.filter_engine_drift', 2, key FROM p WHERE name = 'engine_drift' AND abs(value_num) >= 5",
-    "SELECT host, round_id, 'change.went_silent', 2, string_agg(key, ' ' ORDER BY key) FROM silent GROUP BY host, round_id",
-]
+    _rule("filter_wiring", R.filter_wiring, "CASE name WHEN 'filter_file_present' THEN 'fail2ban.filter_file_missing' ELSE 'fail2ban.filter_not_as_expected' END", "3", "name IN ('filter_as_expected', 'filter_file_present') AND value_text = 'false'", "'filter wiring of mail-jail'", "name || ' is false; the jail declares ' || declared"),
+    _rule("logging_health", R.logging_blind, "'dovecot.auth_logging_blind'", "3", "name = 'logging_healthy' AND value_text = 'false'", "'authentication is not logged where it can be read'", "key || ' is false'"),
+    _rule("disk_pressure", R.disk_pressure, "CASE name WHEN 'disk_used_percent' THEN 'disk.space_low' ELSE 'disk.inodes_low' END", "CASE WHEN value_num >= 95 THEN 3 ELSE 2 END", "name IN ('disk_used_percent', 'disk_inodes_percent') AND value_num >= 90", f"{_n('value_num')} || ' percent used'", "key || ' is high'"),
+    _rule("disk_filling", R.disk_filling, "'disk.filling'", f"CASE WHEN {_LEFT} <= 12 THEN 3 ELSE 2 END", f"name = 'disk_available_bytes' AND prev_num > value_num AND {_LEFT} <= 72", f"'full in ' || CAST(floor({_LEFT}) AS BIGINT) || ' hours'", f"'free space went from ' || {_n('prev_num')} || ' to ' || {_n('value_num')}", f"'sample of ' || {_at}", confidence="derived"),
+    _rule("cert_expiry", R.cert_expiry, "'tls.expiring'", "CASE WHEN value_num <= 7 THEN 3 ELSE 2 END", "name = 'cert_days_left' AND value_num <= 21", "CASE WHEN value_num <= 0 THEN 'certificate has expired' ELSE 'certificate expires soon' END", f"{_n('value_num')} || ' days left'"),
+    _rule("collection_errors", R.collection_errors, "'collection_error'", "2", "kind = 'error'", "'could not read ' || name", "coalesce(value_text, 'no reason given')"),
+    _rule("rate_spike", R.rate_spike, "'change.rate_spike'", f"CASE WHEN {_in(_T.urgent)} THEN 3 ELSE 2 END", f"{_in(_T.spiking)} AND value_num - prev_num >= 10 AND (prev_num = 0 OR value_num >= 4 * prev_num)", f"name || ' ' || {_n('prev_num')} || ' to ' || {_n('value_num')}", f"key || ' grew by ' || {_n('value_num - prev_num')} || CASE WHEN prev_num = 0 THEN ', from zero' ELSE ', over ' || CAST(floor(value_num / prev_num) AS BIGINT) || ' times' END", f"'round of ' || {_at} || CASE WHEN {_DAYS} > 1 THEN ', ' || CAST(1440 * {_DAYS} AS BIGINT) || ' minutes before: more than 1 windows' ELSE '' END", "derived"),
+    _rule("counter_reset", R.counter_reset, "'change.counter_reset'", "1", f"{_in(_T.counters)} AND value_num < prev_num", "name || ' went back'", f"{_n('prev_num')} || ' to ' || {_n('value_num')} || ': it started anew' || CASE WHEN starts > 0 THEN '; the engine started ' || {_n('starts')} || ' times in the window' ELSE '' END", f"{_n('prev_num')} || ' at ' || {_at}", "derived"),
+    _rule("state_changed", R.state_changed, "'change.state_changed'", "1", f"kind = 'state' AND {_in(_T.watched_states)} AND prev_day IS NOT NULL AND prev_text IS DISTINCT FROM value_text", "name || ' changed'", "coalesce(prev_text, '?') || ' to ' || coalesce(value_text, '?')", f"'at ' || {_at}"),
+    _part("'fail2ban.uncounted_failures'", "3", "name = 'uncounted' AND value_num > 0", f"{_n('value_num')} || ' failures would not be counted' || CASE WHEN one + two > 0 THEN ' on ' || {_NAMES} ELSE '' END", f"'mail-jail: ' || {_n('value_num')} || ' of ' || {_n('o')} || ' failures match no filter; coverage ? percent; by service: ' || CASE WHEN one + two > 0 THEN {_EACH} ELSE '?' END || '; matched lines ' || {_n('m')} || ', filter tool ?, engine ' || {_n('f')}", confidence="derived",
+          keys="list_concat([key], " + _some("'uncounted_by_service{jail=mail-jail,service=smtpd}'", "'uncounted_by_service{jail=mail-jail,service=smtps/smtpd}'") + ")", evidence="'[' || array_to_string(" + _some(_LINE.format("smtpd", _n("one")), _LINE.format("smtps/smtpd", _n("two"))) + ", ',') || ']'"),
+    _part("'fail2ban.filter_engine_drift'", "2", "name = 'engine_drift' AND abs(value_num) >= 5", "CASE WHEN value_num > 0 THEN 'engine counted fewer than match' ELSE 'engine counted more than match' END", f"'apart by ' || {_n('abs(value_num)')} || ': matched lines ' || {_n('m')} || ', engine ' || {_n('f')}", confidence="derived"),
+    f"SELECT host, round_id, 'change.went_silent', 2, 'derived', CAST(count(*) AS STRING) || ' series went silent', 'the first are ' || array_to_string(list_slice(list_sort(list(key)), 1, {SHOWN}), ', '), NULL, {_FIRST}, list_slice(list_sort(list(key)), 1, {SHOWN}), NULL FROM silent GROUP BY host, round_id",
+]
 _FINDINGS = _P + _SILENT[len(_K) :] + ", fi AS (" + " UNION ALL ".join(_PARTS) + ")"
 
 
 def _findings(spark, sf):
-    return R.all_findings(I.signals(spark, sf), I.rounds(spark, sf), t=R.Thresholds(silence_hours=48))
+    return R.all_findings(I.signals(spark, sf), I.rounds(spark, sf), t=TOLD)
 
 
-@query(f"WITH {_FINDINGS} SELECT * FROM fi")
+@query(f"WITH {_FINDINGS} SELECT host, round_id, rule, severity, key FROM fi")
 def all_findings(spark, sf):
     return _findings(spark, sf).select("host", "round_id", "rule", "severity", "key")
 
 
-@query(f"WITH {_FINDINGS} SELECT host, round_id, rule, severity, count(*) AS n FROM fi GROUP BY ALL")
+_ORDER = "row_number() OVER (PARTITION BY host, round_id ORDER BY severity DESC, rule, title, key)"
+
+
+@query(f"WITH {_FINDINGS} SELECT host, round_id, rule, key, CAST({_ORDER} AS INTEGER) AS pos FROM fi")
 def ordered_findings(spark, sf):
-    return R.ordered(_findings(spark, sf)).groupBy("host", "round_id", "rule", "severity").agg(F.count("pos").alias("n"))
+    return R.ordered(_findings(spark, sf)).select("host", "round_id", "rule", "key", "pos")
 
 
 @query(f"WITH {_FINDINGS} SELECT host, round_id, max(severity) AS severity, max(severity) >= 3 AS passes FROM fi GROUP BY ALL")
@@ -181,35 +210,60 @@ def situation_digest(spark, sf):
     return notify.situation_digest(_findings(spark, sf))
 
 
-@query()
-def findings_json(spark, sf):
-    return R.ordered(_findings(spark, sf)).select("host", "round_id", "pos", F.to_json(F.struct("rule", "severity", "confidence", "title", F.when(F.size("labels") > 0, F.col("labels")).alias("labels"))).alias("json"))
+@query(f"WITH {_FINDINGS}, fs AS (SELECT * FROM fi WHERE severity = 3 AND rule = 'tls.expiring'), c AS (SELECT host, round_id, max(severity) AS severity, count(*) FILTER (WHERE severity = 3) AS a FROM fs GROUP BY ALL), r AS (SELECT DISTINCT host, round_id FROM dd) SELECT host, round_id, coalesce(severity, 1) AS severity, CASE WHEN a > 0 THEN a || ' critical: ' || (SELECT min(title) FROM fs WHERE fs.host = r.host AND fs.round_id = r.round_id) ELSE 'nothing to report' END AS headline FROM r LEFT JOIN c USING (host, round_id)")
+def quiet_rounds(spark, sf):
+    # Of one rule's findings, so that there are rounds without any.
+    found = _findings(spark, sf).where("severity = 3 and rule = 'tls.expiring'")
+    return V.headline(found, rounds=I.rounds(spark, sf)).select("host", "round_id", "severity", "headline")
 
 
-@query(f"WITH {_FINDINGS}, c AS (SELECT host, round_id, max(severity) AS severity, count(*) FILTER (WHERE severity = 3) AS a, count(*) FILTER (WHERE severity = 2) AS b, count(*) FILTER (WHERE severity = 1) AS c FROM fi GROUP BY ALL) SELECT host, round_id, severity, concat_ws(', ', CASE WHEN a > 0 THEN a || ' critical' END, CASE WHEN b > 0 THEN b || ' warning' END, CASE WHEN c > 0 THEN c || ' info' END) AS counts FROM c")
+@query(f"WITH {_FINDINGS}, c AS (SELECT host, round_id, max(severity) AS severity, count(*) FILTER (WHERE severity = 3) AS a, count(*) FILTER (WHERE severity = 2) AS b, count(*) FILTER (WHERE severity = 1) AS c, arg_min(title, struct_pack(s := -severity, r := rule, t := title)) AS t FROM fi GROUP BY ALL) SELECT host, round_id, severity, concat_ws(', ', CASE WHEN a > 0 THEN a || ' critical' END, CASE WHEN b > 0 THEN b || ' warning' END, CASE WHEN c > 0 THEN c || ' info' END) || ': ' || t AS headline FROM c")
 def round_headline(spark, sf):
-    return V.headline(_findings(spark, sf)).select("host", "round_id", "severity", F.regexp_extract("headline", "^([^:]*):", 1).alias("counts"))
+    return V.headline(_findings(spark, sf), rounds=I.rounds(spark, sf)).where("headline <> 'nothing to report'").select("host", "round_id", "severity", "headline")
 
 
 def _changes(spark, sf):
     return K.collect_changes(_known(spark, sf))
 
 
-_CH = _P + ", ch AS (SELECT host, round_id, 'config_edit' AS kind FROM p WHERE name = 'config_digest' AND prev_text <> value_text UNION ALL SELECT host, round_id, 'service_restart' FROM p WHERE name = 'engine_restarts' AND value_num > 0 UNION ALL SELECT host, round_id, 'container_restart' FROM p WHERE name = 'restart_count' AND value_num > prev_num)"
+_CH = _P + """, ch AS (SELECT host, round_id, 'config_edit' AS kind, 'filter.d/mail-jail.conf was edited' AS text FROM p WHERE name = 'config_digest' AND prev_text <> value_text
+ UNION ALL SELECT host, round_id, 'service_restart', 'the ban engine restarted' FROM p WHERE name = 'engine_restarts' AND value_num > 0
+ UNION ALL SELECT host, round_id, 'container_start', 'mail started' FROM p WHERE name = 'started_at' AND (value_text LIKE round_id || '%' OR prev_text <> value_text)
+ UNION ALL SELECT host, round_id, 'container_restart', 'mail was restarted' FROM p WHERE name = 'restart_count' AND value_num > prev_num)"""
 
 
-@query(f"WITH {_CH} SELECT * FROM ch")
+@query(f"WITH {_CH} SELECT host, round_id, kind, text AS description FROM ch")
 def collect_changes(spark, sf):
-    return _changes(spark, sf).select("host", "round_id", "kind")
+    return _changes(spark, sf).select("host", "round_id", "kind", "description")
 
 
-_FIT = "CASE ch.kind WHEN 'service_restart' THEN true WHEN 'config_edit' THEN fi.key LIKE '%{jail=mail-jail}' WHEN 'container_restart' THEN fi.key LIKE '%{jail=mail-jail}' OR fi.key LIKE '%{container=mail}' END AND (fi.rule <> 'change.went_silent' OR ch.kind = 'service_restart')"
+_FIT = "CASE ch.kind WHEN 'service_restart' THEN true WHEN 'config_edit' THEN fi.key LIKE '%{jail=mail-jail}' ELSE fi.key LIKE '%{jail=mail-jail}' OR fi.key LIKE '%{container=mail}' END AND (fi.rule <> 'change.went_silent' OR ch.kind = 'service_restart')"
+_CORRELATED = f"{_FINDINGS}{_CH[len(_P):]}, co AS (SELECT fi.host, fi.round_id, fi.rule, fi.key, fi.title, list(ch.text ORDER BY ch.kind) FILTER (WHERE ch.kind IS NOT NULL) AS told FROM fi LEFT JOIN ch ON ch.host = fi.host AND ch.round_id = fi.round_id AND {_FIT} GROUP BY ALL)"
 
 
-@query(f"WITH {_FINDINGS}{_CH[len(_P):]} SELECT fi.host, fi.round_id, fi.rule, fi.key, count(ch.kind) AS n FROM fi LEFT JOIN ch ON ch.host = fi.host AND ch.round_id = fi.round_id AND {_FIT} GROUP BY ALL")
-def correlate_changes(spark, sf):
+def _correlated(spark, sf):
     containers = I.events(spark, sf).select("jail", "container").distinct()
-    return K.correlate(_findings(spark, sf), _changes(spark, sf), containers).select("host", "round_id", "rule", "key", F.size("correlations").cast("bigint").alias("n"))
+    return K.correlate(_findings(spark, sf), _changes(spark, sf), containers)
+
+
+@query(f"WITH {_CORRELATED} SELECT host, round_id, rule, key, coalesce(array_to_string(told, ' | '), '') AS told FROM co")
+def correlate_changes(spark, sf):
+    return _correlated(spark, sf).select("host", "round_id", "rule", "key", F.array_join("correlations", " | ").alias("told"))
+
+
+_QUOTED = lambda items: f"'[' || array_to_string(list_transform({items}, lambda x: '\"' || x || '\"'), ',') || ']'"
+_OF_KEY = "regexp_extract(fi.key, '\\{([^,{}]*)\\}$', 1)"
+_JSON = (
+    """'{"rule":"' || fi.rule || '","severity":"' || CASE severity WHEN 3 THEN 'critical' WHEN 2 THEN 'warning' ELSE 'info' END || '","confidence":"' || confidence || '","title":"' || fi.title"""
+    """ || '","detail":"' || detail || '","labels":' || CASE WHEN fi.rule = 'change.went_silent' OR """ + _OF_KEY + """ = '' THEN '{}' ELSE '{"' || replace(""" + _OF_KEY + """, '=', '":"') || '"}' END"""
+    """ || ',"signal_keys":' || """ + _QUOTED("keys") + """ || CASE WHEN baseline IS NULL THEN '' ELSE ',"baseline":"' || baseline || '"' END"""
+    """ || CASE WHEN told IS NULL THEN '' ELSE ',"correlations":' || """ + _QUOTED("told") + """ END || CASE WHEN evidence IS NULL OR evidence = '[]' THEN '' ELSE ',"evidence":' || evidence END || '}'"""
+)
+
+
+@query(f"WITH {_CORRELATED} SELECT fi.host, fi.round_id, CAST(row_number() OVER (PARTITION BY fi.host, fi.round_id ORDER BY severity DESC, fi.rule, fi.title, fi.key) AS INTEGER) AS pos, {_JSON} AS json FROM fi JOIN co ON co.host = fi.host AND co.round_id = fi.round_id AND co.rule = fi.rule AND co.key = fi.key")
+def findings_json(spark, sf):
+    return R.as_json(R.ordered(_correlated(spark, sf))).select("host", "round_id", "pos", "json")
 
 
 # Alerts
@@ -481,9 +535,12 @@ def evidence_catalogue(spark, sf):
     return _catalogue(spark, sf)
 
 
-@query(f"WITH {SIG} SELECT DISTINCT host, round_id, value_num AS number FROM sig WHERE value_num IS NOT NULL")
+_MEASURED = _FINDINGS + ", mm AS (SELECT DISTINCT host, round_id, value_num AS v FROM sig WHERE value_num IS NOT NULL UNION SELECT host, round_id, unnest(list_transform(regexp_extract_all(title || ' ' || detail, '\\d+(?:\\.\\d+)?'), lambda x: x::DOUBLE)) FROM fi)"
+
+
+@query(f"WITH {_MEASURED} SELECT host, round_id, v AS number FROM mm")
 def measured_numbers(spark, sf):
-    return V.measured(I.signals(spark, sf), _findings(spark, sf).where("false"), _RD)
+    return _measured(spark, sf)
 
 
 @query(f"WITH {SIG} SELECT host, round_id, CAST(pos AS INTEGER) AS pos, CASE WHEN pos = 5 THEN 'elsewhere' END AS unknown FROM dd, range(0, 7) r(pos) WHERE s % 17 <> 0")
@@ -491,10 +548,9 @@ def resolve_refs(spark, sf):
     return V.resolve(V.claim_rows(_completions(spark, sf), _RD), _catalogue(spark, sf), _RD).select("host", "round_id", "pos", "unknown")
 
 
-@query(f"WITH {SIG}, mm AS (SELECT DISTINCT host, round_id, value_num AS v FROM sig WHERE value_num IS NOT NULL) SELECT host, round_id, CAST(pos AS INTEGER) AS pos, CASE pos WHEN 0 THEN true WHEN 1 THEN np = ne OR EXISTS (SELECT 1 FROM mm WHERE mm.host = dd.host AND mm.round_id = dd.round_id AND mm.v = dd.np) WHEN 2 THEN false WHEN 3 THEN true WHEN 4 THEN true ELSE false END AS accepted, CASE pos WHEN 0 THEN 'derived' WHEN 1 THEN CASE WHEN np = ne THEN 'derived' WHEN EXISTS (SELECT 1 FROM mm WHERE mm.host = dd.host AND mm.round_id = dd.round_id AND mm.v = dd.np) THEN 'hypothesis' END WHEN 3 THEN 'hypothesis' WHEN 4 THEN 'hypothesis' END AS confidence FROM dd, range(0, 7) r(pos) WHERE s % 17 <> 0")
+@query(f"WITH {_MEASURED} SELECT host, round_id, CAST(pos AS INTEGER) AS pos, CASE pos WHEN 0 THEN true WHEN 1 THEN np = ne OR EXISTS (SELECT 1 FROM mm WHERE mm.host = dd.host AND mm.round_id = dd.round_id AND mm.v = dd.np) WHEN 2 THEN false WHEN 3 THEN true WHEN 4 THEN true ELSE false END AS accepted, CASE pos WHEN 0 THEN 'derived' WHEN 1 THEN CASE WHEN np = ne THEN 'derived' WHEN EXISTS (SELECT 1 FROM mm WHERE mm.host = dd.host AND mm.round_id = dd.round_id AND mm.v = dd.np) THEN 'hypothesis' END WHEN 3 THEN 'hypothesis' WHEN 4 THEN 'hypothesis' END AS confidence FROM dd, range(0, 7) r(pos) WHERE s % 17 <> 0")
 def verify_claims(spark, sf):
-    numbers = V.measured(I.signals(spark, sf), _findings(spark, sf).where("false"), _RD)
-    return V.verify(V.claim_rows(_completions(spark, sf), _RD), _catalogue(spark, sf), numbers, _RD).select("host", "round_id", "pos", "accepted", "confidence")
+    return V.verify(V.claim_rows(_completions(spark, sf), _RD), _catalogue(spark, sf), _measured(spark, sf), _RD).select("host", "round_id", "pos", "accepted", "confidence")
 
 
 @query(f"WITH {SIG} SELECT host, round_id, s % 2 <> 0 AS replaced FROM dd WHERE s % 17 <> 0")

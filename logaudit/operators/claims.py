@@ -37,9 +37,9 @@ def catalogue(entries: DataFrame, keys: tuple[str, ...] = ("round_id",)) -> Data
 
 
 def measured(signals: DataFrame, findings: DataFrame, keys: tuple[str, ...] = ("round_id",)) -> DataFrame:
-    """Distinct numbers of a round: its signals' values and those in its findings' titles."""
+    """Distinct numbers of a round: its signals' values and those in its findings' titles and details."""
     values = signals.where("value_num is not null").select(*keys, F.col("value_num").alias("number"))
-    said = findings.select(*keys, F.explode(numbers(F.col("title"))).alias("number"))
+    said = findings.select(*keys, F.explode(numbers(F.concat_ws(" ", "title", "detail"))).alias("number"))
     return values.union(said).distinct()
 
 
@@ -87,14 +87,19 @@ def verify(claims: DataFrame, known: DataFrame, numbers_of_round: DataFrame, key
     )
 
 
-def headline(findings: DataFrame, keys: tuple[str, ...] = ("host", "round_id")) -> DataFrame:
-    """Severity of a round and a headline of its findings: counts from the most severe down, and the first title."""
+def headline(findings: DataFrame, keys: tuple[str, ...] = ("host", "round_id"), rounds: DataFrame | None = None) -> DataFrame:
+    """Severity of a round and a headline of its findings: counts from the most severe down, and the first title. With
+    ``rounds`` (their keys), a round without findings has the least severity and says so."""
     first = F.min_by("title", F.struct(-F.col("severity"), "rule", "title"))
     counts = [F.count_if(F.col("severity") == level).alias(f"_n{level}") for level in (3, 2, 1)]
     rows = findings.groupBy(*keys).agg(F.max("severity").alias("severity"), first.alias("_title"), *counts)
     names = {3: "critical", 2: "warning", 1: "info"}
     parts = [F.when(F.col(f"_n{level}") > 0, F.concat(F.col(f"_n{level}").cast("string"), F.lit(f" {name}"))) for level, name in names.items()]
-    return rows.select(*keys, "severity", F.concat(F.concat_ws(", ", *parts), F.lit(": "), F.col("_title")).alias("headline"))
+    out = rows.select(*keys, "severity", F.concat(F.concat_ws(", ", *parts), F.lit(": "), F.col("_title")).alias("headline"))
+    if rounds is None:
+        return out
+    every = rounds.select(*keys).distinct().join(out, list(keys), "left")
+    return every.select(*keys, F.coalesce("severity", F.lit(1)).alias("severity"), F.coalesce("headline", F.lit("nothing to report")).alias("headline"))
 
 
 def verify_headlines(completions: DataFrame, known: DataFrame, fallback: DataFrame, keys: tuple[str, ...] = ("round_id",)) -> DataFrame:
