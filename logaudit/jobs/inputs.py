@@ -25,6 +25,46 @@ EV = """ev AS (
   event_id % 97 <> 0 AND event_id % 101 <> 0 AS good
  FROM events)"""
 
+#: Signals of a host and day: name, kind, labels, value (a number of metrics, else a text), and on which days there is one.
+SIGNAL_ROWS = (
+    ("failures_total", "metric", "jail=mail-jail", "CASE WHEN s % 5 = 0 THEN ne * 7 ELSE ne END", ""),
+    ("messages_sent", "metric", "container=mail", "CASE WHEN s % 7 = 0 THEN np * 9 ELSE np END", "s % 11 <> 0"),
+    ("queue_depth", "metric", "", "nc % 4 + CASE WHEN s % 9 = 0 THEN 50 ELSE 0 END", "s % 6 <> 0"),
+    ("uncounted", "metric", "jail=mail-jail", "CASE WHEN s % 3 = 0 THEN ne ELSE 0 END", ""),
+    ("engine_drift", "metric", "jail=mail-jail", "ns - nv", ""),
+    ("disk_used_percent", "metric", "", "80 + n % 20", ""),
+    ("disk_available_bytes", "metric", "", "1000 + s % 3000", ""),
+    ("cert_days_left", "metric", "", "s % 60 - 3", ""),
+    ("total_failed", "metric", "jail=mail-jail", "s % 1000", ""),
+    ("restart_count", "metric", "container=mail", "s % 3", ""),
+    ("engine_restarts", "metric", "", "CASE WHEN s % 8 = 0 THEN 1 ELSE 0 END", ""),
+    ("filter_as_expected", "state", "jail=mail-jail", "CASE WHEN s % 4 = 0 THEN 'false' ELSE 'true' END", ""),
+    ("logging_healthy", "state", "container=box", "CASE WHEN s % 10 = 0 THEN 'false' ELSE 'true' END", ""),
+    ("config_digest", "state", "file=filter.d/mail-jail.conf", "CAST(CAST(floor(n / 40) AS BIGINT) AS STRING)", ""),
+    ("observed", "metric", "jail=mail-jail", "ne", ""),
+    ("matched", "metric", "jail=mail-jail", "CASE WHEN s % 3 = 0 THEN 0 ELSE ne END", ""),
+    ("found", "metric", "jail=mail-jail", "ns", "s % 4 <> 0"),
+    ("uncounted_by_service", "metric", "jail=mail-jail,service=smtpd", "CASE WHEN s % 3 = 0 THEN ne - floor(ne / 2) ELSE 0 END", ""),
+    ("uncounted_by_service", "metric", "jail=mail-jail,service=smtps/smtpd", "CASE WHEN s % 6 = 0 THEN floor(ne / 2) ELSE 0 END", ""),
+    ("disk_inodes_percent", "metric", "", "85 + s % 15", ""),
+    ("filter_declared", "state", "jail=mail-jail", "CASE WHEN s % 4 = 0 THEN 'other' ELSE 'mail-jail' END", ""),
+    ("filter_file_present", "state", "jail=mail-jail", "CASE WHEN s % 14 = 0 THEN 'false' ELSE 'true' END", ""),
+    ("started_at", "state", "container=mail", "CASE WHEN s % 5 = 0 THEN round_id || ' 06:00:00' ELSE '2023-01-01 00:00:00' END", ""),
+    ("certificate", "error", "", "NULL", "s % 13 = 0"),
+)
+
+
+def _signal(name: str, kind: str, label: str, value: str, when: str) -> str:
+    number, text = (value, "NULL") if kind == "metric" else ("NULL", value)
+    return f"'{name}' AS name, '{kind}' AS kind, '{label}' AS label, CAST({number} AS DOUBLE) AS value_num, CAST({text} AS STRING) AS value_text"
+
+
+_UNION = " UNION ALL ".join(f"SELECT host, day, round_id, {_signal(*r)} FROM dd" + (f" WHERE {r[4]}" if r[4] else "") for r in SIGNAL_ROWS)
+#: The same in one pass over the days, as Spark alone can write it.
+_INLINE = "SELECT host, day, round_id, name, kind, label, value_num, value_text FROM dd LATERAL VIEW inline(array(" + ", ".join(
+    f"struct({r[4] or 'true'} AS there, {_signal(*r)})" for r in SIGNAL_ROWS
+) + ")) x WHERE there"
+
 #: Signals of every host and day, and days on which some of them are silent.
 SIG = (
     EV
@@ -34,33 +74,7 @@ SIG = (
   count(*) FILTER (WHERE event_type = 'purchase') AS np, count(*) FILTER (WHERE event_type = 'view') AS nv,
   count(*) FILTER (WHERE event_type = 'click') AS nc
  FROM ev GROUP BY host, day, round_id),
- sig AS (
- SELECT host, day, round_id, name, kind, label, value_num, CAST(value_text AS STRING) AS value_text FROM (
-  SELECT host, day, round_id, 'failures_total' AS name, 'metric' AS kind, 'jail=mail-jail' AS label,
-   CAST(CASE WHEN s % 5 = 0 THEN ne * 7 ELSE ne END AS DOUBLE) AS value_num, NULL AS value_text FROM dd
-  UNION ALL SELECT host, day, round_id, 'messages_sent', 'metric', 'container=mail', CAST(CASE WHEN s % 7 = 0 THEN np * 9 ELSE np END AS DOUBLE), NULL FROM dd WHERE s % 11 <> 0
-  UNION ALL SELECT host, day, round_id, 'queue_depth', 'metric', '', CAST(nc % 4 + CASE WHEN s % 9 = 0 THEN 50 ELSE 0 END AS DOUBLE), NULL FROM dd WHERE s % 6 <> 0
-  UNION ALL SELECT host, day, round_id, 'uncounted', 'metric', 'jail=mail-jail', CAST(CASE WHEN s % 3 = 0 THEN ne ELSE 0 END AS DOUBLE), NULL FROM dd
-  UNION ALL SELECT host, day, round_id, 'engine_drift', 'metric', 'jail=mail-jail', CAST(ns - nv AS DOUBLE), NULL FROM dd
-  UNION ALL SELECT host, day, round_id, 'disk_used_percent', 'metric', '', CAST(80 + n % 20 AS DOUBLE), NULL FROM dd
-  UNION ALL SELECT host, day, round_id, 'disk_available_bytes', 'metric', '', CAST(1000 + s % 3000 AS DOUBLE), NULL FROM dd
-  UNION ALL SELECT host, day, round_id, 'cert_days_left', 'metric', '', CAST(s % 60 - 3 AS DOUBLE), NULL FROM dd
-  UNION ALL SELECT host, day, round_id, 'total_failed', 'metric', 'jail=mail-jail', CAST(s % 1000 AS DOUBLE), NULL FROM dd
-  UNION ALL SELECT host, day, round_id, 'restart_count', 'metric', 'container=mail', CAST(s % 3 AS DOUBLE), NULL FROM dd
-  UNION ALL SELECT host, day, round_id, 'engine_restarts', 'metric', '', CAST(CASE WHEN s % 8 = 0 THEN 1 ELSE 0 END AS DOUBLE), NULL FROM dd
-  UNION ALL SELECT host, day, round_id, 'filter_as_expected', 'state', 'jail=mail-jail', CAST(NULL AS DOUBLE), CASE WHEN s % 4 = 0 THEN 'false' ELSE 'true' END FROM dd
-  UNION ALL SELECT host, day, round_id, 'logging_healthy', 'state', 'container=box', CAST(NULL AS DOUBLE), CASE WHEN s % 10 = 0 THEN 'false' ELSE 'true' END FROM dd
-  UNION ALL SELECT host, day, round_id, 'config_digest', 'state', 'file=filter.d/mail-jail.conf', CAST(NULL AS DOUBLE), CAST(CAST(floor(n / 40) AS BIGINT) AS STRING) FROM dd
-  UNION ALL SELECT host, day, round_id, 'observed', 'metric', 'jail=mail-jail', CAST(ne AS DOUBLE), NULL FROM dd
-  UNION ALL SELECT host, day, round_id, 'matched', 'metric', 'jail=mail-jail', CAST(CASE WHEN s % 3 = 0 THEN 0 ELSE ne END AS DOUBLE), NULL FROM dd
-  UNION ALL SELECT host, day, round_id, 'found', 'metric', 'jail=mail-jail', CAST(ns AS DOUBLE), NULL FROM dd WHERE s % 4 <> 0
-  UNION ALL SELECT host, day, round_id, 'uncounted_by_service', 'metric', 'jail=mail-jail,service=smtpd', CAST(CASE WHEN s % 3 = 0 THEN ne - floor(ne / 2) ELSE 0 END AS DOUBLE), NULL FROM dd
-  UNION ALL SELECT host, day, round_id, 'uncounted_by_service', 'metric', 'jail=mail-jail,service=smtps/smtpd', CAST(CASE WHEN s % 6 = 0 THEN floor(ne / 2) ELSE 0 END AS DOUBLE), NULL FROM dd
-  UNION ALL SELECT host, day, round_id, 'disk_inodes_percent', 'metric', '', CAST(85 + s % 15 AS DOUBLE), NULL FROM dd
-  UNION ALL SELECT host, day, round_id, 'filter_declared', 'state', 'jail=mail-jail', CAST(NULL AS DOUBLE), CASE WHEN s % 4 = 0 THEN 'other' ELSE 'mail-jail' END FROM dd
-  UNION ALL SELECT host, day, round_id, 'filter_file_present', 'state', 'jail=mail-jail', CAST(NULL AS DOUBLE), CASE WHEN s % 14 = 0 THEN 'false' ELSE 'true' END FROM dd
-  UNION ALL SELECT host, day, round_id, 'started_at', 'state', 'container=mail', CAST(NULL AS DOUBLE), CASE WHEN s % 5 = 0 THEN round_id || ' 06:00:00' ELSE '2023-01-01 00:00:00' END FROM dd
-  UNION ALL SELECT host, day, round_id, 'certificate', 'error', '', CAST(NULL AS DOUBLE), NULL FROM dd WHERE s % 13 = 0) q)"""
+ sig AS (SELECT host, day, round_id, name, kind, label, value_num, value_text FROM (""" + _UNION + """) q)"""
 )
 
 
@@ -68,7 +82,7 @@ def run_sql(spark: SparkSession, sf: str, ctes: str, select: str, tables: tuple[
     """A query of the common dialect over tables of a folder."""
     for t in tables:
         spark.read.parquet(f"{sf}/{t}.parquet").createOrReplaceTempView(t)
-    return spark.sql(f"WITH {ctes} {select}")
+    return spark.sql(f"WITH {ctes.replace(_UNION, _INLINE)} {select}")
 
 
 def events(spark: SparkSession, sf: str) -> DataFrame:
