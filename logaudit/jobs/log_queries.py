@@ -255,14 +255,21 @@ def engine_drift(spark, sf):
     return _counts(spark, sf).where(F.abs("drift") >= 5).select("host", "jail", "round_id", "drift")
 
 
-@query(f"WITH {_O} SELECT host, round_id, 'fail2ban.uncounted_failures' AS rule, 3 AS severity, CAST(count(*) FILTER (WHERE NOT is_matched) AS STRING) || ' failures would not be counted' AS title, 'uncounted{{jail=' || jail || '}}' AS key FROM o GROUP BY host, jail, round_id HAVING count(*) FILTER (WHERE NOT is_matched) > 0")
+_BLIND = f"""{_O}, es AS (SELECT host, round_id, jail, service, count(*) AS n, count(*) FILTER (WHERE NOT is_matched) AS missed, min(line_no) FILTER (WHERE NOT is_matched) AS line FROM o GROUP BY ALL),
+ ej AS (SELECT host, round_id, jail, sum(n) AS n, sum(missed) AS missed, string_agg(service, ', ' ORDER BY service) FILTER (WHERE missed > 0) AS services, string_agg(service || ': ' || missed, ', ' ORDER BY service) FILTER (WHERE missed > 0) AS counts, string_agg(CAST(line AS STRING), ' ' ORDER BY service) FILTER (WHERE missed > 0) AS lines FROM es GROUP BY ALL)
+ SELECT host, round_id, 'fail2ban.uncounted_failures' AS rule, 3 AS severity, CAST(missed AS BIGINT) || ' failures would not be counted on ' || services AS title, 'uncounted{{jail=' || jail || '}}' AS key,
+  jail || ': ' || CAST(missed AS BIGINT) || ' of ' || CAST(n AS BIGINT) || ' failures match no filter; coverage ' || CAST(floor(round((n - missed) / n, 4) * 100) AS BIGINT) || ' percent; by service: ' || counts || '; matched lines ' || CAST(n - missed AS BIGINT) || ', filter tool ?, engine ?' AS detail, lines
+ FROM ej WHERE missed > 0"""
+
+
+@query(f"WITH {_BLIND}")
 def uncounted_failures(spark, sf):
     from logaudit.operators import rules
 
-    counts = C.coverage(_observed(spark, sf), ["host", "jail", "round_id"])
-    labels = F.create_map(F.lit("jail"), F.col("jail"))
-    signals = counts.select("host", "round_id", F.lit("uncounted").alias("name"), F.col("uncounted").cast("double").alias("value_num"), labels.alias("labels"), X.series_key(F.lit("uncounted"), labels).alias("key"))
-    return rules.uncounted_failures(signals).select("host", "round_id", "rule", "severity", "title", "key")
+    signals = tables.cut(C.coverage_signals(_observed(spark, sf)), "coverage")
+    found = rules.uncounted_failures(signals, quoted=rules.siblings(signals))
+    lines = F.array_join(F.transform("evidence", lambda e: e["line_no"].cast("string")), " ")
+    return found.select("host", "round_id", "rule", "severity", "title", "key", "detail", lines.alias("lines"))
 
 
 @query(f"WITH {EV} SELECT host, container, CASE WHEN container = 'box' THEN 'error' ELSE 'state' END AS kind FROM ev GROUP BY ALL")

@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from logaudit.functions.text import series_key
+from logaudit.schemas import EVIDENCE
+
 # The ban engine's host tokens, and what stands for an address.
 ADDRESS = r"(?:::f{4,6}:)?[0-9a-zA-Z:.\-]+"
 TOKENS = {"<HOST>": ADDRESS, "<ADDR>": ADDRESS, "<IP>": ADDRESS, "<CIDR>": ADDRESS, "<SUBNET>": ADDRESS, "<DNS>": r"[0-9a-zA-Z.\-]+"}
@@ -148,3 +151,25 @@ def replay_counters(events: DataFrame, since, until) -> DataFrame:
     now = banned.groupBy("host", "jail").agg(F.count("*").alias("currently_banned"))
     out = total.join(now, ["host", "jail"], "left").join(failing, ["host", "jail"], "left")
     return out.na.fill(0, ["currently_banned", "currently_failed"])
+
+
+def coverage_signals(observed: DataFrame, by: tuple[str, ...] = ("host", "round_id", "jail")) -> DataFrame:
+    """Observed failures (``service, is_matched, line_no, message``) as signals of each jail: how many were observed, match a
+    filter and don't, the ratio, and for each service how many don't, with its first such line as evidence. Counted by
+    service once; a jail's sums come from those."""
+    line = F.struct(F.lit("log").alias("kind"), F.col("jail").alias("ref"), F.left("message", F.lit(200)).alias("excerpt"), F.col("line_no").cast("bigint").alias("line_no"))
+    missed = ~F.col("is_matched")
+    each = observed.groupBy(*by, "service").agg(
+        F.count("*").alias("n"), F.count_if(missed).alias("missed"), F.min_by(F.when(missed, line), F.when(missed, F.col("line_no"))).alias("first")
+    )
+    entry = lambda name, value, labels, evidence: F.struct(F.lit(name).alias("name"), value.cast("double").alias("value_num"), labels.alias("labels"), evidence.alias("evidence"))
+    jail, none = F.create_map(F.lit("jail"), F.col("jail")), F.lit(None).cast(EVIDENCE)
+    service = F.create_map(F.lit("jail"), F.col("jail"), F.lit("service"), F.col("service"))
+    some = F.when(F.col("first").isNotNull(), F.array("first"))
+    of_service = each.select(*by, entry("uncounted_by_service", F.col("missed"), service, some).alias("x"))
+    sums = each.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("missed").alias("missed"))
+    matched = F.col("n") - F.col("missed")
+    values = {"observed": F.col("n"), "matched": matched, "uncounted": F.col("missed"), "coverage_ratio": F.round(matched / F.col("n"), 4)}
+    of_jail = sums.select(*by, F.explode(F.array(*[entry(k, v, jail, none) for k, v in values.items()])).alias("x"))
+    rows = of_service.unionByName(of_jail).select(*[c for c in by if c != "jail"], "x.*")
+    return rows.withColumns({"kind": F.lit("metric"), "key": series_key(F.col("name"), F.col("labels"))})

@@ -169,3 +169,41 @@ def test_placeholders_never_run_into_real_addresses_and_fill_texts(spark):
     assert {r.original: r.replacement for r in mapping.collect()} == {"9.9.9.9": "192.0.2.5", "8.8.8.8": "192.0.2.6", "2607:f8b0::1": "192.0.2.7"}
     texts = spark.createDataFrame([("from 8.8.8.8 and 9.9.9.9 to 2607:f8b0::1, 10.0.0.1",), ("none",), (None,)], "text string")
     assert {r.text for r in redact.with_placeholders(texts, mapping).collect()} == {"from 192.0.2.6 and 192.0.2.5 to 192.0.2.7, 10.0.0.1", "none", None}
+
+
+def test_rules_quote_their_siblings(spark):
+    line = ("log", "mail", "x", 7)
+    rows = [
+        ("uncounted", {"jail": "j"}, 5.0, [line]), ("observed", {"jail": "j"}, 8.0, None), ("coverage_ratio", {"jail": "j"}, 0.375, None), ("found", {"jail": "other"}, 99.0, None),
+        ("uncounted_by_service", {"jail": "j", "service": "b/c"}, 3.0, [line, ("log", "mail", "y", 9)]), ("uncounted_by_service", {"jail": "j", "service": "a"}, 2.0, None),
+        ("uncounted_by_service", {"jail": "j", "service": "none"}, 0.0, None), ("uncounted_by_service", {"jail": "jj", "service": "z"}, 4.0, None), ("uncounted", {"jail": "alone"}, 1.0, None),
+    ]
+    data = [("h", "r", n, lab, v, e, n + "{" + ",".join(f"{k}={x}" for k, x in sorted(lab.items())) + "}") for n, lab, v, e in rows]
+    s = spark.createDataFrame(data, "host string, round_id string, name string, labels map<string,string>, value_num double, evidence array<struct<kind:string,ref:string,excerpt:string,line_no:bigint>>, key string")
+    found = {r.labels["jail"]: r for r in R.uncounted_failures(s, quoted=R.siblings(s)).collect()}
+    r = found["j"]
+    assert r.title == "5 failures would not be counted on a, b/c"
+    assert r.detail == "j: 5 of 8 failures match no filter; coverage 37 percent; by service: a: 2, b/c: 3; matched lines ?, filter tool ?, engine ?"
+    assert [e.line_no for e in r.evidence] == [7, 9] and r.signal_keys == ["uncounted{jail=j}", "uncounted_by_service{jail=j,service=a}", "uncounted_by_service{jail=j,service=b/c}"]
+    assert found["alone"].title == "1 failures would not be counted" and found["alone"].evidence == []
+
+
+@pytest.mark.parametrize("hours, stale", [(72, False), (73, True)])
+def test_old_baselines_and_restarts_are_told(spark, hours, stale):
+    s = signals(spark, (1, 0, "failures_total", 1.0, None, {}), (2, hours, "failures_total", 50.0, None, {}), (1, 0, "total_failed", 9.0, None, {}), (2, hours, "total_failed", 2.0, None, {}))
+    s = s.unionByName(signals(spark, (2, hours, "engine_restarts", 3.0, None, {})).withColumn("key", F.lit("engine_restarts")))
+    known, quoted = H.with_previous(s), R.siblings(s)
+    spike, reset = R.rate_spike(known, quoted=quoted).first(), R.counter_reset(known, quoted=quoted).first()
+    assert spike.detail.endswith("grew by 49, over 50 times") and ("more than 3 windows" in spike.baseline) is stale
+    assert reset.detail == "9 to 2: it started anew; the engine started 3 times in the window"
+    import json
+
+    told = json.loads(R.as_json(R.rate_spike(known, quoted=quoted)).first().json)
+    assert told["severity"] == "warning" and told["labels"] == {} and "evidence" not in told and told["baseline"] == spike.baseline
+
+
+def test_findings_of_signals_without_siblings_or_rows(spark):
+    s = signals(spark, (1, 0, "uncounted", 2.0, None, {"jail": "j"}))
+    assert R.uncounted_failures(s).first().title == "2 failures would not be counted"
+    assert R.uncounted_failures(s, quoted=R.siblings(s)).first().detail.startswith("j: 2 of ? failures")
+    assert R.siblings(s.where("false")).count() == 0
