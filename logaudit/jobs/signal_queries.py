@@ -10,6 +10,7 @@ from logaudit.jobs.inputs import EV, SIG
 from logaudit.operators import claims as V
 from logaudit.operators import correlate as K
 from logaudit.operators import history as H
+from logaudit.operators import history_store as W
 from logaudit.operators import leaks, notify, redact, suppression, wiring
 from logaudit.operators import rules as R
 from logaudit.sources import intake, tables
@@ -44,16 +45,42 @@ def _known(spark, sf):
 # History
 
 
-@query(f"WITH {_P} SELECT host, round_id, key, prev_num, prev_text FROM p")
+#: History as it is stored: rounds of host0 were written a second time, with other rows.
+_STORED = _K + ", st AS (SELECT host, day, round_id, key, kind, value_num, value_text FROM k WHERE host <> 'host0' UNION ALL SELECT host, day, round_id, key, kind, value_num + 1, value_text FROM k WHERE host = 'host0' AND value_num > 20)"
+
+
+def _stored(spark, sf):
+    """A stored history: a batch of all rounds, one of some rounds again, the second one twice, then days compacted."""
+    path, signals = tables.new_path(spark, "history"), I.signals(spark, sf)
+    again = signals.where("host = 'host0' and value_num > 20").withColumn("value_num", F.col("value_num") + 1)
+    W.record(signals, path, 1)
+    W.record(again, path, 2)
+    W.compact(spark, path, "2024-01-05")
+    W.record(again, path, 2)
+    W.compact(spark, path, "2024-01-06")
+    return path
+
+
+@query(f"WITH {_STORED} SELECT host, round_id, key, lag(value_num) OVER w AS prev_num, lag(value_text) OVER w AS prev_text FROM st WINDOW w AS (PARTITION BY host, key ORDER BY day)")
 def replay_rounds(spark, sf):
-    return _known(spark, sf).select("host", "round_id", "key", F.col("prev.value_num").alias("prev_num"), F.col("prev.value_text").alias("prev_text"))
+    seen = H.with_previous(W.read(spark, _stored(spark, sf)))
+    return seen.select("host", "round_id", "key", F.col("prev.value_num").alias("prev_num"), F.col("prev.value_text").alias("prev_text"))
 
 
-@query("WITH d AS (SELECT l_suppkey AS s, l_shipdate AS t, max(l_quantity) AS q FROM lineitem GROUP BY ALL), p AS (SELECT s, t, lag(q) OVER (PARTITION BY s ORDER BY t) AS prev FROM d) SELECT l_suppkey AS supplier, count(*) AS rows, count(prev) AS with_previous, sum(prev) AS total FROM lineitem JOIN p ON s = l_suppkey AND t = l_shipdate GROUP BY ALL")
+@query("SELECT 'h' || s_nationkey % 5 AS host, 'capture-' || s_suppkey % 50 || '-' || s_suppkey AS name, row_number() OVER (PARTITION BY s_nationkey % 5 ORDER BY CASE WHEN s_suppkey % 3 = 0 THEN 'capture-' || s_suppkey % 50 || '-' || s_suppkey ELSE '2024-01-' || (10 + s_suppkey % 7) END, 'capture-' || s_suppkey % 50 || '-' || s_suppkey)::INTEGER AS pos FROM supplier")
+def capture_order(spark, sf):
+    n = F.col("s_suppkey")
+    name = F.concat(F.lit("capture-"), (n % 50).cast("string"), F.lit("-"), n.cast("string"))
+    at = F.when(n % 3 == 0, F.when(n % 2 == 0, " ")).otherwise(F.concat(F.lit("2024-01-"), (n % 7 + 10).cast("string")))
+    rows = spark.read.parquet(f"{sf}/supplier.parquet").select(F.concat(F.lit("h"), (F.col("s_nationkey") % 5).cast("string")).alias("host"), name.alias("name"), at.alias("as_of"))
+    return W.in_order(rows).select("host", "name", "pos")
+
+
+@query("WITH d AS (SELECT l_suppkey AS s, l_shipdate AS t, max(l_quantity) AS q FROM lineitem GROUP BY ALL), p AS (SELECT s, t, lag(q) OVER (PARTITION BY s ORDER BY t) AS prev FROM d) SELECT l_orderkey AS id, l_linenumber AS line, l_suppkey AS supplier, prev FROM lineitem JOIN p ON s = l_suppkey AND t = l_shipdate")
 def asof_previous(spark, sf):
-    rows = spark.read.parquet(f"{sf}/lineitem.parquet").select(F.col("l_suppkey").alias("supplier"), F.col("l_shipdate").cast("timestamp").alias("observed_at"), F.col("l_quantity").alias("value_num"))
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("supplier"), F.col("l_shipdate").cast("timestamp").alias("observed_at"), F.col("l_quantity").alias("value_num"))
     seen = H.with_previous(rows, ("value_num",), ("supplier",))
-    return seen.groupBy("supplier").agg(F.count("*").alias("rows"), F.count("prev.value_num").alias("with_previous"), F.sum("prev.value_num").alias("total"))
+    return seen.select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), "supplier", F.col("prev.value_num").alias("prev"))
 
 
 @query(f"WITH {_K}, r AS (SELECT host, key, round_id, row_number() OVER (PARTITION BY host, key ORDER BY day DESC) AS pos FROM k) SELECT * FROM r WHERE pos <= 24")
@@ -61,11 +88,14 @@ def key_history(spark, sf):
     return H.last_n(I.signals(spark, sf)).select("host", "key", "round_id", "pos")
 
 
-@query(f"WITH {_K}, w AS (SELECT host, round_id, key, value_num, 1 AS seq FROM k UNION ALL SELECT host, round_id, key, value_num + 1, 2 FROM k WHERE value_num > 20), o AS (SELECT *, row_number() OVER (PARTITION BY host, round_id, key ORDER BY seq DESC) AS r FROM w) SELECT host, round_id, key, value_num FROM o WHERE r = 1")
+@query(f"WITH {_STORED} SELECT host, round_id, key, value_num FROM st")
 def history_append(spark, sf):
-    s = I.signals(spark, sf).select("host", "round_id", "key", "value_num")
-    again = s.where("value_num > 20").select("host", "round_id", "key", (F.col("value_num") + 1).alias("value_num"), F.lit(2).alias("seq"))
-    return H.last_write(s.withColumn("seq", F.lit(1)).unionByName(again)).select("host", "round_id", "key", "value_num")
+    return W.read(spark, _stored(spark, sf)).select("host", "round_id", "key", "value_num")
+
+
+@query(f"WITH {_STORED} SELECT host, round_id, count(*) AS signals, count(*) FILTER (WHERE kind = 'error') AS errors FROM st GROUP BY ALL")
+def stored_rounds(spark, sf):
+    return W.rounds(spark, _stored(spark, sf)).select("host", "round_id", "signals", "errors")
 
 
 _SILENT = _K + ", rs AS (SELECT DISTINCT host, day, round_id FROM dd), ks AS (SELECT DISTINCT host, key, day FROM k), silent AS (SELECT rs.host, rs.round_id, ks.key FROM rs JOIN ks ON ks.host = rs.host AND ks.day = rs.day - 1 WHERE NOT EXISTS (SELECT 1 FROM ks c WHERE c.host = rs.host AND c.key = ks.key AND c.day = rs.day))"

@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from logaudit.operators import suppression
+from logaudit.operators import history_store, suppression
 from logaudit.sources import tables
 
 T0 = dt.datetime(2026, 8, 1)
@@ -88,3 +88,37 @@ def test_a_write_that_failed_half_way_leaves_the_table_as_it_was(spark, tmp_path
     assert sorted(map(tuple, tables.read(spark, path, kind, ["batch"]).collect())) == [(1, "a"), (2, "b")]
     tables.put(spark.createDataFrame([(9, "a")], kind), path, kind, ["batch"])
     assert sorted(map(tuple, tables.read(spark, path, kind, ["batch"]).collect())) == [(2, "b"), (9, "a")]
+
+
+# History
+
+
+def observed(spark, rows):
+    """(round, key, value) of day 1 + round // 10"""
+    data = [("h", f"r{r}", T0 + dt.timedelta(days=r // 10), k, "metric", float(v)) for r, k, v in rows]
+    return spark.createDataFrame(data, "host string, round_id string, as_of timestamp, key string, kind string, value_num double")
+
+
+def held(spark, path, days=None):
+    return sorted((r.round_id, r.key, r.value_num) for r in history_store.read(spark, path, days).collect())
+
+
+def test_a_rewritten_round_replaces_its_rows(spark, tmp_path):
+    path = str(tmp_path / "h")
+    assert held(spark, path) == []
+    history_store.record(observed(spark, [(1, "a", 1), (1, "b", 2), (2, "a", 3), (11, "a", 4), (2, "a", 9)]), path, 1)
+    assert held(spark, path) == [("r1", "a", 1), ("r1", "b", 2), ("r11", "a", 4), ("r2", "a", 9)]
+    for _ in range(2):
+        history_store.record(observed(spark, [(1, "a", 5)]), path, 2)
+        assert held(spark, path) == [("r1", "a", 5), ("r11", "a", 4), ("r2", "a", 9)]
+    before = held(spark, path)
+    for day in ("2026-08-01", "2026-08-02", "2026-08-09"):
+        history_store.compact(spark, path, day)
+        history_store.compact(spark, path, day)
+        assert held(spark, path) == before
+    assert {(r.day, r.batch[-1]) for r in history_store.obsolete(spark, path).collect()} == {("2026-08-01", "1"), ("2026-08-01", "2"), ("2026-08-02", "1")}
+    history_store.record(observed(spark, [(1, "a", 5)]), path, 2)  # a batch that a compaction holds already
+    assert held(spark, path) == before
+    history_store.record(observed(spark, [(2, "z", 7)]), path, 3)
+    assert held(spark, path) == [("r1", "a", 5), ("r11", "a", 4), ("r2", "z", 7)] and held(spark, path, ("2026-08-02", "2026-08-02")) == [("r11", "a", 4)]
+    assert history_store.rounds(spark, path).where("round_id = 'r2'").first().signals == 1
