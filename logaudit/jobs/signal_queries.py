@@ -629,9 +629,34 @@ def notification_ledger(spark, sf):
     return suppression.read_ledger(spark, path).select("sink", "digest", F.date_format("sent_at", "yyyy-MM-dd HH:mm:ss").alias("sent_at"), "batch")
 
 
-@query()
+MOST = 190
+_CLAIMED = "cl AS (SELECT host, round_id, dd.s, pos, CASE pos WHEN 0 THEN ne || ' failures were seen' WHEN 1 THEN np || ' failures were seen' WHEN 3 THEN 'port 587654 may be open' WHEN 4 THEN 'someone tries names' END AS text, CASE pos WHEN 0 THEN true WHEN 1 THEN np = ne OR EXISTS (SELECT 1 FROM mm WHERE mm.host = dd.host AND mm.round_id = dd.round_id AND mm.v = dd.np) WHEN 3 THEN true WHEN 4 THEN true ELSE false END AS ok, pos > 2 OR (pos = 1 AND np <> ne) AS guess FROM dd, range(0, 7) r(pos) WHERE s % 17 <> 0)"
+#: Blocks of each round in order; a correlation is printed once, so each block depends on those before it.
+_TOLD_BLOCKS = """fo AS (SELECT fi.*, co.told, row_number() OVER (PARTITION BY fi.host, fi.round_id ORDER BY severity DESC, fi.rule, fi.title, fi.key) AS pos FROM fi JOIN co ON co.host = fi.host AND co.round_id = fi.round_id AND co.rule = fi.rule AND co.key = fi.key),
+ fr AS (SELECT host, round_id, pos, coalesce(list_slice(told, 1, 2), []) AS fresh, coalesce(list_slice(told, 1, 2), []) AS seen FROM fo WHERE pos = 1
+  UNION ALL SELECT fo.host, fo.round_id, fo.pos, coalesce(list_slice(list_filter(fo.told, lambda x: NOT list_contains(fr.seen, x)), 1, 2), []), list_concat(fr.seen, coalesce(list_slice(list_filter(fo.told, lambda x: NOT list_contains(fr.seen, x)), 1, 2), [])) FROM fr JOIN fo ON fo.host = fr.host AND fo.round_id = fr.round_id AND fo.pos = fr.pos + 1),
+ bl AS (SELECT fo.host, fo.round_id, fo.pos, CASE severity WHEN 3 THEN 'CRITICAL ' WHEN 2 THEN 'WARNING ' ELSE 'INFO ' END || title || coalesce(chr(10) || '> baseline ' || baseline, '') || array_to_string(list_transform(fresh, lambda x: chr(10) || '> alongside ' || x), '') AS block FROM fo JOIN fr USING (host, round_id, pos)
+  UNION ALL SELECT host, round_id, 1000, 'Triage, as the model reads the findings above' || chr(10) || string_agg(CASE WHEN guess THEN '- Hypothesis: ' ELSE '- ' END || text, chr(10) ORDER BY pos) FROM cl WHERE ok GROUP BY ALL
+  UNION ALL SELECT dd.host, dd.round_id, 1001, CASE WHEN dd.s % 17 = 0 THEN 'Written from the rules: no model could be asked' ELSE (SELECT count(*) FROM cl WHERE cl.host = dd.host AND cl.round_id = dd.round_id AND NOT ok) || ' claims dropped for lack of evidence' END FROM dd)"""
+#: The cut: leading blocks while they fit, else leading lines of the first, else its first line cut.
+_CUT = f"""ru AS (SELECT *, sum(length(block) + 2) OVER w - 2 AS used, row_number() OVER w AS k FROM bl WINDOW w AS (PARTITION BY host, round_id ORDER BY pos)),
+ bs AS (SELECT host, round_id, max(used) AS whole, string_agg(block, chr(10) || chr(10) ORDER BY pos) FILTER (WHERE used <= {MOST}) AS kept, max(used) FILTER (WHERE used <= {MOST}) AS n, max(block) FILTER (WHERE k = 1) AS first FROM ru GROUP BY ALL),
+ ls AS (SELECT host, round_id, i, line, sum(length(line) + 1) OVER (PARTITION BY host, round_id ORDER BY i) - 1 AS used FROM (SELECT host, round_id, unnest(string_split(first, chr(10))) AS line, generate_subscripts(string_split(first, chr(10)), 1) AS i FROM bs)),
+ lk AS (SELECT host, round_id, string_agg(line, chr(10) ORDER BY i) FILTER (WHERE used <= {MOST}) AS lines FROM ls GROUP BY ALL),
+ bo AS (SELECT host, round_id, CASE WHEN kept IS NULL THEN coalesce(lines, rtrim(substr(first, 1, {MOST - 3})) || '...') WHEN whole > {MOST} AND n + 2 + {len(notify.TRUNCATED)} <= {MOST} THEN kept || chr(10) || chr(10) || '{notify.TRUNCATED}' ELSE kept END AS body FROM bs JOIN lk USING (host, round_id))"""
+_HEAD = "he AS (SELECT host, round_id, count(*) AS n, concat_ws(', ', CASE WHEN count(*) FILTER (WHERE severity = 3) > 0 THEN count(*) FILTER (WHERE severity = 3) || ' critical' END, CASE WHEN count(*) FILTER (WHERE severity = 2) > 0 THEN count(*) FILTER (WHERE severity = 2) || ' warning' END, CASE WHEN count(*) FILTER (WHERE severity = 1) > 0 THEN count(*) FILTER (WHERE severity = 1) || ' info' END) || ': ' || arg_min(title, struct_pack(s := -severity, r := rule, t := title)) AS headline FROM fi GROUP BY ALL)"
+_MESSAGE = f"WITH RECURSIVE {_CORRELATED}{_MEASURED[len(_FINDINGS):]}, {_CLAIMED}, {_TOLD_BLOCKS}, {_CUT}, {_HEAD}"
+
+
+@query(f"{_MESSAGE} SELECT dd.host, dd.round_id, coalesce(headline, 'nothing to report') AS title, body, coalesce(he.n, 0) || CASE WHEN he.n = 1 THEN ' finding' ELSE ' findings' END || CASE WHEN dd.s % 17 = 0 THEN ', headline from rules' ELSE ', m1' || CASE WHEN dd.s % 2 <> 0 THEN ', headline from rules' ELSE '' END END AS footer FROM dd JOIN bo USING (host, round_id) LEFT JOIN he USING (host, round_id)")
 def fit_message(spark, sf):
-    found = R.ordered(_findings(spark, sf))
+    found = tables.cut(R.ordered(_findings(spark, sf)), "findings")
     containers = I.events(spark, sf).select("jail", "container").distinct()
-    told = K.correlate(found, _changes(spark, sf), containers)
-    return notify.payloads(told, V.headline(found).select("host", "round_id", "headline"), 300)
+    said = _completions(spark, sf)
+    known = _catalogue(spark, sf)
+    checked = V.verify(V.claim_rows(said, _RD), known, V.measured(I.signals(spark, sf), found, _RD), _RD)
+    own = V.headline(found, rounds=I.rounds(spark, sf))
+    asked = V.verify_headlines(said.where("completion is not null"), known, own, _RD).select(*_RD, F.lit("m1").alias("model"), "replaced")
+    sent = notify.payloads(K.correlate(found, _changes(spark, sf), containers), own.drop("severity"), MOST, claims=checked, models=asked)
+    body = F.from_json("payload", "title string, body string, footer string").alias("p")
+    return sent.select("host", "round_id", body).select("host", "round_id", "p.*")

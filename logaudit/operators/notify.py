@@ -23,7 +23,7 @@ def severity_gate(findings: DataFrame, floor: int, keys: tuple[str, ...] = ("hos
     return findings.groupBy(*keys).agg(F.max("severity").alias("severity"), (F.max("severity") >= floor).alias("passes"))
 
 
-def fit(blocks: Column, limit: int) -> Column:
+def fit(blocks: Column, limit: int | Column) -> Column:
     """Blocks joined by blank lines, as many leading ones as fit; then a mark if that fits too. If the first one
     doesn't fit, as many of its lines; if not even its first line, that line cut."""
 
@@ -54,22 +54,64 @@ def fit(blocks: Column, limit: int) -> Column:
 
 
 def blocks(findings: DataFrame, keys: tuple[str, ...] = ("host", "round_id"), fresh: int = 2) -> DataFrame:
-    """A round's findings as blocks of lines in order of ``pos``; a correlation is printed once in a round, and
-    at most two that are new under each finding."""
-    rows = findings.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "severity", "title", "correlations"))).alias("_f"))
+    """A round's findings as blocks of lines in order of ``pos``: severity and title, the baseline if there is one, and at
+    most two correlations that the round hasn't printed yet."""
+    baseline = F.col("baseline") if "baseline" in findings.columns else F.lit(None).cast("string").alias("baseline")
+    rows = findings.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "severity", "title", baseline, "correlations"))).alias("_f"))
     none = F.array().cast("array<string>")
     start = F.struct(none.alias("seen"), none.alias("out"))
 
     def step(acc: Column, f: Column) -> Column:
         new = F.slice(F.array_except(F.coalesce(f["correlations"], none), acc["seen"]), 1, fresh)
         name = F.element_at(F.array(F.lit("INFO"), F.lit("WARNING"), F.lit("CRITICAL")), f["severity"])
-        lines = F.concat(F.array(F.concat(name, F.lit(" "), f["title"])), F.transform(new, lambda c: F.concat(F.lit("> alongside "), c)))
+        past = F.when(f["baseline"].isNotNull(), F.array(F.concat(F.lit("> baseline "), f["baseline"]))).otherwise(none)
+        lines = F.concat(F.array(F.concat(name, F.lit(" "), f["title"])), past, F.transform(new, lambda c: F.concat(F.lit("> alongside "), c)))
         return F.struct(F.concat(acc["seen"], new).alias("seen"), F.concat(acc["out"], F.array(F.array_join(lines, "\n"))).alias("out"))
 
-    return rows.select(*keys, F.aggregate("_f", start, step)["out"].alias("blocks"))
+    return rows.select(*keys, F.size("_f").alias("n"), F.aggregate("_f", start, step)["out"].alias("blocks"))
 
 
-def payloads(findings: DataFrame, headlines: DataFrame, most: int = 4096, keys: tuple[str, ...] = ("host", "round_id")) -> DataFrame:
-    """The message of each round as JSON: a title of at most 256 characters, a body of at most ``most``."""
-    rows = blocks(findings, keys).join(headlines, list(keys))
-    return rows.select(*keys, F.to_json(F.struct(cut(F.col("headline"), 256).alias("title"), fit(F.col("blocks"), min(most, 4096)).alias("body"))).alias("payload"))
+def triage(claims: DataFrame, keys: tuple[str, ...] = ("host", "round_id")) -> DataFrame:
+    """Checked claims (``pos, text, accepted, confidence``) of each round as one block, hypotheses marked as such, and how
+    many were dropped. A round has few claims: ``claims.MOST_CLAIMS``."""
+    mark = F.when(F.col("confidence") == "hypothesis", F.lit("- Hypothesis: ")).otherwise(F.lit("- "))
+    line = F.when(F.col("accepted"), F.struct("pos", F.concat(mark, "text").alias("line")))
+    lines = F.transform(F.array_sort(F.array_compact(F.collect_list(line))), lambda x: x["line"])
+    rows = claims.groupBy(*keys).agg(lines.alias("_l"), F.count_if(~F.col("accepted")).alias("dropped"))
+    head = "Triage, as the model reads the findings above"
+    return rows.select(*keys, F.when(F.size("_l") > 0, F.array_join(F.concat(F.array(F.lit(head)), "_l"), "\n")).alias("triage"), "dropped")
+
+
+def payloads(
+    findings: DataFrame, headlines: DataFrame, most: int = 4096, keys: tuple[str, ...] = ("host", "round_id"),
+    claims: DataFrame | None = None, models: DataFrame | None = None, reserve: tuple[int, int] | None = None,
+) -> DataFrame:
+    """The message of each round with a headline, as JSON: a title of at most 256 characters, a body of at most ``most``
+    (never over 4096) with findings first, then the triage, then a trailer that says what is missing, and a footer.
+
+    What doesn't fit is cut from the end, so measurements outlast the model's words. With ``reserve``, the triage and the
+    trailer may each take so many characters before the findings get the rest, and are cut to these themselves.
+    ``claims`` are checked claims, ``models`` has the keys, ``model`` and ``replaced``, whether the headline is the rules'
+    own (a null model: none could be asked). A round without findings has a body without them.
+    """
+    none = F.array().cast("array<string>")
+    rows = headlines.join(blocks(findings, keys), list(keys), "left")
+    told = triage(claims, keys) if claims is not None else headlines.select(*keys, F.lit(None).cast("string").alias("triage"), F.lit(0).cast("bigint").alias("dropped")).distinct()
+    said = models if models is not None else headlines.select(*keys, F.lit("").alias("model"), F.lit(False).alias("replaced")).distinct()
+    rows = rows.join(told, list(keys), "left").join(said.select(*keys, "model", "replaced"), list(keys), "left")
+    count = F.coalesce("dropped", F.lit(0))
+    lost = F.when(count == 1, "1 claim dropped for lack of evidence").when(count > 1, F.concat(count.cast("string"), F.lit(" claims dropped for lack of evidence")))
+    alone = F.when(F.col("model").isNull(), F.lit("Written from the rules: no model could be asked"))
+    trailer = F.nullif(F.concat_ws("\n", lost, alone), F.lit(""))
+    each = F.coalesce("blocks", none)
+    one = lambda text: F.when(text.isNotNull(), F.array(text)).otherwise(none)
+    limit = min(most, 4096)
+    if reserve is None:
+        body = fit(F.concat(each, one(F.col("triage")), one(trailer)), limit)
+    else:
+        short = [F.when(text.isNotNull(), fit(F.array(text), size)) for text, size in ((F.col("triage"), reserve[0]), (trailer, reserve[1]))]
+        rows = rows.withColumn("_rest", F.array_compact(F.array(*short))).withColumn("_left", F.lit(limit) - F.aggregate("_rest", F.lit(0), lambda a, x: a + F.length(x) + 2))
+        body = F.array_join(F.concat(one(F.nullif(fit(each, F.col("_left")), F.lit(""))), F.col("_rest")), "\n\n")
+    n = F.coalesce("n", F.lit(0))
+    footer = F.concat(n.cast("string"), F.when(n == 1, " finding").otherwise(" findings"), F.when(F.coalesce("model", F.lit("")) != "", F.concat(F.lit(", "), "model")).otherwise(""), F.when(F.col("replaced") | F.col("model").isNull(), ", headline from rules").otherwise(""))
+    return rows.select(*keys, F.to_json(F.struct(cut(F.col("headline"), 256).alias("title"), F.coalesce(body, F.lit("")).alias("body"), footer.alias("footer"))).alias("payload"))
