@@ -6,6 +6,8 @@ are built in Spark alone, and the SQL to match counts on the columns that they w
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,10 +81,12 @@ SIG = (
 
 
 def run_sql(spark: SparkSession, sf: str, ctes: str, select: str, tables: tuple[str, ...] = ("events",)) -> DataFrame:
-    """A query of the common dialect over tables of a folder."""
+    """A query of the common dialect over tables of a folder. They are views of names that no caller uses."""
+    text = f"WITH {ctes.replace(_UNION, _INLINE)} {select}"
     for t in tables:
-        spark.read.parquet(f"{sf}/{t}.parquet").createOrReplaceTempView(t)
-    return spark.sql(f"WITH {ctes.replace(_UNION, _INLINE)} {select}")
+        spark.read.parquet(f"{sf}/{t}.parquet").createOrReplaceTempView(f"logaudit_input_{t}")
+        text = re.sub(rf"\bFROM {t}\b", f"FROM logaudit_input_{t}", text)
+    return spark.sql(text)
 
 
 def events(spark: SparkSession, sf: str) -> DataFrame:
@@ -181,6 +185,7 @@ def completions(spark: SparkSession, sf: str) -> DataFrame:
         claim(F.lit("someone tries names"), "explanation", "sent"),
         claim(F.lit("nothing else"), "observation", "elsewhere"),
         claim(F.lit(""), "observation", "sent"),
+        *[claim(F.lit("look at the filter"), "next_step", "failures")] * 7,  # more than are examined
     )
     said = F.to_json(F.struct(F.when(F.col("s") % 2 == 0, F.concat(number("ne"), F.lit(" failures"))).otherwise(F.lit("777777 failures")).alias("headline"), F.array(F.lit("failures"), F.lit("nowhere")).alias("headline_refs"), claims.alias("claims")))
     return rows.select("host", "round_id", F.when(F.col("s") % 17 == 0, F.lit("no idea")).otherwise(F.concat(F.lit("```json\n"), said, F.lit("\n```"))).alias("text"))

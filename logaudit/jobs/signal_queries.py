@@ -502,11 +502,16 @@ def redact_ipv4_email(spark, sf):
     return I.texts(spark, sf).select("kind", "id", redact.redact_ipv4_email(F.col("text"), POLICY).alias("text"))
 
 
-@query("SELECT page_id AS id, regexp_extract(url, '^(https?)://', 1) AS scheme, regexp_matches(regexp_extract(url, '^https?://([^/:]*)', 1), 'example[.](com|net|org|edu)$') AS documentation FROM pages")
+_HOST_TOKEN = f"substr(sha256(unhex('{_HMAC_OUT}') || unhex(sha256(unhex('{_HMAC_IN}') || encode('host') || unhex('00') || encode('h' || page_id % 50 || '.corp.io')))), 1, 6)"
+
+
+@query(f"SELECT page_id AS id, CASE WHEN page_id % 2 = 0 THEN 'https' ELSE 'http' END || '://host:' || {_HOST_TOKEN} || CASE WHEN page_id % 3 = 0 THEN ':8' || page_id % 90 ELSE '' END || '/<path>' AS url, regexp_extract(url, '^https?://[^/]*', 0) AS kept FROM pages")
 def redact_urls(spark, sf):
-    pages = spark.read.parquet(f"{sf}/pages.parquet").select(F.col("page_id").alias("id"), "url")
-    out = redact.redact_text(F.col("url"), POLICY)
-    return pages.select("id", F.regexp_extract(out, "^(https?)://", 1).alias("scheme"), (out == F.col("url")).alias("documentation"))
+    # Links into hosts of one's own, and the pages' own links, whose hosts stand for documentation and stay.
+    n = F.col("page_id")
+    own = F.concat(F.when(n % 2 == 0, "https").otherwise("http"), F.lit("://h"), (n % 50).cast("string"), F.lit(".corp.io"), F.when(n % 3 == 0, F.concat(F.lit(":8"), (n % 90).cast("string"))).otherwise(""), F.lit("/wiki/"), n.cast("string"), F.lit("?q=1"))
+    pages = spark.read.parquet(f"{sf}/pages.parquet").select(n.alias("id"), own.alias("own"), "url")
+    return pages.select("id", redact.redact_text(F.col("own"), POLICY).alias("url"), F.regexp_extract(redact.redact_text(F.col("url"), POLICY), "^https?://[^/]*", 0).alias("kept"))
 
 
 @query()
@@ -555,7 +560,7 @@ def _measured(spark, sf):
 _RD = ("host", "round_id")
 
 
-@query(f"WITH {SIG} SELECT host, round_id, s % 17 <> 0 AS parsed, CASE WHEN s % 17 <> 0 THEN 7 END AS claims FROM dd")
+@query(f"WITH {SIG} SELECT host, round_id, s % 17 <> 0 AS parsed, CASE WHEN s % 17 <> 0 THEN 14 END AS claims FROM dd")
 def parse_completions(spark, sf):
     return _completions(spark, sf).select("host", "round_id", F.col("completion").isNotNull().alias("parsed"), F.when(F.col("completion").isNotNull(), F.size("completion.claims")).alias("claims"))
 
@@ -573,12 +578,12 @@ def measured_numbers(spark, sf):
     return _measured(spark, sf)
 
 
-@query(f"WITH {SIG} SELECT host, round_id, CAST(pos AS INTEGER) AS pos, CASE WHEN pos = 5 THEN 'elsewhere' END AS unknown FROM dd, range(0, 7) r(pos) WHERE s % 17 <> 0")
+@query(f"WITH {SIG} SELECT host, round_id, CAST(pos AS INTEGER) AS pos, CASE WHEN pos = 5 THEN 'elsewhere' END AS unknown FROM dd, range(0, 12) r(pos) WHERE s % 17 <> 0")
 def resolve_refs(spark, sf):
     return V.resolve(V.claim_rows(_completions(spark, sf), _RD), _catalogue(spark, sf), _RD).select("host", "round_id", "pos", "unknown")
 
 
-@query(f"WITH {_MEASURED} SELECT host, round_id, CAST(pos AS INTEGER) AS pos, CASE pos WHEN 0 THEN true WHEN 1 THEN np = ne OR EXISTS (SELECT 1 FROM mm WHERE mm.host = dd.host AND mm.round_id = dd.round_id AND mm.v = dd.np) WHEN 2 THEN false WHEN 3 THEN true WHEN 4 THEN true ELSE false END AS accepted, CASE pos WHEN 0 THEN 'derived' WHEN 1 THEN CASE WHEN np = ne THEN 'derived' WHEN EXISTS (SELECT 1 FROM mm WHERE mm.host = dd.host AND mm.round_id = dd.round_id AND mm.v = dd.np) THEN 'hypothesis' END WHEN 3 THEN 'hypothesis' WHEN 4 THEN 'hypothesis' END AS confidence FROM dd, range(0, 7) r(pos) WHERE s % 17 <> 0")
+@query(f"WITH {_MEASURED} SELECT host, round_id, CAST(pos AS INTEGER) AS pos, CASE WHEN pos >= 7 THEN true WHEN pos IN (0, 3, 4) THEN true WHEN pos = 1 THEN np = ne OR EXISTS (SELECT 1 FROM mm WHERE mm.host = dd.host AND mm.round_id = dd.round_id AND mm.v = dd.np) ELSE false END AS accepted, CASE WHEN pos >= 7 THEN 'derived' ELSE CASE pos WHEN 0 THEN 'derived' WHEN 1 THEN CASE WHEN np = ne THEN 'derived' WHEN EXISTS (SELECT 1 FROM mm WHERE mm.host = dd.host AND mm.round_id = dd.round_id AND mm.v = dd.np) THEN 'hypothesis' END WHEN 3 THEN 'hypothesis' WHEN 4 THEN 'hypothesis' END END AS confidence FROM dd, range(0, 12) r(pos) WHERE s % 17 <> 0")
 def verify_claims(spark, sf):
     return V.verify(V.claim_rows(_completions(spark, sf), _RD), _catalogue(spark, sf), _measured(spark, sf), _RD).select("host", "round_id", "pos", "accepted", "confidence")
 
@@ -630,7 +635,7 @@ def notification_ledger(spark, sf):
 
 
 MOST = 190
-_CLAIMED = "cl AS (SELECT host, round_id, dd.s, pos, CASE pos WHEN 0 THEN ne || ' failures were seen' WHEN 1 THEN np || ' failures were seen' WHEN 3 THEN 'port 587654 may be open' WHEN 4 THEN 'someone tries names' END AS text, CASE pos WHEN 0 THEN true WHEN 1 THEN np = ne OR EXISTS (SELECT 1 FROM mm WHERE mm.host = dd.host AND mm.round_id = dd.round_id AND mm.v = dd.np) WHEN 3 THEN true WHEN 4 THEN true ELSE false END AS ok, pos > 2 OR (pos = 1 AND np <> ne) AS guess FROM dd, range(0, 7) r(pos) WHERE s % 17 <> 0)"
+_CLAIMED = "cl AS (SELECT host, round_id, dd.s, pos, CASE pos WHEN 0 THEN ne || ' failures were seen' WHEN 1 THEN np || ' failures were seen' WHEN 3 THEN 'port 587654 may be open' WHEN 4 THEN 'someone tries names' ELSE 'look at the filter' END AS text, CASE WHEN pos >= 7 THEN true WHEN pos IN (0, 3, 4) THEN true WHEN pos = 1 THEN np = ne OR EXISTS (SELECT 1 FROM mm WHERE mm.host = dd.host AND mm.round_id = dd.round_id AND mm.v = dd.np) ELSE false END AS ok, pos IN (3, 4) OR (pos = 1 AND np <> ne) AS guess FROM dd, range(0, 12) r(pos) WHERE s % 17 <> 0)"
 #: Blocks of each round in order; a correlation is printed once, so each block depends on those before it.
 _TOLD_BLOCKS = """fo AS (SELECT fi.*, co.told, row_number() OVER (PARTITION BY fi.host, fi.round_id ORDER BY severity DESC, fi.rule, fi.title, fi.key) AS pos FROM fi JOIN co ON co.host = fi.host AND co.round_id = fi.round_id AND co.rule = fi.rule AND co.key = fi.key),
  fr AS (SELECT host, round_id, pos, coalesce(list_slice(told, 1, 2), []) AS fresh, coalesce(list_slice(told, 1, 2), []) AS seen FROM fo WHERE pos = 1

@@ -207,3 +207,28 @@ def test_findings_of_signals_without_siblings_or_rows(spark):
     assert R.uncounted_failures(s).first().title == "2 failures would not be counted"
     assert R.uncounted_failures(s, quoted=R.siblings(s)).first().detail.startswith("j: 2 of ? failures")
     assert R.siblings(s.where("false")).count() == 0
+
+
+def test_messages_hold_the_limits_of_each_section(spark):
+    kind = "host string, round_id string, pos int, severity int, title string, correlations array<string>, baseline string"
+    found = spark.createDataFrame([("h", "r", i, 3 - i % 3, f"finding {i} " + "x" * (i * 7 % 60), ["a change", f"change {i}"], "before" if i % 2 else None) for i in range(1, 30)] + [("h", "few", 1, 3, "only", None, None)], kind)
+    heads = spark.createDataFrame([("h", "r", "t" * 300), ("h", "few", "one"), ("h", "none", "nothing to report")], "host string, round_id string, headline string")
+    claims = spark.createDataFrame([("h", "r", i, f"claim {i} " + "y" * 50, i != 2, "hypothesis" if i == 1 else "derived") for i in range(12)] + [("h", "few", 0, "so", True, "derived")], "host string, round_id string, pos int, text string, accepted boolean, confidence string")
+    models = spark.createDataFrame([("h", "few", "m1", False)], "host string, round_id string, model string, replaced boolean")
+    import json
+
+    def sent(most, reserve=None):
+        return {r.round_id: json.loads(r.payload) for r in notify.payloads(found, heads, most, claims=claims, models=models, reserve=reserve).collect()}
+
+    for most in (5, 60, 300, 2000, 9000):
+        for reserve in (None, (120, 40), (20, 10)):
+            for m in sent(most, reserve).values():
+                assert len(m["title"]) <= 256 and (reserve is not None and most < 200 or len(m["body"]) <= min(most, 4096))
+    plain = sent(600)["r"]["body"]
+    assert plain.startswith("INFO finding 1" if found.first().severity == 1 else "WARNING finding 1") and plain.endswith(notify.TRUNCATED) and plain.count("a change") == 1
+    kept = sent(600, (150, 120))["r"]["body"]
+    head, triage, trailer = kept.split(notify.TRUNCATED)[0], kept.split("\n\n")[-2], kept.split("\n\n")[-1]
+    assert "finding 1" in head and triage.startswith("Triage") and len(triage) <= 150 and trailer == "1 claim dropped for lack of evidence\nWritten from the rules: no model could be asked"
+    few, none = sent(4096)["few"], sent(4096)["none"]
+    assert few["body"] == "CRITICAL only\n\nTriage, as the model reads the findings above\n- so" and few["footer"] == "1 finding, m1"
+    assert none["body"] == "Written from the rules: no model could be asked" and none["footer"] == "0 findings, headline from rules"
