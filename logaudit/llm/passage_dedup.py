@@ -51,6 +51,9 @@ MARGIN = 40
 BLOCK = 64
 #: Mismatched words in a row that an aligned passage may have.
 EDITS = 5
+#: Words on each side of a place in which a least passage around it lies, those of a side that deal large groups anew,
+#: and places of a group that are asked in one task.
+REACH, SIDE, ASKED = MIN_PASSAGE - LONG_SHINGLE + 2, 8, 512
 _SLICE_BYTES = 1_500_000
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -317,6 +320,27 @@ def _common(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _by_group(of):
+    """Batches sorted by their first column to ``of`` whole groups of it, as tables."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []  # the last group may go on in the next batch
+        for batch in batches:
+            if not len(batch):
+                continue
+            held.append(pa.Table.from_batches([batch]))
+            key = batch.column(0).to_numpy(zero_copy_only=False)
+            cut = int(np.searchsorted(key, key[-1], side="left"))
+            if cut or held[0].column(0)[0].as_py() != key[0]:
+                whole = pa.concat_tables([*held[:-1], held[-1].slice(0, cut)])
+                yield from of(whole)
+                held = [held[-1].slice(cut)]
+        if held:
+            yield from of(pa.concat_tables(held))
+
+    return run
+
+
 def _compared(similarity: float):
     """Sorted groups of lines with their sets to links, as few as connect what is similar enough."""
 
@@ -342,22 +366,7 @@ def _compared(similarity: float):
             a, b = (np.concatenate(x) for x in zip(*found, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []  # the last group may go on in the next batch
-        for batch in batches:
-            if not len(batch):
-                continue
-            held.append(pa.Table.from_batches([batch]))
-            key = batch.column(0).to_numpy(zero_copy_only=False)
-            cut = int(np.searchsorted(key, key[-1], side="left"))
-            if cut or held[0].column(0)[0].as_py() != key[0]:
-                whole = pa.concat_tables([*held[:-1], held[-1].slice(0, cut)])
-                yield from done(whole)
-                held = [held[-1].slice(cut)]
-        if held:
-            yield from done(pa.concat_tables(held))
-
-    return run
+    return _by_group(done)
 
 
 def compared(groups: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -524,16 +533,22 @@ def aligned(x: np.ndarray, y: np.ndarray, places: list[tuple[int, int]], similar
 _CHAIN = "a long, b long, chain int, a_at array<int>, b_at array<int>"
 
 
-def chains(units: DataFrame) -> DataFrame:
-    """Chains of places in common of pairs of texts.
+def shared_keys(units: DataFrame) -> DataFrame:
+    """``h, first, last, n``: band keys of several places, their first and last text's first place, and how many
+    places they have."""
+    some = units.where(F.col("kind").isin(SLIDING, AGAIN)).select("h", F.when(F.col("kind") == SLIDING, _place()).alias("place"))
+    groups = some.groupBy("h").agg(F.min("place").alias("first"), F.max("place").alias("last"), F.count("*").alias("n"))
+    return written(groups.where("n > 1"), "band_ends")
+
+
+def chains(units: DataFrame, shared: DataFrame) -> DataFrame:
+    """Chains of places in common of pairs of texts, by the band keys that are shared.
 
     Each text's first place meets the earliest and the last one with its band key, and a further place in the text
     meets the one before, so links are at most twice as many as places.
     """
     sliding = units.where(F.col("kind") == SLIDING).select("h", _place().alias("place"))
-    ends = sliding.groupBy("h").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first <> last")
-    ends = written(ends, "band_ends")
-    met = sliding.join(ends, "h").select("place", F.explode(F.array("first", "last")).alias("end")).where("place <> end")
+    met = sliding.join(shared.where("first <> last").drop("n"), "h").select("place", F.explode(F.array("first", "last")).alias("end")).where("place <> end")
     met = met.select(*_unplaced("end", "a", "a_at"), *_unplaced("place", "b", "b_at")).where("a <> b")
     own = units.where(F.col("kind") == AGAIN).select(F.col("ord").alias("a"), (F.col("start") - F.col("n")).alias("a_at"), F.col("ord").alias("b"), F.col("start").alias("b_at"))
     met = met.union(own)
@@ -576,6 +591,174 @@ def passage_spans(found: DataFrame, texts: DataFrame, least: int = MIN_PASSAGE,
     return work.select("a", "b", "a_at", "b_at", "low", "words", "parts").mapInArrow(_verified(least, similarity), "ord long, start int, n int, later boolean")
 
 
+# Passages whose places other texts share too
+
+
+def _run(equal: np.ndarray) -> np.ndarray:
+    """For each row and place, where the run of equal words from there ends; one more place for the end itself."""
+    width = equal.shape[1]
+    stop = np.where(equal, width, np.arange(width))
+    return np.concatenate((np.minimum.accumulate(stop[:, ::-1], axis=1)[:, ::-1], np.full((len(stop), 1), width)), axis=1)
+
+
+def _beyond(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words in common from the first ones on, row by row: how many are equal, and how many words of the first and of
+    the second the longest way over one edit (a word replaced, more or fewer) takes."""
+    row = np.arange(len(x))
+    level = _run(x == y)
+    plain = level[:, 0]
+    at = np.minimum(plain + 1, x.shape[1])
+    ways = [(level[row, at] - at, 1, 1)]
+    for mine, other, dx, dy in ((x[:, 1:], y[:, :-1], 1, 0), (x[:, :-1], y[:, 1:], 0, 1)):
+        at = np.minimum(plain, mine.shape[1])
+        ways.append((_run(mine == other)[row, at] - at, dx, dy))
+    best = np.argmax(np.stack([w[0] for w in ways]), axis=0)
+    more = np.stack([w[0] for w in ways])[best, row]
+    step = lambda k: plain + np.where(more > 0, more + np.array([w[k] for w in ways])[best], 0)
+    return plain, step(1), step(2)
+
+
+def around(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of words around a common place to the longest passage with at most one edit: how many words lie before
+    and behind the place's shingle, in the first and in the second."""
+    right, left = REACH + LONG_SHINGLE, REACH
+    r, rx, ry = _beyond(x[:, right:], y[:, right:])
+    b, bx, by = _beyond(x[:, left - 1 :: -1], y[:, left - 1 :: -1])
+    ahead = b + rx >= bx + r  # the edit lies behind the place
+    pick = lambda yes, no: np.where(ahead, yes, no)
+    return pick(b, bx), pick(rx, r), pick(b, by), pick(ry, r)
+
+
+def _framed(words: list[bytes], offsets: np.ndarray, nothing: int) -> np.ndarray:
+    """Words around places, the places one below the other; what lies outside of a text equals nothing."""
+    out = np.full((len(words), 2 * REACH + LONG_SHINGLE), nothing, dtype=np.int64)
+    for i, (w, off) in enumerate(zip(words, offsets.tolist(), strict=True)):
+        own = np.frombuffer(w, dtype="<u4")
+        out[i, REACH - off : REACH - off + len(own)] = own
+    return out
+
+
+_PARTNERS = "place long, earlier boolean, score int, other long, before int, behind int, other_before int, other_behind int"
+
+
+def _partners(least: int, similarity: float):
+    """Sorted groups of places that ask and of places that are asked to the best partner of each that asks, among
+    earlier places and among later ones."""
+
+    def verified(x: np.ndarray, y: np.ndarray, span: tuple[int, ...]) -> bool:
+        lx, rx, ly, ry = span
+        end = REACH + LONG_SHINGLE
+        a, b = shingles(x[REACH - lx : end + rx].astype(np.uint64)), shingles(y[REACH - ly : end + ry].astype(np.uint64))
+        return len(np.intersect1d(a, b)) >= similarity * len(np.union1d(a, b))
+
+    def best(place: np.ndarray, x: np.ndarray, others: np.ndarray, y: np.ndarray) -> Iterator[tuple]:
+        side = slice(REACH + LONG_SHINGLE, REACH + LONG_SHINGLE + SIDE), slice(REACH - SIDE, REACH)
+        # The run of equal words around one of a passage's places has 25 words: eight of one side at least.
+        classes = [np.unique(np.concatenate((x[:, s], y[:, s])), axis=0, return_inverse=True)[1].reshape(-1) for s in side]
+        for low in range(0, len(x), 64):
+            own = slice(low, low + 64)
+            near = np.logical_or(*[c[: len(x)][own][:, None] == c[len(x) :][None, :] for c in classes])
+            i, j = np.nonzero(near & (place[own][:, None] != others[None, :]))
+            i += low
+            spans = np.empty((4, len(i)), np.int64)
+            for k in range(0, len(i), 8192):
+                spans[:, k : k + 8192] = around(x[i[k : k + 8192]], y[j[k : k + 8192]])
+            score = np.maximum(spans[0] + spans[1], spans[2] + spans[3]) + LONG_SHINGLE
+            good = np.flatnonzero(score >= least)
+            good = good[np.lexsort((others[j[good]], -score[good]))]
+            done: set[tuple[int, bool]] = set()
+            for g in good.tolist():
+                name = int(i[g]), bool(others[j[g]] < place[i[g]])
+                if name not in done and verified(x[i[g]], y[j[g]], tuple(spans[:, g].tolist())):
+                    done.add(name)
+                    yield (int(place[i[g]]), name[1], int(score[g]), int(others[j[g]]), *spans[:, g].tolist())
+
+    def done(group: pa.Table) -> Iterator[pa.RecordBatch]:
+        key, place, asks, off = (group.column(c).to_numpy() for c in ("key", "place", "asks", "off"))
+        words = group.column("words").combine_chunks()
+        cuts = [*np.flatnonzero(np.diff(key, prepend=key[:1] - 1)).tolist(), len(key)] if len(key) else []
+        found: list[tuple] = []
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            of = [a + np.flatnonzero(asks[a:b] == yes) for yes in (True, False)]
+            if len(of[0]) and len(of[1]):
+                x, y = (_framed(words.take(pa.array(at)).to_pylist(), off[at], nothing) for at, nothing in zip(of, (-1, -2), strict=True))
+                found += best(place[of[0]], x, place[of[1]], y)
+        kinds = (pa.int64(), pa.bool_(), pa.int32(), pa.int64(), *[pa.int32()] * 4)
+        names = [c.split()[0] for c in _PARTNERS.split(", ")]
+        columns = list(zip(*found, strict=True)) or [[]] * len(kinds)
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names=names)
+
+    return _by_group(done)
+
+
+def open_places(units: DataFrame, shared: DataFrame, spans: DataFrame, least: int) -> DataFrame:
+    """``h, place, open``: all places of the band keys that have three places or more and an open one.
+
+    A place is open unless it lies within a passage that is known, and known to be a later copy if the place isn't the
+    first one of its key.
+    """
+    end = F.col("start") + F.col("n")
+    known = spans.where(F.col("n") >= least).select("ord", "start", end.alias("end"), F.when(F.col("later"), end).otherwise(0).alias("gone"))
+    # Of two places only, each has met the other.
+    some = units.where(F.col("kind").isin(SLIDING, AGAIN)).join(shared.where("n > 2").select("h", "first"), "h")
+    none = F.lit(None).cast("long")
+    rows = some.select("ord", "start", F.lit(0).alias("end"), F.lit(0).alias("gone"), "h", "first").union(known.select("*", none.alias("h"), none.alias("first")))
+    reached = lambda c: F.max(c).over(Window.partitionBy("ord").orderBy("start").rangeBetween(Window.unboundedPreceding, 0))
+    short = lambda c: F.col(c) < F.col("start") + LONG_SHINGLE
+    seen = rows.withColumns({"end": reached("end"), "gone": reached("gone")}).where("h is not null")
+    asks = short("end") | (short("gone") & (_place() != F.col("first")))
+    flagged = written(seen.select("h", _place().alias("place"), asks.alias("open")), "places")
+    return flagged.join(flagged.where("open").select("h").distinct(), "h", "left_semi")
+
+
+def asked(places: DataFrame, bound: int = ASKED) -> DataFrame:
+    """Places (``h, place, open, off, words``) in groups in which each open place asks all others of its key.
+
+    Keys of over ``bound`` places are dealt anew by the eight words before and behind, one of which a pair must share;
+    what is still larger is asked block by block.
+    """
+    sizes = places.groupBy("h").agg(F.count("*").alias("n"))
+    own = places.join(sizes, "h")
+    cut = lambda at: F.expr(f"substring(words, {at}, {4 * SIDE})")
+    sides = [F.when(F.length(w) == 4 * SIDE, F.xxhash64("h", F.lit(i), w)) for i, w in enumerate((cut(f"4 * (off + {LONG_SHINGLE}) + 1"), F.when(F.col("off") >= SIDE, cut(f"4 * (off - {SIDE}) + 1"))))]
+    keyed = own.withColumn("key", F.explode(F.when(F.col("n") <= bound, F.array("h")).otherwise(F.array(*sides)))).where("key is not null").drop("h", "n")
+    keyed = written(keyed, "asked")
+    groups = keyed.groupBy("key").agg(F.count("*").alias("n"), F.count_if("open").alias("u")).where("n > 1 and u > 0")
+    blocks = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / bound)).cast("int")
+    groups = groups.select("key", blocks("u").alias("asking"), blocks("n").alias("blocks"))
+    both = keyed.join(groups, "key")
+    mine = lambda c: F.pmod(F.xxhash64("place"), F.col(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    asks = both.where("open").withColumn("x", mine("asking")).withColumn("y", every("blocks")).withColumn("asks", F.lit(True))
+    rows = asks.union(both.withColumn("y", mine("blocks")).withColumn("x", every("asking")).withColumn("asks", F.lit(False)).select(asks.columns))
+    return rows.select(F.xxhash64("key", "x", "y").alias("key"), "place", "asks", "off", "words")
+
+
+def missed_spans(
+    units: DataFrame, shared: DataFrame, spans: DataFrame, texts: DataFrame, least: int = MIN_PASSAGE, similarity: float = SIMILARITY, bound: int = ASKED
+) -> DataFrame:
+    """``ord, start, n, later``: passages of open places, at both of their places.
+
+    A passage whose parts stand in many other texts may not meet its copy among the ends of its bands. So each place
+    that no known passage covers is compared with all other places of its key: words around both are followed over
+    one edit, which passages of some 50 words can have, and longer ones in every such part.
+    """
+    places = open_places(units, shared, spans, least)
+    low = F.greatest(F.lit(0), F.col("start") - REACH)
+    at = written(places.select("h", "place", "open", *_unplaced("place")).select("*", low.alias("low"), (F.col("start") + REACH + LONG_SHINGLE - low).alias("size")), "around")
+    given = pieces(texts, at.select("ord", F.col("low").alias("start"), F.col("size").alias("n")))
+    given = given.withColumnsRenamed({"start": "low", "n": "size"})
+    rows = asked(at.join(given, ["ord", "low", "size"]).select("h", "place", "open", (F.col("start") - F.col("low")).alias("off"), "words"), bound)
+    dealt = rows.repartition(shuffle_width(rows.sparkSession), "key").sortWithinPartitions("key")
+    found = dealt.mapInArrow(_partners(least, similarity), _PARTNERS)
+    order = F.struct("score", (-F.col("other")).alias("least"), "other", "before", "behind", "other_before", "other_behind")
+    best = written(found.groupBy("place", "earlier").agg(F.max(order).alias("x")).select("place", "earlier", "x.*"), "partners")
+    span = lambda place, before, behind, later: best.select(*_unplaced(place), before, behind, later.alias("later")).select(
+        "ord", (F.col("start") - F.col(before)).alias("start"), (F.col(before) + LONG_SHINGLE + F.col(behind)).alias("n"), "later"
+    )
+    return span("place", "before", "behind", F.col("earlier")).union(span("other", "other_before", "other_behind", ~F.col("earlier")))
+
+
 def merged(spans: DataFrame, least: int) -> DataFrame:
     """``ord, spans``: each text's spans, those that touch or overlap as one, of at least so many words."""
     own = Window.partitionBy("ord").orderBy("start", "n")
@@ -604,7 +787,8 @@ def repeated_passages(
     texts = rows.select("rid", "text").join(small(known.select("rid", "ord"), known.count()), "rid")
     units = written(texts.select("ord", "text").mapInArrow(_units(*bands(similarity, least=ROWS)), _UNITS), "units")
     met, lines = colliding_lines(units)
-    shared = chains(units)
+    keys = shared_keys(units)
+    shared = chains(units, keys)
     wanted = lines.select("ord", "start", "n").union(shared.select("b", "low", "size"))
     wanted = wanted.union(shared.select("a", F.explode("blocks"), F.lit(BLOCK)))
     given = written(pieces(texts, wanted), "pieces")
@@ -612,7 +796,8 @@ def repeated_passages(
     spans = line_spans(units, line_links(met, sets, similarity)).union(passage_spans(shared, given, min_passage, similarity))
     several = known.where("copies > 1").select("ord")
     whole = units.where(F.col("kind") == TEXT).join(several, "ord").select("ord", "start", "n", F.lit(False).alias("later"))
-    spans = written(spans.union(whole).distinct(), "spans")
+    spans = written(spans.distinct(), "known_spans")
+    spans = written(spans.union(whole).union(missed_spans(units, keys, spans, texts, min_passage, similarity)).distinct(), "spans")
     every = merged(spans, min_passage).withColumnRenamed("spans", "r")
     gone = merged(spans.where("later"), min_passage).withColumnRenamed("spans", "g")
     length = whole.select("ord", "n").distinct()

@@ -243,3 +243,64 @@ def test_passages(spark):
     assert found[305].removed_lengths == [40_000] and found[304].lengths == [40_000] and not found[304].removed_starts and None not in found
     assert not found[100].removed_starts and found[101].removed_starts
     assert passage_dedup.repeated_passages(df.limit(0)).count() == 0
+
+
+def _mixed_passages(count: int, seed: int) -> tuple[list[tuple[int, str]], list[tuple[int, int, int]]]:
+    """Texts with passages of two sentences, each of which stands in eight other texts too, and a copy of each passage,
+    every other one with a word replaced: the texts, and the two texts of each passage with the edited place."""
+    rng = np.random.default_rng(seed)
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 1 << 40, n)]
+    texts, pairs = [], []
+    for k in range(count):
+        halves = words(30), words(30)
+        both = halves[0] + halves[1]
+        at = int(rng.integers(0, 60)) if k % 2 else -1
+        copy = [*both[:at], "other", *both[at + 1 :]] if k % 2 else both
+        group = [both, copy, *[h for h in halves for _ in range(8)]]
+        order = rng.permutation(len(group))
+        pairs.append((len(texts) + int(np.flatnonzero(order == 0)[0]), len(texts) + int(np.flatnonzero(order == 1)[0]), at))
+        texts += [" ".join(words(20) + group[i] + words(20)) for i in order]
+    return list(enumerate(texts)), pairs
+
+
+def test_passages_whose_parts_stand_in_many_other_texts(spark):
+    texts, pairs = _mixed_passages(200, 5)
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    found = {r.doc_id: r for r in passage_dedup.repeated_passages(df).collect()}
+    covered = lambda i, removed: sum((found[i].removed_lengths if removed else found[i].lengths)) if i in found else 0
+    # An edit within the first or last ten words leaves a passage of fifty words in full.
+    met = [(at, covered(a, False) >= 50 and covered(b, False) >= 50, covered(max(a, b), True) >= 50 and covered(min(a, b), True) == 0) for a, b, at in pairs]
+    for edited in (False, True):
+        own = [m for m in met if (m[0] >= 0) == edited]
+        assert sum(m[1] and m[2] for m in own) >= 0.99 * len(own), [m for m in own if not (m[1] and m[2])]
+    assert set(found) == {i for a, b, _ in pairs for i in (a, b)}
+
+
+def test_words_around_places_against_a_plain_search():
+    rng = np.random.default_rng(9)
+    reach, size = passage_dedup.REACH, passage_dedup.LONG_SHINGLE
+
+    def plain(x: list[int], y: list[int]) -> set[tuple[int, int, int]]:
+        same = lambda a, b: next((k for k, (p, q) in enumerate(zip(a, b)) if p != q), min(len(a), len(b)))  # noqa: E731, B905
+        n = same(x, y)
+        ways = [(same(x[n + dx :], y[n + dy :]), dx, dy) for dx, dy in ((1, 1), (1, 0), (0, 1))]
+        more = max(w[0] for w in ways)
+        return {(n, n + more + w[1], n + more + w[2]) for w in ways if w[0] == more} if more else {(n, n, n)}
+
+    x = rng.integers(0, 3, (400, 2 * reach + size))
+    y = x.copy()
+    for i in range(400):
+        for at in rng.integers(0, x.shape[1], rng.integers(0, 4)):
+            y[i] = (np.insert(y[i], at, 7)[:-1], np.append(np.delete(y[i], at), 8), np.where(np.arange(x.shape[1]) == at, 9, y[i]))[rng.integers(0, 3)]
+    n, dx, dy = passage_dedup._beyond(x, y)
+    assert all((int(n[i]), int(dx[i]), int(dy[i])) in plain(x[i].tolist(), y[i].tolist()) for i in range(400))
+
+
+def test_open_places_ask_alike_in_blocks_and_dealt_anew(spark):
+    texts, _ = _mixed_passages(6, 6)
+    df = spark.createDataFrame([(t, i) for i, t in texts], "text string, ord long")
+    units = common.written(df.select("ord", "text").mapInArrow(passage_dedup._units(*passage_dedup.bands(least=passage_dedup.ROWS)), passage_dedup._UNITS), "units")
+    keys = passage_dedup.shared_keys(units)
+    none = spark.createDataFrame([], "ord long, start int, n int, later boolean")
+    one, other = ({tuple(r) for r in passage_dedup.missed_spans(units, keys, none, df, bound=bound).collect()} for bound in (512, 4))
+    assert one and one == other
