@@ -594,28 +594,33 @@ def passage_spans(found: DataFrame, texts: DataFrame, least: int = MIN_PASSAGE,
 # Passages whose places other texts share too
 
 
-def _run(equal: np.ndarray) -> np.ndarray:
-    """For each row and place, where the run of equal words from there ends; one more place for the end itself."""
-    width = equal.shape[1]
-    stop = np.where(equal, width, np.arange(width))
-    return np.concatenate((np.minimum.accumulate(stop[:, ::-1], axis=1)[:, ::-1], np.full((len(stop), 1), width)), axis=1)
+#: What stands outside of a text that asks, and of one that is asked: no words, and never equal.
+OUTSIDE = 0xFFFFFFFF, 0xFFFFFFFE
+
+def _differs(differ: np.ndarray, since: np.ndarray | None = None) -> np.ndarray:
+    """For each row, the first place that differs, from a place of its own on; the width if there is none."""
+    if since is not None:
+        differ = differ & (np.arange(differ.shape[1]) >= since[:, None])
+    first = differ.argmax(axis=1)
+    return np.where(differ[np.arange(len(first)), first], first, differ.shape[1])
 
 
 def _beyond(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words in common from the first ones on, row by row: how many are equal, and how many words of the first and of
     the second the longest way over one edit (a word replaced, more or fewer) takes."""
-    row = np.arange(len(x))
-    level = _run(x == y)
-    plain = level[:, 0]
-    at = np.minimum(plain + 1, x.shape[1])
-    ways = [(level[row, at] - at, 1, 1)]
-    for mine, other, dx, dy in ((x[:, 1:], y[:, :-1], 1, 0), (x[:, :-1], y[:, 1:], 0, 1)):
-        at = np.minimum(plain, mine.shape[1])
-        ways.append((_run(mine == other)[row, at] - at, dx, dy))
-    best = np.argmax(np.stack([w[0] for w in ways]), axis=0)
-    more = np.stack([w[0] for w in ways])[best, row]
-    step = lambda k: plain + np.where(more > 0, more + np.array([w[k] for w in ways])[best], 0)
-    return plain, step(1), step(2)
+    width = x.shape[1]
+    level = x != y
+    plain = _differs(level)
+    at = np.minimum(plain + 1, width)
+    ways = [_differs(level, at) - at]
+    at = np.minimum(plain, width - 1)
+    for mine, other in ((x[:, 1:], y[:, :-1]), (x[:, :-1], y[:, 1:])):
+        ways.append(_differs(mine != other, at) - at)
+    ways = np.stack(ways)
+    best = np.argmax(ways, axis=0)
+    more = ways[best, np.arange(len(x))]
+    step = lambda words: plain + np.where(more > 0, more + np.array(words)[best], 0)
+    return plain, step((1, 1, 0)), step((1, 0, 1))
 
 
 def around(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -629,15 +634,42 @@ def around(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nda
     return pick(b, bx), pick(rx, r), pick(b, by), pick(ry, r)
 
 
-def _framed(words: list[bytes], offsets: np.ndarray, nothing: int) -> np.ndarray:
+def _framed(words: pa.Array, offsets: np.ndarray, nothing: int) -> np.ndarray:
     """Words around places, the places one below the other; what lies outside of a text equals nothing."""
-    out = np.full((len(words), 2 * REACH + LONG_SHINGLE), nothing, dtype=np.int64)
-    for i, (w, off) in enumerate(zip(words, offsets.tolist(), strict=True)):
-        own = np.frombuffer(w, dtype="<u4")
-        out[i, REACH - off : REACH - off + len(own)] = own
+    out = np.full((len(words), 2 * REACH + LONG_SHINGLE), nothing, dtype=np.uint32)
+    n = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64) // 4
+    first = np.repeat(REACH - offsets - (np.cumsum(n) - n), n)
+    own = np.frombuffer(b"".join(words.to_pylist()), dtype="<u4")
+    out[np.repeat(np.arange(len(n)), n), first + np.arange(int(n.sum()))] = np.minimum(own, np.uint32(min(OUTSIDE) - 1))
     return out
 
 
+def _shingled(frame: np.ndarray, rows: np.ndarray) -> dict[int, np.ndarray]:
+    """The hashed shingles of some rows of words, at each place."""
+    words = frame[rows].astype(np.uint64)
+    out = np.zeros((len(rows), words.shape[1] - SHINGLE + 1), np.uint64)
+    for k in range(SHINGLE):
+        out = _mixed(out + words[:, k : k + out.shape[1]])
+    return dict(zip(rows.tolist(), out, strict=True))
+
+
+def _equal_pairs(x: np.ndarray, y: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of keys, several in each, to pairs of rows that are equal in one key at least: those of the same first row
+    together, a bounded number of pairs or those of one row at a time."""
+    orders = [np.argsort(k, kind="stable") for k in y.T]
+    ends = [[np.searchsorted(k[o], c, side=s) for s in ("left", "right")] for k, o, c in zip(y.T, orders, x.T, strict=True)]
+    part = np.cumsum(sum(high - low for low, high in ends)) // most
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(x)]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        found = []
+        for (low, high), order in zip(ends, orders, strict=True):
+            n = (high - low)[a:b]
+            within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            found.append(np.repeat(np.arange(a, b), n) * len(y) + order[np.repeat(low[a:b], n) + within])
+        both = np.unique(np.concatenate(found))
+        yield both // len(y), both % len(y)
+
+
 _PARTNERS = "place long, earlier boolean, score int, other long, before int, behind int, other_before int, other_behind int"
 
 
@@ -647,42 +679,52 @@ def _partners(least: int, similarity: float):
 
     def verified(x: np.ndarray, y: np.ndarray, span: tuple[int, ...]) -> bool:
         lx, rx, ly, ry = span
-        end = REACH + LONG_SHINGLE
-        a, b = shingles(x[REACH - lx : end + rx].astype(np.uint64)), shingles(y[REACH - ly : end + ry].astype(np.uint64))
-        return len(np.intersect1d(a, b)) >= similarity * len(np.union1d(a, b))
+        end = REACH + LONG_SHINGLE - SHINGLE + 1
+        a, b = set(x[REACH - lx : end + rx].tolist()), set(y[REACH - ly : end + ry].tolist())
+        common = len(a & b)
+        return common >= similarity * (len(a) + len(b) - common)
 
-    def best(place: np.ndarray, x: np.ndarray, others: np.ndarray, y: np.ndarray) -> Iterator[tuple]:
-        side = slice(REACH + LONG_SHINGLE, REACH + LONG_SHINGLE + SIDE), slice(REACH - SIDE, REACH)
+    def best(keys: list[np.ndarray], places: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> Iterator[tuple]:
         # The run of equal words around one of a passage's places has 25 words: eight of one side at least.
-        classes = [np.unique(np.concatenate((x[:, s], y[:, s])), axis=0, return_inverse=True)[1].reshape(-1) for s in side]
-        for low in range(0, len(x), 64):
-            own = slice(low, low + 64)
-            near = np.logical_or(*[c[: len(x)][own][:, None] == c[len(x) :][None, :] for c in classes])
-            i, j = np.nonzero(near & (place[own][:, None] != others[None, :]))
-            i += low
+        sides = slice(REACH + LONG_SHINGLE, REACH + LONG_SHINGLE + SIDE), slice(REACH - SIDE, REACH)
+        named = []
+        for key, frame in zip(keys, (x, y), strict=True):
+            both = [key.view(np.uint64)] * 2
+            for k in range(SIDE):
+                both = [_mixed(h + frame[:, s][:, k].astype(np.uint64)) for h, s in zip(both, sides, strict=True)]
+            named.append(np.stack(both, axis=1))
+        for i, j in _equal_pairs(*named, 1 << 17):
+            i, j = (v[places[0][i] != places[1][j]] for v in (i, j))
             spans = np.empty((4, len(i)), np.int64)
-            for k in range(0, len(i), 8192):
-                spans[:, k : k + 8192] = around(x[i[k : k + 8192]], y[j[k : k + 8192]])
+            for k in range(0, len(i), 4096):
+                own = slice(k, k + 4096)
+                spans[:, own] = around(x[i[own]], y[j[own]])
             score = np.maximum(spans[0] + spans[1], spans[2] + spans[3]) + LONG_SHINGLE
+            earlier = places[1][j] < places[0][i]
             good = np.flatnonzero(score >= least)
-            good = good[np.lexsort((others[j[good]], -score[good]))]
-            done: set[tuple[int, bool]] = set()
-            for g in good.tolist():
-                name = int(i[g]), bool(others[j[g]] < place[i[g]])
-                if name not in done and verified(x[i[g]], y[j[g]], tuple(spans[:, g].tolist())):
-                    done.add(name)
-                    yield (int(place[i[g]]), name[1], int(score[g]), int(others[j[g]]), *spans[:, g].tolist())
+            good = good[np.lexsort((places[1][j[good]], -score[good], earlier[good], i[good]))]
+            # Equal as a whole unless a word within the span differs.
+            column = np.arange(x.shape[1])
+            within = (column >= REACH - spans[0, good, None]) & (column < REACH + LONG_SHINGLE + spans[1, good, None])
+            edited = ((x[i[good]] != y[j[good]]) & within).any(axis=1)
+            given, other = (_shingled(frame, np.unique(v[good[edited]])) for frame, v in ((x, i), (y, j)))
+            name = i[good] * 2 + earlier[good]
+            cuts = [*np.flatnonzero(np.diff(name, prepend=-1)).tolist(), len(name)]
+            for low, high in zip(cuts, cuts[1:], strict=False):
+                for g, differs in zip(good[low:high].tolist(), edited[low:high].tolist(), strict=True):
+                    span = spans[:, g].tolist()
+                    if not differs or verified(given[i[g]], other[j[g]], tuple(span)):
+                        yield (int(places[0][i[g]]), bool(earlier[g]), int(score[g]), int(places[1][j[g]]), *span)
+                        break
 
     def done(group: pa.Table) -> Iterator[pa.RecordBatch]:
         key, place, asks, off = (group.column(c).to_numpy() for c in ("key", "place", "asks", "off"))
         words = group.column("words").combine_chunks()
-        cuts = [*np.flatnonzero(np.diff(key, prepend=key[:1] - 1)).tolist(), len(key)] if len(key) else []
+        of = [np.flatnonzero(asks == yes) for yes in (True, False)]
         found: list[tuple] = []
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            of = [a + np.flatnonzero(asks[a:b] == yes) for yes in (True, False)]
-            if len(of[0]) and len(of[1]):
-                x, y = (_framed(words.take(pa.array(at)).to_pylist(), off[at], nothing) for at, nothing in zip(of, (-1, -2), strict=True))
-                found += best(place[of[0]], x, place[of[1]], y)
+        if len(of[0]) and len(of[1]):
+            x, y = (_framed(words.take(pa.array(at)), off[at].astype(np.int64), nothing) for at, nothing in zip(of, OUTSIDE, strict=True))
+            found += best([key[at] for at in of], [place[at] for at in of], x, y)
         kinds = (pa.int64(), pa.bool_(), pa.int32(), pa.int64(), *[pa.int32()] * 4)
         names = [c.split()[0] for c in _PARTNERS.split(", ")]
         columns = list(zip(*found, strict=True)) or [[]] * len(kinds)
