@@ -68,9 +68,12 @@ def bands(similarity: float = SIMILARITY, recall: float = RECALL, most: int = 64
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x = x ^ (x >> np.uint64(30))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
 def _sliced(texts: pa.Array) -> Iterator[tuple[int, int]]:
@@ -491,6 +494,13 @@ def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _shingle_set(words: np.ndarray) -> set[bytes]:
+    """The distinct shingles of a passage, as the bytes of their words; all words if they are fewer."""
+    text, size = words.tobytes(), words.itemsize
+    wide = size * min(SHINGLE, len(words))
+    return {text[k : k + wide] for k in range(0, len(text) - wide + 1, size)}
+
+
 def aligned(x: np.ndarray, y: np.ndarray, places: list[tuple[int, int]], similarity: float = SIMILARITY) -> list[tuple[int, int, int, int]]:
     """Passages that two texts share around places in common: start and length in the first and in the second.
 
@@ -521,9 +531,9 @@ def aligned(x: np.ndarray, y: np.ndarray, places: list[tuple[int, int]], similar
     out = []
     for parts in joined:
         (i, j, _), (ie, je, n) = parts[0], parts[-1]
-        both = [shingles(t[s:e].astype(np.uint64)) for t, s, e in ((x, i, ie + n), (y, j, je + n))]
-        common = len(np.intersect1d(*both)) if len(parts) > 1 else 1
-        if len(parts) == 1 or common >= similarity * (len(np.union1d(*both))):
+        both = [_shingle_set(t[s:e]) for t, s, e in ((x, i, ie + n), (y, j, je + n))] if len(parts) > 1 else [{0}, {0}]
+        common = len(both[0] & both[1])
+        if common >= similarity * (len(both[0]) + len(both[1]) - common):
             out.append((i, ie + n - i, j, je + n - j))
         else:
             out += [(i, n, j, n) for i, j, n in parts]
