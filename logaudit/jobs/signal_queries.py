@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from logaudit.functions import text as X
 from logaudit.jobs import inputs as I
 from logaudit.jobs.inputs import EV, SIG
+from logaudit.operators import briefs as B
 from logaudit.operators import claims as V
 from logaudit.operators import correlate as K
 from logaudit.operators import history as H
@@ -665,3 +666,25 @@ def fit_message(spark, sf):
     sent = notify.payloads(K.correlate(found, _changes(spark, sf), containers), own.drop("severity"), MOST, claims=checked, models=asked)
     body = F.from_json("payload", "title string, body string, footer string").alias("p")
     return sent.select("host", "round_id", body).select("host", "round_id", "p.*")
+
+
+_IP_TOKEN = f"substr(sha256(unhex('{_HMAC_OUT}') || unhex(sha256(unhex('{_HMAC_IN}') || encode('ip') || unhex('00') || encode('203.0.113.' || dd.s % 250)))), 1, 6)"
+_SAID = "dd.s % 17 <> 0 AND dd.s % 2 = 0"
+_of = lambda rows, text, more="": f"coalesce((SELECT string_agg({text}, '|' ORDER BY x.pos) FROM {rows} x WHERE x.host = dd.host AND x.round_id = dd.round_id{more}), '')"
+
+
+@query(f"{_MESSAGE} SELECT dd.host, dd.round_id, CAST(coalesce((SELECT max(severity) FROM fi WHERE fi.host = dd.host AND fi.round_id = dd.round_id), 1) AS INTEGER) AS severity, CASE WHEN {_SAID} THEN ne || ' failures' ELSE coalesce(headline, 'nothing to report') END AS headline, CASE WHEN {_SAID} THEN 'llm' ELSE 'rules' END AS headline_source, CASE WHEN dd.s % 17 = 0 THEN 'no answer from ip:' || {_IP_TOKEN} || ' in time' END AS llm_error, {_of('cl', 'text', ' AND x.ok')} AS claims, {_of('cl', "CASE x.pos WHEN 2 THEN '987654 failures were seen' WHEN 5 THEN 'nothing else' WHEN 6 THEN '' ELSE x.text END", ' AND NOT x.ok')} AS rejected, {_of('fo', 'x.rule || x.title')} AS findings FROM dd LEFT JOIN he USING (host, round_id)")
+def redacted_briefs(spark, sf):
+    found = tables.cut(R.ordered(_findings(spark, sf)), "findings")
+    said, known = _completions(spark, sf), _catalogue(spark, sf)
+    checked = V.verify(V.claim_rows(said, _RD), known, V.measured(I.signals(spark, sf), found, _RD), _RD)
+    own = V.headline(found, rounds=I.rounds(spark, sf))
+    asked = V.verify_headlines(said.where("completion is not null"), known, own, _RD).withColumn("model", F.lit("m1")).withColumn("error", F.lit(None).cast("string"))
+    lost = I.run_sql(spark, sf, SIG, "SELECT host, round_id, concat('no answer from 203.0.113.', CAST(s % 250 AS STRING), ' in time') AS error FROM dd WHERE s % 17 = 0")
+    models = asked.unionByName(lost, allowMissingColumns=True)
+    told = redact.redact_briefs(B.briefs(own, found, checked, models), POLICY)
+    joined = lambda rows, of: F.array_join(F.transform(rows, of), "|").alias(rows)
+    return told.select(
+        "host", "round_id", "severity", "headline", "headline_source", "llm_error",
+        joined("claims", lambda c: c["text"]), joined("rejected", lambda c: c["text"]), joined("findings", lambda f: F.concat(f["rule"], f["title"])),
+    )

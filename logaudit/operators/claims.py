@@ -83,7 +83,7 @@ def verify(claims: DataFrame, known: DataFrame, numbers_of_round: DataFrame, key
     confidence = F.when(loose | (F.col("kind") == "explanation"), "hypothesis").otherwise("derived")
     ok = reason.isNull()
     return rows.select(
-        *keys, "pos", "text", "kind", ok.alias("accepted"), reason.alias("reason"), F.when(ok, confidence).alias("confidence"), F.when(ok, note).alias("note")
+        *keys, "pos", "text", "kind", ok.alias("accepted"), reason.alias("reason"), F.when(ok, confidence).alias("confidence"), F.when(ok, note).alias("note"), "refs"
     )
 
 
