@@ -45,6 +45,15 @@ def test_rules(spark):
     }
 
 
+def test_silent_series_can_all_be_named(spark):
+    keys = [f"k{i:02}" for i in range(25)]
+    silent = spark.createDataFrame([("h", "r", k) for k in reversed(keys)], "host string, round_id string, key string")
+    (every,), (first,) = R.went_silent(silent, None).collect(), R.went_silent(silent).collect()
+    assert every.title == first.title == "25 series went silent"
+    assert every.signal_keys == keys and every.key == " ".join(keys) and every.detail == "they are " + ", ".join(keys)
+    assert first.signal_keys == keys[:20] and first.key == " ".join(keys[:20]) and first.detail == "the first are " + ", ".join(keys[:20])
+
+
 def test_suppression_follows_what_was_sent(spark):
     at = lambda m: T0 + dt.timedelta(minutes=m)
     b = spark.createDataFrame([("s", "d", 3, at(m)) for m in (0, 400, 719, 720, 1000, 1440)] + [("s", "e", 1, at(0)), ("s", "f", None, at(0))], "sink string, digest string, severity int, as_of timestamp")

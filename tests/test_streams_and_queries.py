@@ -74,3 +74,13 @@ def test_query_equals_sql(spark, name):
     got = registry.QUERIES[name](spark, SF).toPandas()
     assert len(want) and sorted(got.columns) == sorted(want.columns)
     assert rows_of(got[list(want.columns)]) == rows_of(want)
+
+
+def test_went_silent_names_every_silent_series(spark):
+    silent = {}
+    for r in registry.QUERIES["silent_keys"](spark, SF).collect():
+        silent.setdefault((r.host, r.round_id), []).append(r.key)
+    want = {at: (f"{len(keys)} series went silent", " ".join(sorted(keys))) for at, keys in silent.items()}
+    got = registry.QUERIES["went_silent"](spark, SF).collect()
+    assert len(got) == len(want) and {(r.host, r.round_id): (r.title, r.key) for r in got} == want
+    assert max(map(len, silent.values())) > 2
