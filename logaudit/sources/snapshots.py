@@ -120,28 +120,38 @@ def tool_matches(text: Column) -> Column:
     return X.group(text, X.TOOL_MATCHED, 1).try_cast("bigint")
 
 
-def alert_spool(files: DataFrame, since: Column, most_bytes: int) -> DataFrame:
+def alert_spool(files: DataFrame, since: Column, most_bytes: int | None) -> DataFrame:
     """Spooled payloads (``path, modificationTime, length, content``) from a moment on: parsed, or an error with
-    its reason. A payload of a wrong shape is refused whole."""
+    its reason. A payload of a wrong shape is refused whole; one of any size is read if ``most_bytes`` is none."""
     body = F.decode("content", "utf-8")
     return _payloads(files.where(F.col("modificationTime") >= since).withColumn("body", body).drop("content"), most_bytes)
 
 
-def _payloads(rows: DataFrame, most_bytes: int) -> DataFrame:
+#: What Variant takes for broken, from_json does too.
+_STRICT = {"columnNameOfCorruptRecord": "_bad", "allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+
+
+def _payloads(rows: DataFrame, most_bytes: int | None) -> DataFrame:
     v = F.try_parse_json("body")
     alerts = F.schema_of_variant(F.try_variant_get(v, "$.alerts", "variant"))
     shape = F.schema_of_variant(v).startswith("OBJECT") & F.coalesce(alerts.startswith("ARRAY"), F.lit(True))
-    reason = (
-        F.when(F.col("length") > most_bytes, "too large")
-        .when(v.isNull(), "not JSON")
-        .when(~F.coalesce(shape, F.lit(False)), "wrong shape")
-    )
+    # An object over 128 MiB or with a name twice is JSON, but no variant.
+    whole = F.from_json("body", "alerts string, _bad string", _STRICT)
+    listed = F.from_json("body", "alerts array<string>, _bad string", _STRICT)["alerts"].isNotNull()
+    no_variant = (
+        F.when(whole.isNull() | whole["_bad"].isNotNull(), "not JSON")
+        .when(~listed & F.array_contains(F.json_object_keys("body"), "alerts"), "wrong shape")
+    )
+    reason = F.when(v.isNull(), no_variant).when(~F.coalesce(shape, F.lit(False)), "wrong shape")
+    if most_bytes is not None:
+        reason = F.when(F.col("length") > most_bytes, "too large").otherwise(reason)
     rows = rows.withColumn("reason", reason)
     return rows.withColumn("payload", F.when(F.col("reason").isNull(), F.from_json("body", ALERT_PAYLOAD)))
 
 
-def ingest_gate(bodies: DataFrame, most_bytes: int) -> DataFrame:
-    """Bodies with ``accepted`` and the reason of a refusal; a good body is kept as it is."""
+def ingest_gate(bodies: DataFrame, most_bytes: int | None) -> DataFrame:
+    """Bodies with ``accepted`` and the reason of a refusal; a good body is kept as it is. No size is too large if
+    ``most_bytes`` is none."""
     rows = _payloads(bodies.withColumn("length", F.octet_length("body")), most_bytes)
     return rows.select(*bodies.columns, F.col("reason").isNull().alias("accepted"), "reason")
 

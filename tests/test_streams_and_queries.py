@@ -5,7 +5,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from logaudit.jobs import registry
+from logaudit.jobs import inputs, registry
 from logaudit.streaming import streams
 from tools.compare import rows_of
 
@@ -84,3 +84,25 @@ def test_went_silent_names_every_silent_series(spark):
     got = registry.QUERIES["went_silent"](spark, SF).collect()
     assert len(got) == len(want) and {(r.host, r.round_id): (r.title, r.key) for r in got} == want
     assert max(map(len, silent.values())) > 2
+
+
+@pytest.fixture(scope="module")
+def large(spark, tmp_path_factory):
+    """A folder of events whose first host and day make a payload of over 1 MiB."""
+    path = str(tmp_path_factory.mktemp("large"))
+    day = F.when(F.col("id") < 8000, "2024-01-08 10:00:00").otherwise("2024-01-09 10:00:00").cast("timestamp_ntz")
+    rows = spark.range(8010).select(F.col("id").alias("event_id"), day.alias("ts"), (F.col("id") % 500 * 3).alias("user_id"), F.lit("error").alias("event_type"), F.lit(1.0).alias("value"), F.lit("{}").alias("props"))
+    rows.write.parquet(f"{path}/events.parquet")
+    assert inputs.payloads(spark, path).agg(F.max(F.octet_length("body"))).first()[0] > 1 << 20
+    return path
+
+
+@pytest.mark.parametrize("name", ["ingest_gate"])
+def test_large_payloads_are_read(spark, large, name):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{large}/events.parquet/*.parquet'")
+    want = con.execute(registry.ORACLE_SQL[name]).fetchdf()
+    got = registry.QUERIES[name](spark, large).toPandas()
+    assert len(want) and rows_of(got[list(want.columns)]) == rows_of(want)

@@ -76,6 +76,13 @@ def test_snapshots(spark):
     assert [(r.kind, r.running, r.restart_count) for r in N.container_state(state).collect()] == [("state", True, 2), ("state", False, None), ("error", None, 1)]
 
 
+def test_payloads_that_are_no_variants_are_read(spark):
+    bodies = ['{"a":1,"a":2,"alerts":[]}', '{"a":1,"a":2}', '{"a":1,"a":2,"alerts":"[x"}', '{"a":1,"a":2,"alerts":null}', "{'a':1,'a':2}", '{"a":1,"a":2', None]
+    rows = spark.createDataFrame([(b,) for b in bodies], "body string").coalesce(1)
+    assert [r.reason for r in N.ingest_gate(rows, None).collect()] == [None, None, "wrong shape", "wrong shape", *["not JSON"] * 3]
+    assert [r.reason for r in N.ingest_gate(rows, 12).collect()] == ["too large", "too large", "too large", "too large", "too large", "not JSON", "not JSON"]
+
+
 def test_values(spark):
     one = lambda c: spark.range(1).select(c.alias("x")).first().x
     assert one(X.numbers(F.lit("-5 is 1,234 or 2.50 and ３"))) == [5.0, 1.0, 234.0, 2.5, 3.0]
