@@ -97,7 +97,7 @@ def large(spark, tmp_path_factory):
     return path
 
 
-@pytest.mark.parametrize("name", ["ingest_gate", "alert_signals", "alert_firing", "alert_spool"])
+@pytest.mark.parametrize("name", ["ingest_gate", "alert_signals", "alert_firing", "alert_spool", "alerts_firing"])
 def test_large_payloads_are_read(spark, large, name):
     import duckdb
 
