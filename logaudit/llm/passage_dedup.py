@@ -84,22 +84,63 @@ def _sliced(texts: pa.Array) -> Iterator[tuple[int, int]]:
     yield from ((a, b) for a, b in zip(cuts, cuts[1:], strict=False) if b > a)
 
 
+#: Bytes that part words, and bytes with A-Z lowered.
+_BLANK = np.isin(np.arange(256), (9, 10, 11, 12, 13, 32))
+_LOWER = np.arange(256, dtype=np.uint8) + np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), 32, 0).astype(np.uint8)
+#: The primes of XXH64, and the bytes of a text from which on it goes another way.
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+_WIDE = 32
+
+
+def _hashed(data: np.ndarray, start: np.ndarray, n: np.ndarray, seed: int = 11) -> np.ndarray:
+    """XXH64 of each word's bytes: of all words of under 32 bytes at a time, of longer ones one by one."""
+    import xxhash
+
+    def turned(x: np.ndarray, bits: int) -> np.ndarray:
+        return (x << np.uint64(bits)) | (x >> np.uint64(64 - bits))
+
+    def taken(at: np.ndarray, lanes: np.ndarray, times: np.uint64, bits: int, more: tuple[np.uint64, np.uint64]) -> None:
+        out[at] = turned(out[at] ^ (lanes * times), bits) * more[0] + more[1]
+
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    eight, four = (np.ndarray(len(data) + 1, kind, padded, strides=(1,)) for kind in ("<u8", "<u4"))
+    out = n.astype(np.uint64) + np.uint64(seed) + _P5
+    short = n < _WIDE
+    for k in range(0, _WIDE - 8, 8):
+        at = np.flatnonzero(short & (n >= k + 8))
+        taken(at, turned(eight[start[at] + k] * _P2, 31), _P1, 27, (_P1, _P4))
+    at = np.flatnonzero(short & (n % 8 >= 4))
+    taken(at, four[start[at] + n[at] // 8 * 8].astype(np.uint64), _P1, 23, (_P2, _P3))
+    for k in range(3):
+        at = np.flatnonzero(short & (n % 4 > k))
+        taken(at, data[start[at] + n[at] // 4 * 4 + k].astype(np.uint64), _P5, 11, (_P1, np.uint64(0)))
+    for shift, times in ((33, _P2), (29, _P3)):
+        out = (out ^ (out >> np.uint64(shift))) * times
+    out ^= out >> np.uint64(32)
+    for i in np.flatnonzero(~short).tolist():
+        out[i] = xxhash.xxh64_intdigest(data[start[i] : start[i] + n[i]].tobytes(), seed)
+    return out
+
+
 def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of the texts' words (A-Z lowered, between ASCII white space), how many words each line has, and how
     many lines each text has."""
-    import xxhash
-
-    lines = pc.split_pattern(pc.fill_null(texts.cast(pa.large_string()), ""), "\n")
-    per_text = pc.list_value_length(lines).to_numpy(zero_copy_only=False).astype(np.int64)
-    split = pc.ascii_split_whitespace(pc.ascii_lower(lines.flatten()))
-    coded = split.flatten().dictionary_encode()
-    distinct = coded.dictionary.to_pylist()
-    hashes = np.fromiter((xxhash.xxh64_intdigest(w, 11) for w in distinct), dtype=np.uint64, count=len(distinct))
-    which = coded.indices.to_numpy(zero_copy_only=False)
-    empty = np.fromiter((not w for w in distinct), dtype=bool, count=len(distinct))  # from white space at a line's ends
-    real = ~empty[which] if len(distinct) else np.empty(0, bool)
-    at = np.concatenate(([0], np.cumsum(real)))[np.concatenate(([0], np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))))]
-    return hashes[which][real] if len(distinct) else np.empty(0, np.uint64), np.diff(at), per_text
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    cuts = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[cuts[0] : cuts[-1]]
+    cuts = cuts - cuts[0]
+    blank = _BLANK[raw]
+    # A word ends at white space and at its text's end.
+    edge = np.ones(len(raw) + 1, bool)
+    edge[1:-1] = blank[:-1]
+    edge[cuts] = True
+    start = np.flatnonzero(~blank & edge[:-1])
+    edge[:-1] |= blank
+    n = np.flatnonzero(~blank & edge[1:]) + 1 - start
+    lines = np.flatnonzero(raw == 10)
+    per_text = np.diff(np.searchsorted(lines, cuts)) + 1
+    line = np.searchsorted(cuts, start, side="right") - 1 + np.searchsorted(lines, start)
+    return _hashed(_LOWER[raw], start, n), np.bincount(line, minlength=int(per_text.sum())), per_text
 
 
 def _rolled(words: np.ndarray, size: int) -> np.ndarray:
@@ -466,11 +507,17 @@ def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """
     for batch in (batch.slice(k, 500) for batch in batches for k in range(0, len(batch), 500)):
         out: list[tuple] = []
-        for b, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        flat, each = batch.column(1).flatten(), pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False)
+        rows = np.stack([np.repeat(np.arange(len(batch)), each), *(flat.field(c).to_numpy(zero_copy_only=False) for c in ("a", "b_at", "a_at"))])
+        rows = rows[:, np.lexsort(rows[::-1])]
+        rows = rows[:, np.concatenate((np.ones(min(1, rows.shape[1]), bool), (rows[:, 1:] != rows[:, :-1]).any(axis=0)))]
+        cuts = np.searchsorted(rows[0], np.arange(len(batch) + 1)).tolist()
+        ordered = list(zip(*rows[1:].tolist(), strict=True))
+        for b, low, high in zip(batch.column(0).to_pylist(), cuts, cuts[1:], strict=False):
             found: list[tuple[int, list[tuple[int, int]]]] = []
             recent: list[list[tuple[int, int]]] = []
             of = None
-            for a, *p in sorted({(x["a"], x["b_at"], x["a_at"]) for x in places}):
+            for a, *p in ordered[low:high]:
                 if a != of:
                     of, recent = a, []
                 for chain in reversed(recent[-8:]):
@@ -576,12 +623,16 @@ def _verified(least: int, similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (batch.slice(k, 500) for batch in batches for k in range(0, len(batch), 500)):
             found: list[tuple] = []
-            for a, b, a_at, b_at, low, words, parts in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
-                blocks = {p["start"]: p["words"] for p in parts}
-                base = min(blocks)
-                x = np.frombuffer(b"".join(blocks[k] for k in sorted(blocks)), dtype="<u4")
+            ends = [np.concatenate(([0], np.cumsum(pc.list_value_length(batch.column(i)).to_numpy(zero_copy_only=False)))).tolist() for i in (2, 6)]
+            places = list(zip(*(batch.column(i).flatten().to_pylist() for i in (2, 3)), strict=True))
+            parts = batch.column(6).flatten()
+            blocks = list(zip(*(parts.field(c).to_pylist() for c in ("start", "words")), strict=True))
+            for i, (a, b, low, words) in enumerate(zip(*(batch.column(i).to_pylist() for i in (0, 1, 4, 5)), strict=True)):
+                own = sorted(blocks[ends[1][i] : ends[1][i + 1]])
+                base = own[0][0]
+                x = np.frombuffer(b"".join(w for _, w in own), dtype="<u4")
                 y = np.frombuffer(words, dtype="<u4")
-                for ai, an, bi, bn in aligned(x, y, [(p - base, q - low) for p, q in zip(a_at, b_at, strict=True)], similarity):
+                for ai, an, bi, bn in aligned(x, y, [(p - base, q - low) for p, q in places[ends[0][i] : ends[0][i + 1]]], similarity):
                     if max(an, bn) >= least:
                         found += [(a, ai + base, an, a > b), (b, bi + low, bn, b >= a)]
             kinds = (pa.int64(), pa.int32(), pa.int32(), pa.bool_())
@@ -744,7 +795,8 @@ def _partners(least: int, similarity: float):
 
 
 def open_places(units: DataFrame, shared: DataFrame, spans: DataFrame, least: int) -> DataFrame:
-    """``h, place, open``: all places of the band keys that have three places or more and an open one.
+    """``h, place, open, n``: all places of the band keys that have three places or more and an open one, and how many
+    places the key has.
 
     A place is open unless it lies within a passage that is known, and known to be a later copy if the place isn't the
     first one of its key.
@@ -760,20 +812,19 @@ def open_places(units: DataFrame, shared: DataFrame, spans: DataFrame, least: in
     seen = rows.withColumns({"end": reached("end"), "gone": reached("gone")}).where("h is not null")
     asks = short("end") | (short("gone") & (_place() != F.col("first")))
     flagged = written(seen.select("h", _place().alias("place"), asks.alias("open")), "places")
-    return flagged.join(flagged.where("open").select("h").distinct(), "h", "left_semi")
+    sizes = flagged.groupBy("h").agg(F.count("*").alias("n"), F.max("open").alias("some"))
+    return flagged.join(sizes.where("some").drop("some"), "h")
 
 
 def asked(places: DataFrame, bound: int = ASKED) -> DataFrame:
-    """Places (``h, place, open, off, words``) in groups in which each open place asks all others of its key.
+    """Places (``h, place, open, n, off, words``; ``n``: how many its key has) in groups in which each open place asks all others of its key.
 
     Keys of over ``bound`` places are dealt anew by the eight words before and behind, one of which a pair must share;
     what is still larger is asked block by block.
     """
-    sizes = places.groupBy("h").agg(F.count("*").alias("n"))
-    own = places.join(sizes, "h")
     cut = lambda at: F.expr(f"substring(words, {at}, {4 * SIDE})")
     sides = [F.when(F.length(w) == 4 * SIDE, F.xxhash64("h", F.lit(i), w)) for i, w in enumerate((cut(f"4 * (off + {LONG_SHINGLE}) + 1"), F.when(F.col("off") >= SIDE, cut(f"4 * (off - {SIDE}) + 1"))))]
-    keyed = own.withColumn("key", F.explode(F.when(F.col("n") <= bound, F.array("h")).otherwise(F.array(*sides)))).where("key is not null").drop("h", "n")
+    keyed = places.withColumn("key", F.explode(F.when(F.col("n") <= bound, F.array("h")).otherwise(F.array(*sides)))).where("key is not null").drop("h", "n")
     keyed = written(keyed, "asked")
     groups = keyed.groupBy("key").agg(F.count("*").alias("n"), F.count_if("open").alias("u")).where("n > 1 and u > 0")
     blocks = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / bound)).cast("int")
@@ -797,10 +848,10 @@ def missed_spans(
     """
     places = open_places(units, shared, spans, least)
     low = F.greatest(F.lit(0), F.col("start") - REACH)
-    at = written(places.select("h", "place", "open", *_unplaced("place")).select("*", low.alias("low"), (F.col("start") + REACH + LONG_SHINGLE - low).alias("size")), "around")
+    at = written(places.select("h", "place", "open", "n", *_unplaced("place")).select("*", low.alias("low"), (F.col("start") + REACH + LONG_SHINGLE - low).alias("size")), "around")
     given = pieces(texts, at.select("ord", F.col("low").alias("start"), F.col("size").alias("n")))
     given = given.withColumnsRenamed({"start": "low", "n": "size"})
-    rows = asked(at.join(given, ["ord", "low", "size"]).select("h", "place", "open", (F.col("start") - F.col("low")).alias("off"), "words"), bound)
+    rows = asked(at.join(given, ["ord", "low", "size"]).select("h", "place", "open", "n", (F.col("start") - F.col("low")).alias("off"), "words"), bound)
     dealt = rows.repartition(shuffle_width(rows.sparkSession), "key").sortWithinPartitions("key")
     found = dealt.mapInArrow(_partners(least, similarity), _PARTNERS)
     order = F.struct("score", (-F.col("other")).alias("least"), "other", "before", "behind", "other_before", "other_behind")

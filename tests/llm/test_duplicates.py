@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pandas as pd
@@ -304,3 +305,27 @@ def test_open_places_ask_alike_in_blocks_and_dealt_anew(spark):
     none = spark.createDataFrame([], "ord long, start int, n int, later boolean")
     one, other = ({tuple(r) for r in passage_dedup.missed_spans(units, keys, none, df, bound=bound).collect()} for bound in (512, 4))
     assert one and one == other
+
+
+def test_words_around_open_places_are_read_once(spark, monkeypatch):
+    plans = {}
+    real = passage_dedup.written
+    monkeypatch.setattr(passage_dedup, "written", lambda df, name: plans.update({name: df._jdf.queryExecution().optimizedPlan().toString()}) or real(df, name))
+    rng = random.Random(4)
+    shared = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(3)]
+    texts = [" ".join([shared[i % 3], f"x{i}", shared[(i + 1) % 3]]) for i in range(9)]
+    passage_dedup.repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert plans["asked"].count("MapInArrow") == 1
+
+
+def test_words_are_hashed_as_xxh64_does():
+    import pyarrow as pa
+    import xxhash
+
+    words = ["", "a", "Ab", "é", "😀x", "\x00", "[Z", *("k" * n + "Q" for n in range(1, 70))]
+    texts = [None, "", " ".join(words), "\n".join(words), "\r\n\t a\x0bb\x0c", " c\x1cd"]
+    hashes, per_line, per_text = passage_dedup._words(pa.array(["skipped", *texts])[1:])
+    lines = [[w for w in re.split(r"[\t-\r ]+", line) if w] for t in texts for line in (t or "").split("\n")]
+    lowered = [w.translate({c: c + 32 for c in range(65, 91)}).encode() for line in lines for w in line]
+    assert hashes.tolist() == [xxhash.xxh64_intdigest(w, 11) for w in lowered]
+    assert per_line.tolist() == [len(line) for line in lines] and per_text.tolist() == [(t or "").count("\n") + 1 for t in texts]
