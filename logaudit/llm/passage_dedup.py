@@ -795,8 +795,7 @@ def _partners(least: int, similarity: float):
 
 
 def open_places(units: DataFrame, shared: DataFrame, spans: DataFrame, least: int) -> DataFrame:
-    """``h, place, open, n``: all places of the band keys that have three places or more and an open one, and how many
-    places the key has.
+    """``h, place, open``: all places of the band keys that have three places or more and an open one.
 
     A place is open unless it lies within a passage that is known, and known to be a later copy if the place isn't the
     first one of its key.
@@ -812,8 +811,7 @@ def open_places(units: DataFrame, shared: DataFrame, spans: DataFrame, least: in
     seen = rows.withColumns({"end": reached("end"), "gone": reached("gone")}).where("h is not null")
     asks = short("end") | (short("gone") & (_place() != F.col("first")))
     flagged = written(seen.select("h", _place().alias("place"), asks.alias("open")), "places")
-    sizes = flagged.groupBy("h").agg(F.count("*").alias("n"), F.max("open").alias("some"))
-    return flagged.join(sizes.where("some").drop("some"), "h")
+    return flagged.join(flagged.where("open").select("h").distinct(), "h", "left_semi")
 
 
 def asked(places: DataFrame, bound: int = ASKED) -> DataFrame:
@@ -848,10 +846,11 @@ def missed_spans(
     """
     places = open_places(units, shared, spans, least)
     low = F.greatest(F.lit(0), F.col("start") - REACH)
-    at = written(places.select("h", "place", "open", "n", *_unplaced("place")).select("*", low.alias("low"), (F.col("start") + REACH + LONG_SHINGLE - low).alias("size")), "around")
+    at = written(places.select("h", "place", "open", *_unplaced("place")).select("*", low.alias("low"), (F.col("start") + REACH + LONG_SHINGLE - low).alias("size")), "around")
     given = pieces(texts, at.select("ord", F.col("low").alias("start"), F.col("size").alias("n")))
     given = given.withColumnsRenamed({"start": "low", "n": "size"})
-    rows = asked(at.join(given, ["ord", "low", "size"]).select("h", "place", "open", "n", (F.col("start") - F.col("low")).alias("off"), "words"), bound)
+    sizes = at.groupBy("h").agg(F.count("*").alias("n"))
+    rows = asked(at.join(sizes, "h").join(given, ["ord", "low", "size"]).select("h", "place", "open", "n", (F.col("start") - F.col("low")).alias("off"), "words"), bound)
     dealt = rows.repartition(shuffle_width(rows.sparkSession), "key").sortWithinPartitions("key")
     found = dealt.mapInArrow(_partners(least, similarity), _PARTNERS)
     order = F.struct("score", (-F.col("other")).alias("least"), "other", "before", "behind", "other_before", "other_behind")
